@@ -86,10 +86,10 @@ def add_engagement_features(df: DataFrame) -> DataFrame:
         out = out.withColumn("is_high_quality", flag(F.col("weighted_vote_score") >= 0.7))
     out = add_global_z(out, "engagement_score", "engagement_score_normalized")
     cuts = exact_quantiles(out, "engagement_score", (0.25, 0.5, 0.75)).select(F.struct("*").alias("q")).scalar()
-    s = F.col("engagement_score")
+    s, eps = F.col("engagement_score"), F.lit(1e-12)  # scores equal to a cut stay below it
     level = (
-        F.when(s <= F.col("_q.p25"), ENGAGEMENT_LEVELS[0]).when(s <= F.col("_q.p50"), ENGAGEMENT_LEVELS[1])
-        .when(s <= F.col("_q.p75"), ENGAGEMENT_LEVELS[2]).otherwise(ENGAGEMENT_LEVELS[3])
+        F.when(s <= F.col("_q.p25") + eps, ENGAGEMENT_LEVELS[0]).when(s <= F.col("_q.p50") + eps, ENGAGEMENT_LEVELS[1])
+        .when(s <= F.col("_q.p75") + eps, ENGAGEMENT_LEVELS[2]).otherwise(ENGAGEMENT_LEVELS[3])
     )
     return out.withColumn("_q", cuts).withColumn("engagement_level", level).drop("_q")
 

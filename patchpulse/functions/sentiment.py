@@ -90,28 +90,38 @@ def tokens(processed: Column | str) -> Column:
     A word of which only one or two characters would be left stays as it is.
     """
 
-    def strip(w: Column) -> Column:
-        bare = F.btrim(w, F.lit(text.PUNCTUATION))
-        return F.when(F.length(bare) <= 2, w).otherwise(bare)
-
     c = F.col(processed) if isinstance(processed, str) else processed
-    return F.transform(F.filter(F.split(c, " "), lambda w: w != ""), strip)
-
-
-def _word_value(hits: Column, i: Column) -> Column:
-    """Valence at position ``i`` after the degree and negation words up to three places before it."""
-    before = F.array(*[
-        F.struct(
-            (F.coalesce(F.get(hits, i - k)["b"], F.lit(0.0)) * BOOST_DECAY[k - 1]).alias("b"),
-            F.coalesce(F.get(hits, i - k)["n"], F.lit(1.0)).alias("n"),
-        )
-        for k in (1, 2, 3)
-    ])
-    return F.aggregate(
-        before,
-        F.get(hits, i)["v"],
-        lambda acc, p: (acc + F.when(acc < 0, -p["b"]).otherwise(p["b"])) * p["n"],
+    kept = F.filter(F.split(c, " "), lambda w: w != "")
+    marks = F.lit(text.PUNCTUATION)
+    return F.transform(kept, lambda w: F.when(F.length(F.btrim(w, marks)) <= 2, w).otherwise(F.btrim(w, marks)))
+
+
+def _word_value(entry: str, at: str) -> str:
+    """SQL for the valence at position ``at`` after the degree and negation words up to three places before it.
+
+    ``entry`` is a format string that yields the lexicon entry at a position.
+    """
+    before = ", ".join(
+        f"named_struct('b', coalesce({entry.format(f'{at} - {k}')}.b, 0D) * {decay}D, "
+        f"'n', coalesce({entry.format(f'{at} - {k}')}.n, 1D))"
+        for k, decay in enumerate(BOOST_DECAY, start=1)
     )
+    return (
+        f"aggregate(array({before}), {entry.format(at)}.v, (acc, p) -> (acc + if(acc < 0, -p.b, p.b)) * p.n)"
+    )
+
+
+def _but_factor(at: str) -> str:
+    return f"CASE WHEN _but IS NULL OR {at} = _but THEN 1D WHEN {at} < _but THEN {BEFORE_BUT}D ELSE {AFTER_BUT}D END"
+
+
+def _sums(n_words: str) -> dict[str, Column]:
+    return {
+        "_sum": F.expr("aggregate(_val, 0D, (a, v) -> a + v)"),
+        "_pos": F.expr("aggregate(_val, 0D, (a, v) -> a + if(v > 0, v + 1, 0D))"),
+        "_neg": F.expr("aggregate(_val, 0D, (a, v) -> a + if(v < 0, 1 - v, 0D))"),
+        "_zero": F.expr(f"CAST({n_words} - size(filter(_val, v -> v != 0)) AS INT)"),
+    }
 
 
 def add_sentiment(df: DataFrame, processed: str = "review_content_processed",
@@ -128,59 +138,47 @@ def add_sentiment(df: DataFrame, processed: str = "review_content_processed",
     else:
         raise ValueError("use add_sentiment_relational for lexicons of this size")
 
-    def look_up(w: Column) -> Column:
-        bucket = F.get(F.col("_lex"), F.pmod(F.crc32(w), F.lit(buckets)).cast("int"))
-        return F.try_element_at(bucket, w)
-
-    out = df.withColumn("_lex", index)
-    out = out.withColumn("_tok", tokens(F.coalesce(F.col(processed), F.lit(""))))
-    out = out.withColumn("_hit", F.transform("_tok", look_up)).drop("_lex")
-    out = out.withColumn("_but", F.array_position("_tok", "but").cast("int") - 1)
+    out = df.withColumns({"_lex": index, "_tok": tokens(F.coalesce(F.col(processed), F.lit("")))})
+    slot = f"get(_lex, CAST(pmod(crc32(w), {buckets}) AS INT))"
+    out = out.withColumns({
+        "_hit": F.expr(f"transform(_tok, w -> try_element_at({slot}, w))"),
+        "_but": F.expr("nullif(CAST(array_position(_tok, 'but') AS INT), 0) - 1"),
+    })
+    places = "filter(transform(_hit, (h, i) -> if(h.v IS NOT NULL, i, NULL)), i -> i IS NOT NULL)"
     out = out.withColumn(
-        "_val",
-        F.transform(
-            F.filter(
-                F.transform("_hit", lambda h, i: F.struct(i.alias("i"), h["v"].isNotNull().alias("scored"))),
-                lambda s: s["scored"],
-            ),
-            lambda s: _word_value(F.col("_hit"), s["i"])
-            * F.when((F.col("_but") < 0) | (s["i"] == F.col("_but")), 1.0)
-            .when(s["i"] < F.col("_but"), BEFORE_BUT)
-            .otherwise(AFTER_BUT),
-        ),
-    )
-    return finish_scores(
-        out.withColumns({
-            "_sum": F.aggregate("_val", F.lit(0.0), lambda a, v: a + v),
-            "_pos": F.aggregate("_val", F.lit(0.0), lambda a, v: a + F.when(v > 0, v + 1).otherwise(0.0)),
-            "_neg": F.aggregate("_val", F.lit(0.0), lambda a, v: a + F.when(v < 0, 1 - v).otherwise(0.0)),
-            "_zero": F.size("_tok") - F.size(F.filter("_val", lambda v: v != 0)),
-        }).drop("_tok", "_hit", "_but", "_val"),
-        processed,
+        "_val", F.expr(f"transform({places}, i -> {_word_value('get(_hit, {})', 'i')} * {_but_factor('i')})")
     )
+    out = out.withColumns(_sums("size(_tok)")).drop("_lex", "_tok", "_hit", "_but", "_val")
+    return finish_scores(out, processed)
 
 
 def finish_scores(df: DataFrame, processed: str) -> DataFrame:
     """Turn the per-row sums ``_sum``, ``_pos``, ``_neg`` and the count ``_zero`` into the published scores."""
-    body = F.coalesce(F.col(processed), F.lit(""))
-    n_excl = F.least(F.regexp_count(body, F.lit("!")), F.lit(4))
-    n_quest = F.regexp_count(body, F.lit(r"\?"))
-    emphasis = n_excl * F.lit(EXCLAMATION_STEP) + F.when(n_quest <= 1, 0.0).when(
-        n_quest <= 3, n_quest * F.lit(QUESTION_STEP)
-    ).otherwise(QUESTION_MAX)
-    s = F.col("_sum") + F.signum("_sum") * F.col("_emph")
-    pos = F.col("_pos") + F.when(F.col("_pos") > F.col("_neg"), F.col("_emph")).otherwise(0.0)
-    neg = F.col("_neg") + F.when(F.col("_neg") > F.col("_pos"), F.col("_emph")).otherwise(0.0)
-    out = df.withColumn("_emph", emphasis).withColumns({"_s": s, "_p": pos, "_n": neg})
-    total = F.col("_p") + F.col("_n") + F.col("_zero")
+    body = f"coalesce(`{processed}`, '')"
+    n_quest = f"length({body}) - length(replace({body}, '?', ''))"
+    n_excl = f"least(length({body}) - length(replace({body}, '!', '')), 4)"
+    out = df.withColumn("_emph", F.expr(
+        f"{n_excl} * {EXCLAMATION_STEP}D + CASE WHEN {n_quest} <= 1 THEN 0D "
+        f"WHEN {n_quest} <= 3 THEN ({n_quest}) * {QUESTION_STEP}D ELSE {QUESTION_MAX}D END"
+    ))
     out = out.withColumns({
-        "compound": F.bround(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + ALPHA), 4) + F.lit(0.0),
-        "pos": F.bround(text.ratio(F.col("_p"), total), 3),
-        "neu": F.bround(text.ratio(F.col("_zero"), total), 3),
-        "neg": F.bround(text.ratio(F.col("_n"), total), 3),
+        "_s": F.expr("_sum + signum(_sum) * _emph"),
+        "_p": F.expr("_pos + if(_pos > _neg, _emph, 0D)"),
+        "_n": F.expr("_neg + if(_neg > _pos, _emph, 0D)"),
     })
-    out = out.withColumn("sentiment_label", label(F.col("compound")))
-    return out.drop("_sum", "_pos", "_neg", "_zero", "_emph", "_s", "_p", "_n")
+
+    def part(x: str) -> Column:
+        return F.expr(f"if(_p + _n + _zero > 0, bround({x} / nullif(_p + _n + _zero, 0D), 3), 0D)")
+
+    compound = F.expr(f"bround(_s / sqrt(_s * _s + {ALPHA}), 4) + 0D")
+    out = out.withColumn("_scores", F.struct(
+        compound.alias("compound"), part("_p").alias("pos"), part("_zero").alias("neu"), part("_n").alias("neg"),
+    ))
+    # Scores come out of a generator, so that a later filter on them reads the value; pushed below a projection
+    # the filter would compute the whole score again, once per mention.
+    kept = [c for c in df.columns if c not in ("_sum", "_pos", "_neg", "_zero")]
+    out = out.select(*kept, F.inline(F.array("_scores")))
+    return out.withColumn("sentiment_label", label("compound"))
 
 
 def label(compound: Column | str, cut: float = config.LABEL_CUT) -> Column:
@@ -218,29 +216,9 @@ def add_sentiment_relational(df: DataFrame, id_cols: list[str], processed: str,
         ).alias("_hit"),
     )
 
-    def value(i: Column) -> Column:
-        before = F.array(*[
-            F.struct(
-                (F.coalesce(F.try_element_at(F.col("_hit"), i - k)["b"], F.lit(0.0)) * BOOST_DECAY[k - 1]).alias("b"),
-                F.coalesce(F.try_element_at(F.col("_hit"), i - k)["n"], F.lit(1.0)).alias("n"),
-            )
-            for k in (1, 2, 3)
-        ])
-        base = F.aggregate(
-            before, F.try_element_at(F.col("_hit"), i)["v"],
-            lambda acc, p: (acc + F.when(acc < 0, -p["b"]).otherwise(p["b"])) * p["n"],
-        )
-        return base * F.when(F.col("_but").isNull() | (i == F.col("_but")), 1.0).when(
-            i < F.col("_but"), BEFORE_BUT
-        ).otherwise(AFTER_BUT)
-
-    scored = F.filter(F.array_sort(F.map_keys("_hit")), lambda i: F.try_element_at(F.col("_hit"), i)["v"].isNotNull())
-    per_doc = per_doc.withColumn("_val", F.transform(scored, value)).select(
-        *id_cols,
-        F.aggregate("_val", F.lit(0.0), lambda a, v: a + v).alias("_sum"),
-        F.aggregate("_val", F.lit(0.0), lambda a, v: a + F.when(v > 0, v + 1).otherwise(0.0)).alias("_pos"),
-        F.aggregate("_val", F.lit(0.0), lambda a, v: a + F.when(v < 0, 1 - v).otherwise(0.0)).alias("_neg"),
-        (F.col("_n_tok") - F.size(F.filter("_val", lambda v: v != 0))).cast("int").alias("_zero"),
-    )
+    places = "filter(array_sort(map_keys(_hit)), i -> try_element_at(_hit, i).v IS NOT NULL)"
+    value = f"{_word_value('try_element_at(_hit, {})', 'i')} * {_but_factor('i')}"
+    per_doc = per_doc.withColumn("_val", F.expr(f"transform({places}, i -> {value})")).withColumns(_sums("_n_tok"))
+    per_doc = per_doc.select(*id_cols, "_sum", "_pos", "_neg", "_zero")
     filled = df.join(per_doc, id_cols, "left").na.fill({"_sum": 0.0, "_pos": 0.0, "_neg": 0.0, "_zero": 0})
     return finish_scores(filled, processed)

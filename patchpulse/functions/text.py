@@ -49,17 +49,14 @@ def is_blank(c: Column | str) -> Column:
 
 def _decode_numeric(c: Column) -> Column:
     """Replace decimal and hexadecimal character references."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?i)&#(?:\d{1,7}|x[0-9a-f]{1,6});"), F.lit(0)))
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?i)&#(?:\d{1,7}|x[0-9a-f]{1,6});"), F.lit(0)))
 
     def one(acc: Column, ref: Column) -> Column:
-        body = F.regexp_replace(ref, r"(?i)[&#;]", "")
-        digits = F.when(body.rlike("^[xX]"), F.upper(F.substring(body, 2, 10))).otherwise(
-            F.hex(body.cast("bigint"))
-        )
-        char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
-        return F.replace(acc, ref, char)
+        body = F.regexp_replace(ref, "[&#;]", "")
+        digits = F.when(F.lower(body).startswith("x"), F.substring(body, 2, 10)).otherwise(F.hex(body.try_cast("bigint")))
+        return F.replace(acc, ref, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
 
-    return F.when(F.contains(c, F.lit("&#")), F.aggregate(found, c, one)).otherwise(c)
+    return F.when(F.contains(c, F.lit("&#")), F.aggregate(refs, c, one)).otherwise(c)
 
 
 @F.pandas_udf(StringType())
@@ -249,11 +246,12 @@ def calendar(ts: Column | str) -> dict[str, Column]:
 
 
 def signed_percent(c: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%+.{digits}f%%", c * 100)
+    """Percentage with sign; ties go to the even digit."""
+    return F.format_string(f"%+.{digits}f%%", F.bround(c * 100, digits))
 
 
 def percent(c: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", c * 100)
+    return F.format_string(f"%.{digits}f%%", F.bround(c * 100, digits))
 
 
 def parse_comment_time(c: Column | str) -> Column:

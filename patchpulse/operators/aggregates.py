@@ -35,16 +35,16 @@ def window_stats(tagged: DataFrame, updates: DataFrame, keys: list[str] = UPDATE
     """
     aggs = list(extra or [])
     for w in ("pre", "post"):
-        inside = F.col("window") == w
-        n = F.count_if(inside)
-        aggs.append(n.alias(f"{w}_n"))
-        aggs.append(F.avg(F.when(inside, F.col("compound"))).alias(f"{w}_mean"))
-        for v in LABELS:
-            aggs.append((F.count_if(inside & (F.col("sentiment_label") == v)) / F.nullif(n, F.lit(0))).alias(f"{w}_{v}"))
+        n = f"count_if(window = '{w}')"
+        aggs += [F.expr(f"{n} AS {w}_n"), F.expr(f"avg(if(window = '{w}', compound, NULL)) AS {w}_mean")]
+        aggs += [
+            F.expr(f"count_if(window = '{w}' AND sentiment_label = '{v}') / nullif({n}, 0) AS {w}_{v}") for v in LABELS
+        ]
     stats = tagged.groupBy(*keys).agg(*aggs)
     full = updates.select(*keys).join(stats, keys, "left").na.fill(0)
-    delta = F.when(F.col("post_n") > 0, F.bround(F.col("post_negative") - F.col("pre_negative"), 4)).otherwise(0.0)
-    return full.withColumn("sentiment_delta", delta + F.lit(0.0))
+    return full.withColumn(
+        "sentiment_delta", F.expr("if(post_n > 0, bround(post_negative - pre_negative, 4), 0D) + 0D")
+    )
 
 
 def topic_counts(tagged: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,7 +107,7 @@ def distribution_summary(df: DataFrame, keys: list[str]) -> DataFrame:
             F.col("mean_compound"), F.col("median_compound"), F.coalesce("std_compound", F.lit(float("nan"))),
         ),
     )
-    return joined.withColumn("top_short", shown).withColumn("summary", lines)
+    return joined.withColumn("summary", lines).withColumn("top_short", shown)
 
 
 def merge_themes(themes: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
