@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, risk, timeline, windows
 from ..plans import backtest as bt
 from ..plans import monitor
+from ..session import materialise
 from . import sql as S
 from . import views as V
 from .registry import iso, query, r6
@@ -190,6 +191,7 @@ def trend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = risk_rows(spark, sf_dir).select(
         "appid", "doc_id", "ts", "compound", "votes_up", F.length("review_content_processed").alias("text_length"),
         F.col("topic").alias("dominant_topic"), "risk_label_weak")
+    scored = materialise(scored)
     rolled = timeline.rolling_features(scored, score="compound", row_id="doc_id")
     trends = timeline.trend_features(rolled, row_id="doc_id")
     return timeline.add_hourly_count(scored).join(trends, ["appid", "doc_id"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.features import flag
+from ..session import materialise
 from .quantiles import exact_quantiles
 
 
@@ -21,7 +22,7 @@ def detect_statistical(df: DataFrame, keys: list[str], sensitivity: str = "mediu
     present. The rare-topic flag is reported but does not count.
     """
     sigma = config.SENSITIVITY_SIGMA[sensitivity]
-    out = df
+    out = df = materialise(df)  # read again for the statistics
     tested = {"is_sentiment_anomaly": (score, True), "is_volume_anomaly": ("hourly_count", False)}
     if {"votes_up", "text_length"} <= set(df.columns):
         out = out.withColumn("votes_per_char", F.col("votes_up") / (F.col("text_length") + 1))
@@ -69,6 +70,7 @@ def impute_features(df: DataFrame, numeric: list[str], strings: list[str] = ())
 
 
 def _flag_top(df: DataFrame, contamination: float) -> DataFrame:
+    df = materialise(df)
     cut = exact_quantiles(df, "ml_anomaly_score", (1 - contamination,))
     name = cut.columns[0]
     return df.withColumn("_cut", cut.select(name).scalar()).withColumn(
@@ -77,7 +79,7 @@ def _flag_top(df: DataFrame, contamination: float) -> DataFrame:
 
 
 def _standardised(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
-    filled = impute_features(df, features)
+    filled = materialise(impute_features(materialise(df), features))
     stats = filled.agg(F.struct(*[
         F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features
     ])).scalar()
@@ -195,12 +197,15 @@ def _range_of(df: DataFrame, columns: list[str]) -> Column:
 def detect_combined(df: DataFrame, ml_weight: float = 0.6, q_medium: float = 0.8, q_high: float = 0.95) -> DataFrame:
     """ensemble_anomaly_score from the model score and the number of flags, with a 0-1 severity and its level."""
     parts = ["ml_anomaly_score", "statistical_anomaly_score"]
+    df = materialise(df)
     out = df.withColumn("_r", _range_of(df, parts)).withColumn(
         "ensemble_anomaly_score", _min_max(parts[0], "_r") * ml_weight + _min_max(parts[1], "_r") * (1 - ml_weight)
     ).drop("_r")
+    out = materialise(out)
     out = out.withColumn("_r", _range_of(out, ["ensemble_anomaly_score"])).withColumn(
         "anomaly_severity_score", _min_max("ensemble_anomaly_score", "_r")
     ).drop("_r")
+    out = materialise(out)
     cuts = exact_quantiles(out, "anomaly_severity_score", (q_medium, q_high))
     medium, high = cuts.columns
     s, eps = F.col("anomaly_severity_score"), F.lit(1e-12)
@@ -212,6 +217,7 @@ def detect_combined(df: DataFrame, ml_weight: float = 0.6, q_medium: float = 0.8
 
 def trend_alerts(df: DataFrame, widths: tuple[int, ...] = config.ROLLING_HOURS, min_triggers: int = 3) -> DataFrame:
     """trigger_count and trend_alert: how many of seven measures reach their 95th percentile over all rows."""
+    df = materialise(df)
     measures = {"ensemble_anomaly_score": F.col("ensemble_anomaly_score")}
     for w in widths:
         measures[f"sentiment_diff_{w}h"] = F.abs(f"sentiment_diff_{w}h")

@@ -168,13 +168,18 @@ def derive_thresholds(scored: DataFrame, keys: list[str]) -> DataFrame:
         return F.floor(x * 2 + F.lit(1e-9)) / 2
 
     mu, sd, p75, p95, p99 = F.col("mu"), F.col("sd"), F.col("q")[0], F.col("q")[1], F.col("q")[2]
+    def row(name: str, critical: Column, high: Column, medium: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("method"), critical.cast("double").alias("critical"), high.cast("double").alias("high"),
+            medium.cast("double").alias("medium"),
+        )
+
+    fixed = config.FIXED_CUTS
     methods = F.array(
-        F.struct(F.lit("percentile").alias("method"), p99.alias("critical"), p95.alias("high"), p75.alias("medium")),
-        F.struct(F.lit("deviation"), mu + 2 * sd, mu + sd, mu),
-        F.struct(F.lit("fixed"), *[F.lit(c) for c in (2.5, 1.5, 1.0)]),
-        F.struct(
-            F.lit("mixed"), half((p99 + mu + 2 * sd) / 2), half((p95 + mu + sd) / 2), half((p75 + mu) / 2)
-        ),
+        row("percentile", p99, p95, p75),
+        row("deviation", mu + 2 * sd, mu + sd, mu),
+        row("fixed", F.lit(fixed.critical), F.lit(fixed.high), F.lit(fixed.medium)),
+        row("mixed", half((p99 + mu + 2 * sd) / 2), half((p95 + mu + sd) / 2), half((p75 + mu) / 2)),
     )
     return base.select(*keys, F.explode(methods).alias("m")).select(*keys, "m.*")
 

@@ -91,26 +91,25 @@ def anchored_parts(data: DataFrame, anchors: DataFrame | None, score: str, row_i
     # 'P' asks for rows up to its time, 'S' for rows from its time on.
     near, far = ("P", "S") if side == "before" else ("S", "P")
 
-    def asks(kind: str, w: int) -> DataFrame:
+    def ask(kind: str, w: int) -> Column:
         at = F.col("us") + sign * w * HOUR
-        return marks.select(
-            "key", F.floor(at / HOUR).alias("bucket"), at.alias("at"), F.lit(kind).alias("kind"), F.lit(w).alias("w"),
-            "id", hour.alias("home"), F.col("us"),
+        return F.struct(
+            F.floor(at / HOUR).alias("bucket"), at.alias("at"), F.lit(kind).alias("kind"), F.lit(w).alias("w"),
+            F.lit(own and w == 0).alias("is_row"),
         )
 
-    if own and near == "P":
-        base = rows.select("key", hour.alias("bucket"), F.col("us").alias("at"), F.lit("P").alias("kind"),
-                           F.lit(0).alias("w"), "id", hour.alias("home"), "us", "v", F.lit(True).alias("is_row"))
-        parts = [base]
+    # Every anchor becomes its look-ups in one pass; a row that is its own anchor doubles as the near look-up.
+    asked = marks if not own else rows
+    stream = asked.withColumn("home", hour).select(
+        "key", "id", "us", "home", *(["v"] if own else []),
+        F.inline(F.array(ask(near, 0), *[ask(far, w) for w in widths])),
+    )
+    if own:
+        stream = stream.withColumn("v", F.when(F.col("is_row"), F.col("v")))
     else:
-        parts = [
-            rows.select("key", hour.alias("bucket"), F.col("us").alias("at"), "v", F.lit(True).alias("is_row")),
-            asks(near, 0),
-        ]
-    lookups = parts + [asks(far, w) for w in widths]
-    stream = lookups[0]
-    for more in lookups[1:]:
-        stream = stream.unionByName(more, allowMissingColumns=True)
+        stream = rows.select("key", hour.alias("bucket"), F.col("us").alias("at"), "v").unionByName(
+            stream, allowMissingColumns=True
+        )
     upto = Window.partitionBy("key", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     # From the end of the hour: strictly later rows for 'before', equal times included for 'after'.
     last = -1 if side == "before" else 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import features, text
 from ..operators import aggregates, anomaly, risk, timeline, windows
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialise
 
 KEYS = aggregates.UPDATE_KEYS
 
@@ -28,6 +28,7 @@ def add_trend_alerts(scored: DataFrame, row_id: str = "doc_id", contamination: f
     """
     slim = scored.select("appid", row_id, "ts", "compound", "votes_up", F.length("review_content_processed").alias(
         "text_length"), F.col("topic").alias("dominant_topic"))
+    slim = materialise(slim)
     rolled = timeline.rolling_features(slim, score="compound", row_id=row_id)
     trends = timeline.trend_features(rolled, row_id=row_id)
     joined = timeline.add_hourly_count(slim).join(trends, ["appid", row_id])
