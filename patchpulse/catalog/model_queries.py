@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import coordinated
-from . import sql as S  # noqa: F401
+from ..functions import text
+from ..operators import coordinated, models, windows
+from ..plans import evidence, monitor
+from ..session import materialise
+from . import sql as S
 from . import views as V
 from .registry import iso, query, r6
 
@@ -17,3 +20,163 @@ def coordinated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, groups = coordinated.detect_coordinated(rows, "review_id", "review_content", keys=(), min_size=3)
     return groups.select(iso("time_window").alias("time_window"), "group_id", "size",
                          r6("avg_similarity").alias("avg_similarity"))
+
+
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.reviews(spark, sf_dir).select(
+        "review_id", "doc_id", "appid", "ts", "voted_up",
+        text.clean_text(F.coalesce("review_content", F.lit(""))).alias("p"))
+
+
+S.block("tf", """
+SELECT review_id, term, count(*) AS tf FROM (
+  SELECT review_id, unnest(string_split_regex(processed, '[^\\p{L}\\p{N}\\p{M}_]+')) AS term FROM rev_p)
+WHERE length(term) >= 2 GROUP BY ALL""", "rev_p")
+S.block("vocab", """
+SELECT term, df FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term) ORDER BY total DESC, term LIMIT 500""", "tf")
+S.block("tfw", """
+SELECT review_id, max(w) AS m, sum(w) AS s, sum(w * w) AS q, count(*) AS nz FROM (
+  SELECT review_id, tf * (ln(((SELECT count(*) FROM reviews_v) + 1) / (df + 1)) + 1) AS w FROM tf JOIN vocab USING (term))
+GROUP BY review_id""", "tf", "vocab", "reviews_v")
+
+
+@query("M1", S.with_blocks(f"""
+SELECT review_id, {S.s6('coalesce(m / sqrt(q), 0)')} AS tfidf_max,
+       {S.s6('coalesce(s / sqrt(q) / (SELECT count(*) FROM vocab), 0)')} AS tfidf_mean,
+       {S.s6("coalesce(sqrt(greatest(1.0::DOUBLE / (SELECT count(*) FROM vocab) - pow(s / sqrt(q) / (SELECT count(*) FROM vocab), 2), 0)), 0)")}
+         AS tfidf_std, coalesce(nz, 0) AS tfidf_nonzero_count
+FROM reviews_v LEFT JOIN tfw USING (review_id)""", "reviews_v", "tfw", "vocab"))
+def tfidf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = models.tfidf_stats(materialise(_processed(spark, sf_dir)), "p")
+    return out.select("review_id", *[r6(c).alias(c) for c in ("tfidf_max", "tfidf_mean", "tfidf_std")],
+                      "tfidf_nonzero_count")
+
+
+@query("M2, M3")
+def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialise(_processed(spark, sf_dir))
+    out = models.topic_categories(models.topic_model(rows, "p", iterations=5), "p")
+    return out.select("review_id", "dominant_topic", "topic_top2_pair", "topic_category",
+                      *[r6(c).alias(c) for c in ("dominant_topic_prob", "topic_entropy", "topic_top2_prob_product")],
+                      F.transform("topic_pca", lambda x: F.round(x, 4)).alias("topic_pca"))
+
+
+@query("M4", f"""
+SELECT vec_id, {S.s6('sqrt(q)')} AS embedding_norm, {S.s6('m')} AS embedding_mean,
+       {S.s6('sqrt(greatest(q / n - m * m, 0))')} AS embedding_std
+FROM (SELECT vec_id, len(embedding) AS n, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS q,
+             list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS m FROM embeddings)""")
+def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = models.embedding_stats(V.table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", *[r6(c).alias(c) for c in ("embedding_norm", "embedding_mean", "embedding_std")])
+
+
+@query("M4")
+def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = models.embedding_clusters(V.table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "embed_cluster_id", r6("embed_cluster_dist").alias("embed_cluster_dist"))
+
+
+@query("M6", S.with_blocks("""
+SELECT event_id, epoch_us(ts) <= (SELECT quantile_cont(epoch_us(ts)::DOUBLE, 0.8) FROM events_v) AS is_train,
+       CAST(len(list_filter((SELECT quantile_cont(epoch_us(ts)::DOUBLE, [0.166667, 0.333333, 0.5, 0.666667, 0.833333]) FROM events_v),
+         lambda c: epoch_us(ts) > c)) AS INT) AS time_part FROM events_v""", "events_v"))
+def time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = models.time_folds(models.time_split(V.scored_events(spark, sf_dir)))
+    return out.select("event_id", "is_train", "time_part")
+
+
+S.block("curve", """
+SELECT s, n, p, sum(n) OVER (ORDER BY s DESC) AS cn, sum(p) OVER (ORDER BY s DESC) AS cp,
+       sum(n) OVER () AS tn, sum(p) OVER () AS tp
+FROM (SELECT round(value / 1000, 6) AS s, count(*) AS n, count(*) FILTER (event_type IN ('error', 'view')) AS p FROM events_v GROUP BY 1)""",
+    "events_v")
+
+
+@query("M7", S.with_blocks(f"""
+SELECT {S.s6('sum(p / tp * (cp / cn))')} AS average_precision,
+       {S.s6('sum((n - p) * (cp - p + p / 2)) / (max(tp) * (max(tn) - max(tp)))')} AS roc_auc,
+       {S.s6('max(2 * cp / (cn + tp))')} AS f1,
+       {', '.join(f"{S.s6(f'sum(p * least(greatest(floor(tn * {k} + 1e-9) - (cn - n), 0), n) / n) / max(tp)')} AS recall_at_{int(k * 100)}" for k in (0.05, 0.10, 0.20))}
+FROM curve""", "curve"))
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = V.scored_events(spark, sf_dir).select(
+        (F.col("value") / 1000).alias("score"), F.col("event_type").isin("error", "view").cast("int").alias("target"))
+    out = models.evaluate(ev, "score", "target")
+    return out.select(*[r6(c).alias(c) for c in
+                        ("average_precision", "roc_auc", "f1", "recall_at_5", "recall_at_10", "recall_at_20")])
+
+
+@query("M7", S.with_blocks(f"""
+SELECT count(*) AS n_warned, {S.s6('avg((epoch_us(i) - epoch_us(a)) / 3600000000.0::DOUBLE)')} AS mean_lead_hours FROM (
+  SELECT n.gid, min(e.ts) AS a, max(n.published_at) AS i FROM notes_v n JOIN events_v e ON e.appid = n.appid
+   AND e.ts < n.published_at AND e.ts >= n.published_at - INTERVAL 72 HOUR AND e.score > 0.9 GROUP BY n.gid)""", "notes_v", "events_v"))
+def alert_lead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = V.scored_events(spark, sf_dir).where("score > 0.9")
+    notes = windows.patch_notes(V.news(spark, sf_dir)).select(
+        "appid", F.col("gid").alias("incident_id"), F.col("published_at").alias("ts"))
+    out = models.lead_time(alerts, notes)
+    return out.select("n_warned", r6("mean_lead_hours").alias("mean_lead_hours"))
+
+
+NUMERIC = ["votes_up", "votes_funny", "num_reviews", "text_length"]
+SENTIMENT = ["compound", "pos", "neg"]
+
+
+def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = monitor.score_rows(V.reviews(spark, sf_dir)).withColumn("text_length", F.length("review_content_processed"))
+    return materialise(rows.select("review_id", "ts", "review_content_processed", "risk_label_weak", *NUMERIC, *SENTIMENT))
+
+
+@query("M5")
+def text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialise(models.time_split(_training_rows(spark, sf_dir)))
+    model = models.train_text_classifier(
+        rows.where("is_train"), "review_content_processed", "risk_label_weak", max_features=3000, iterations=10)
+    scored = model.transform(rows.where("NOT is_train")).select("risk_label_weak", models.probability().alias("score"))
+    out = models.evaluate(scored, "score", "risk_label_weak")
+    return out.select(*[r6(c).alias(c) for c in ("average_precision", "roc_auc", "precision", "recall", "f1")],
+                      "tp", "fp", "fn", "tn")
+
+
+@query("M5, M9")
+def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _training_rows(spark, sf_dir)
+    model = models.train_boosted(rows, NUMERIC + SENTIMENT, "risk_label_weak", iterations=5)
+    return models.feature_importance(model, rows).withColumn("importance", r6("importance"))
+
+
+@query("M6, M8")
+def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = models.time_folds(_training_rows(spark, sf_dir), folds=2)
+    out = models.ablation(folded, {"base": NUMERIC, "sentiment": SENTIMENT}, "risk_label_weak", folds=2, iterations=3)
+    return out.withColumns({"pr_auc": r6("pr_auc"), "pr_auc_std": r6("pr_auc_std")})
+
+
+@query("L4")
+def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .impact_queries import report
+
+    full = report(spark, sf_dir)
+    notes = windows.patch_notes(V.news(spark, sf_dir))
+    return evidence.evidence_pack(full.summary, full.topics, evidence.patch_context(V.updates(spark, sf_dir), notes))
+
+
+@query("L4", S.with_blocks("""
+SELECT appid, update_id, string_agg('--- ' || title || ' ---' || chr(10) || substring(contents, 1, 600), chr(10) ORDER BY k) AS patch_context
+FROM (SELECT u.appid, u.update_id, n.title, n.contents,
+             row_number() OVER (PARTITION BY u.appid, u.update_id ORDER BY n.published_at DESC, n.gid) AS k
+      FROM updates_v u JOIN notes_v n ON n.appid = u.appid AND n.published_at >= u.update_ts - INTERVAL 7 DAY)
+WHERE k <= 3 GROUP BY ALL""", "updates_v", "notes_v"))
+def patch_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.patch_context(V.updates(spark, sf_dir), windows.patch_notes(V.news(spark, sf_dir)))
+
+
+@query("L5", S.with_blocks("""
+SELECT appid, update_id, 'Analysis complete. Risk level: ' || overall_risk || '. Negative ratio change: ' ||
+       printf('%+.1f%%', round_even(sentiment_delta * 100, 1)) || '.' AS narrative FROM stats JOIN overall USING (appid, update_id)""",
+    "stats", "overall"))
+def fallback_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .impact_queries import report
+
+    return evidence.fallback_narrative(report(spark, sf_dir).summary)
