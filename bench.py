@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from patchpulse.catalog import REGISTRY
@@ -30,6 +31,7 @@ def main() -> None:
         start = time.perf_counter()
         REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
         "sf": os.path.basename(sf_dir.rstrip("/")),
