@@ -520,7 +520,7 @@ SELECT appid, update_id, gid, forum_topic_id, event_name, gap_seconds FROM (
 
 S.block("near_event", _nearest_sql("announcements_v", "gid", 20), "updates_v", "announcements_v", "comments_v")
 S.block("note_events", "SELECT appid, gid, gid AS forum_topic_id, title AS event_name, published_at AS event_ts FROM notes_v", "notes_v")
-S.block("near_note", _nearest_sql("note_events", "gid", 200), "updates_v", "note_events", "comments_v")
+S.block("near_note", _nearest_sql("note_events", "gid", 1_000_000_000), "updates_v", "note_events", "comments_v")
 
 
 @query("J1, J2", S.with_blocks("""

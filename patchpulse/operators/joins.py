@@ -21,35 +21,36 @@ def usable_topics(comments: DataFrame) -> DataFrame:
 
 
 def _neighbours(updates: DataFrame, events: DataFrame, ts: str, tie: str, k: int) -> DataFrame:
-    """For every update the k dated events before it and the k after it (at most 2k pairs per update).
+    """For every update the dated events at the k nearest times before it and after it.
 
-    Events are numbered in time order per app, updates are placed in the same numbering, and only numbers within
-    k of an update's place are joined: no update meets all events of its app.
+    The distinct times of an app are numbered in order, updates are placed in the same numbering, and only numbers
+    within k of an update's place are joined: no update meets all events of its app. Of events at one time only
+    the k first can be among the k nearest.
     """
-    both = events.where(F.col(ts).isNotNull()).select("appid", F.col(ts).alias("_t"), F.col(tie).alias("_tie")).unionByName(
+    dated = top_per_group(
+        events.where(F.col(ts).isNotNull()).select("appid", F.col(ts).alias("_t"), F.col(tie).alias("_tie")),
+        ["appid", "_t"], k, [F.asc("_tie")], "_r").drop("_r")
+    both = dated.select("appid", "_t").distinct().unionByName(
         updates.select("appid", "update_id", F.col("update_ts").alias("_t")), allowMissingColumns=True
     )
-    is_event = F.col("update_id").isNull().cast("int")
-    day = F.floor(F.unix_seconds("_t") / 86400)
-    tagged = both.withColumn("_day", day)
-    per_day = tagged.groupBy("appid", "_day").agg(F.sum(is_event).alias("_n"))
+    is_time = F.col("update_id").isNull().cast("int")
+    tagged = both.withColumn("_day", F.floor(F.unix_seconds("_t") / 86400))
+    per_day = tagged.groupBy("appid", "_day").agg(F.sum(is_time).alias("_n"))
     shift = F.coalesce(
         F.sum("_n").over(Window.partitionBy("appid").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     per_day = per_day.select("appid", "_day", shift.alias("_shift"))
-    # Events at the update's very second come first, so they count as "before".
-    inner = Window.partitionBy("appid", "_day").orderBy("_t", is_event.desc(), "_tie").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    placed = tagged.withColumn("_in", F.sum(is_event).over(inner)).join(per_day, ["appid", "_day"]).withColumn(
+    # A time equal to the update's comes first, so it counts as "before".
+    inner = Window.partitionBy("appid", "_day").orderBy("_t", is_time.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = tagged.withColumn("_in", F.sum(is_time).over(inner)).join(per_day, ["appid", "_day"]).withColumn(
         "_pos", F.col("_in") + F.col("_shift")
     )
-    ev = placed.where("update_id IS NULL").select("appid", "_pos", "_tie", F.col("_t").alias("_event_ts"))
+    times = placed.where("update_id IS NULL").select("appid", "_pos", F.col("_t").alias("_event_ts"))
     up = placed.where("update_id IS NOT NULL").select(
         "appid", "update_id", F.col("_t").alias("_update_ts"),
         F.explode(F.sequence(F.col("_pos") - (k - 1), F.col("_pos") + k)).alias("_pos"),
     )
-    return up.join(ev, ["appid", "_pos"])
+    return up.join(times, ["appid", "_pos"]).join(dated.withColumnRenamed("_t", "_event_ts"), ["appid", "_event_ts"])
 
 
 def nearest_with_comments(updates: DataFrame, events: DataFrame, topics: DataFrame, ts: str = "event_ts",
@@ -84,7 +85,9 @@ def nearest_comment_source(updates: DataFrame, events: DataFrame, notes: DataFra
         "appid", "gid", F.col("gid").alias("forum_topic_id"), F.col("title").alias("event_name"),
         F.col("published_at").alias("event_ts"),
     )
-    by_note = nearest_with_comments(updates, note_events, topics, k=10 * config.NEAREST_EVENTS)
+    # Any note may serve, however far, so notes without comments drop out before the nearest one is taken.
+    commented = note_events.join(topics, ["appid", "forum_topic_id"], "left_semi")
+    by_note = nearest_with_comments(updates, commented, topics, k=1)
     e = by_event.select(*KEYS, F.struct("gid", "forum_topic_id", "event_name", "gap_seconds").alias("_e"))
     n = by_note.select(*KEYS, F.struct("gid", "forum_topic_id", "event_name", "gap_seconds").alias("_n"))
     out = updates.select(*KEYS).join(e, KEYS, "left").join(n, KEYS, "left")

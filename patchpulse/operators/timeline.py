@@ -53,11 +53,12 @@ def _merge(name: str, value: Column) -> Column:
 
 def anchored_parts(data: DataFrame, anchors: DataFrame | None, score: str, row_id: str, key: str = "appid",
                    ts: str = "ts", widths: tuple[int, ...] = config.ROLLING_HOURS, side: str = "before",
-                   cut: float = config.RATIO_CUT, inclusive_cut: bool = False) -> DataFrame:
+                   cut: float = config.RATIO_CUT, inclusive_cut: bool = False, buckets_per_hour: int = 1) -> DataFrame:
     """Additive parts of the score over one window per anchor and width (hours).
 
     ``side='before'``: rows of (t - w, t], equal times included. ``side='after'``: rows of [t, t + w].
-    With ``anchors=None`` every data row is an anchor. Returns key, row_id, _hour, ts_us and for every width the
+    With ``anchors=None`` every data row is an anchor. ``buckets_per_hour`` cuts time finer where a single hour of one
+    app is too much for a task. Returns key, row_id, _hour, ts_us and for every width the
     columns n_w, s_w, q_w, neg_w, pos_w, lo_w, hi_w.
     """
     shift = 1e-12 if inclusive_cut else 0.0
@@ -68,7 +69,8 @@ def anchored_parts(data: DataFrame, anchors: DataFrame | None, score: str, row_i
     marks = rows.drop("v") if own else anchors.select(
         F.col(key).alias("key"), F.col(row_id).alias("id"), micros(ts).alias("us")
     ).where("us IS NOT NULL")
-    hour = F.floor(F.col("us") / HOUR)
+    step = HOUR // buckets_per_hour
+    hour = F.floor(F.col("us") / step)
     sign = -1 if side == "before" else 1
 
     # Small table: one row per key and hour, with the sums of the whole hours inside each window.
@@ -81,7 +83,8 @@ def anchored_parts(data: DataFrame, anchors: DataFrame | None, score: str, row_i
         "key", "hour",
         *[
             (F.min if p == "lo" else F.max if p == "hi" else F.sum)(p).over(
-                by_hour.rangeBetween(-(w - 1), -1) if side == "before" else by_hour.rangeBetween(1, w - 1)
+                by_hour.rangeBetween(1 - w * buckets_per_hour, -1) if side == "before"
+                else by_hour.rangeBetween(1, w * buckets_per_hour - 1)
             ).alias(f"m_{p}_{w}")
             for w in widths for p in PARTS
         ],
@@ -94,7 +97,7 @@ def anchored_parts(data: DataFrame, anchors: DataFrame | None, score: str, row_i
     def ask(kind: str, w: int) -> Column:
         at = F.col("us") + sign * w * HOUR
         return F.struct(
-            F.floor(at / HOUR).alias("bucket"), at.alias("at"), F.lit(kind).alias("kind"), F.lit(w).alias("w"),
+            F.floor(at / step).alias("bucket"), at.alias("at"), F.lit(kind).alias("kind"), F.lit(w).alias("w"),
             F.lit(own and w == 0).alias("is_row"),
         )
 
@@ -204,9 +207,9 @@ def news_windows(news: DataFrame, comments: DataFrame, score: str = "score",
 
 
 def rolling_features(events: DataFrame, score: str = "score", row_id: str = "event_id", ts: str = "ts",
-                     widths: tuple[int, ...] = config.ROLLING_HOURS) -> DataFrame:
+                     widths: tuple[int, ...] = config.ROLLING_HOURS, buckets_per_hour: int = 1) -> DataFrame:
     """Rolling mean, std, min, max, negative/positive shares and rate of every row and width."""
-    parts = anchored_parts(events, None, score, row_id, ts=ts, widths=widths)
+    parts = anchored_parts(events, None, score, row_id, ts=ts, widths=widths, buckets_per_hour=buckets_per_hour)
     cols = []
     for w in widths:
         cols += [

@@ -43,6 +43,13 @@ def test_rolling_equals_brute_force(spark):
                 assert r[f"sentiment_rolling_std_{w}h"] is None
 
 
+def test_finer_buckets_change_nothing(spark):
+    df, _ = events(spark, n=200)
+    a, b = (timeline.rolling_features(df, buckets_per_hour=n).drop("_hour").toPandas().sort_values("event_id").reset_index(drop=True)
+            for n in (1, 4))
+    pd.testing.assert_frame_equal(a, b, check_exact=False, atol=1e-9)
+
+
 def test_trends_do_not_depend_on_partitioning(spark):
     df, rows = events(spark)
     outs = []
