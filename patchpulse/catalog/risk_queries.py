@@ -293,9 +293,9 @@ FROM reviews_v GROUP BY ALL""", "reviews_v")
 @query("R15", S.with_blocks(f"""
 SELECT appid, {S.iso('h')} AS hour, n AS n_reviews, k AS n_keyword FROM (
   SELECT *, avg(n) OVER (PARTITION BY appid) AS m, stddev_samp(n) OVER (PARTITION BY appid) AS s FROM hours)
-WHERE n > m + 2.5 * s AND k > 0""", "hours"))
+WHERE n > m + 1.0 * s AND k > 0""", "hours"))
 def detected_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = monitor.detect_updates(V.reviews(spark, sf_dir))
+    out = monitor.detect_updates(V.reviews(spark, sf_dir), sigma=1.0)
     return out.select("appid", iso("hour").alias("hour"), "n_reviews", "n_keyword")
 
 

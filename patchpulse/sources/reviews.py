@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config, schemas
 from ..functions import text
 
 
-def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """CSV with header; quoted fields may hold line breaks. All columns are text, so nothing is inferred."""
-    return spark.read.csv(paths, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+def read_csv(spark: SparkSession, paths: str | list[str], line_breaks: bool = True) -> DataFrame:
+    """CSV with header. All columns are text, so nothing is inferred.
+
+    Quoted fields may hold line breaks, which keeps Spark from splitting a file; large files known to have none
+    read in parallel with ``line_breaks=False``.
+    """
+    return spark.read.csv(paths, header=True, multiLine=line_breaks, quote='"', escape='"', inferSchema=False)
 
 
 def import_reviews(df: DataFrame, appid: str | None = None) -> DataFrame:
@@ -115,10 +120,14 @@ def new_rows(batch: DataFrame, existing: DataFrame, key: list[str], order: Colum
     return first.select(*key, "_first.*").select(*batch.columns)
 
 
-def store_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The stored rows, or none when nothing was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def ingest_reviews(batch: DataFrame, path: str) -> int:
@@ -134,14 +143,16 @@ def ingest_comments(batch: DataFrame, path: str) -> int:
 
 def _ingest(batch: DataFrame, path: str, key: list[str], order: Column) -> int:
     spark = batch.sparkSession
-    existing = spark.read.parquet(path) if store_exists(spark, path) else spark.createDataFrame([], batch.schema)
-    existing = existing.withColumn("appid", F.col("appid").cast("string"))
-    from pyspark.sql import Observation
-
+    existing = stored(spark, path, batch.schema).withColumn("appid", F.col("appid").cast("string"))
     seen = Observation()
-    fresh = new_rows(batch, existing, key, order).observe(seen, F.count(F.lit(1)).alias("n"))
-    within = ["appid"] + (["ts"] if "ts" in batch.columns else [])
-    fresh.sortWithinPartitions(*within).write.mode("append").partitionBy("appid").parquet(path)
+    fresh = new_rows(batch, existing, key, order)
+    # One file per app and day (or topic slice): few files, and a hot app is written by many tasks.
+    has_time = "ts" in batch.columns
+    piece = F.to_date("ts") if has_time else F.pmod(F.xxhash64(*key[:2]), F.lit(32))
+    within = ["appid", "ts"] if has_time else ["appid"]
+    # Counting comes last: an adaptive plan may drop a counter below an exchange that turned out empty.
+    laid_out = fresh.repartition("appid", piece).sortWithinPartitions(*within).observe(seen, F.count(F.lit(1)).alias("n"))
+    laid_out.write.mode("append").partitionBy("appid").parquet(path)
     return int(seen.get["n"])
 
 
