@@ -186,12 +186,13 @@ SELECT *, is_sentiment_anomaly + is_volume_anomaly + is_vote_anomaly + is_trend_
   WINDOW a AS (PARTITION BY appid))""", "rev_trend")
 
 
-def trend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trend_rows(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Scored reviews with rolling trends, numbers only."""
-    scored = risk_rows(spark, sf_dir).select(
-        "appid", "doc_id", "ts", "compound", "votes_up", F.length("review_content_processed").alias("text_length"),
+    scored = (risk_rows(spark, sf_dir).withColumn("text_length", F.length("review_content_processed"))
+              if rows is None else rows).select(
+        "appid", "doc_id", "ts", "compound", "votes_up", "text_length",
         F.col("topic").alias("dominant_topic"), "risk_label_weak")
-    scored = materialise(scored)
+    scored = materialise(scored) if rows is None else scored
     rolled = timeline.rolling_features(scored, score="compound", row_id="doc_id")
     trends = timeline.trend_features(rolled, row_id="doc_id")
     return timeline.add_hourly_count(scored).join(trends, ["appid", "doc_id"])
@@ -216,8 +217,8 @@ S.block("rev_sev", """
 SELECT *, (ens - min(ens) OVER ()) / (max(ens) OVER () - min(ens) OVER ()) AS sev FROM rev_ens""", "rev_ens")
 
 
-def ensemble_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = anomaly.detect_statistical(trend_rows(spark, sf_dir), ["appid"])
+def ensemble_rows(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    flagged = anomaly.detect_statistical(trend_rows(spark, sf_dir, rows), ["appid"])
     return anomaly.detect_combined(flagged.withColumn("ml_anomaly_score", F.abs("compound")))
 
 
@@ -276,8 +277,11 @@ SELECT appid, update_id, rule, severity, {S.s6('value')} AS value, {S.s6('thresh
 def crisis_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .. import config
 
-    alerts = anomaly.trend_alerts(ensemble_rows(spark, sf_dir)).select("doc_id", "trend_alert")
-    tagged = monitored(spark, sf_dir).join(alerts, "doc_id")
+    rows = materialise(risk_rows(spark, sf_dir).select(
+        "appid", "doc_id", "ts", "compound", "sentiment_label", "votes_up", "topic", "risk_score", "risk_level",
+        "risk_label_weak", F.length("review_content_processed").alias("text_length")))
+    alerts = anomaly.trend_alerts(ensemble_rows(spark, sf_dir, rows)).select("doc_id", "trend_alert")
+    tagged = monitor.in_window(rows, V.updates(spark, sf_dir)).join(alerts, "doc_id")
     updates = V.updates(spark, sf_dir).withColumn(
         "negative_sentiment_pct", F.expr("0.2D + 0.1D * (CAST(substring(appid, 4) AS INT) % 3)"))
     out = monitor.crisis_alerts(tagged, updates, cuts=config.CrisisThresholds(combined_rows=2))
@@ -285,17 +289,17 @@ def crisis_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 S.block("hours", f"""
-SELECT appid, date_trunc('hour', ts) AS h, count(*) AS n,
-       CAST(sum(coalesce(CAST({S.kw('review_content', ('update', 'patch'))} AS INT), 0)) AS BIGINT) AS k
-FROM reviews_v GROUP BY ALL""", "reviews_v")
+SELECT appid, date_trunc('hour', published_at) AS h, count(*) AS n,
+       CAST(sum(coalesce(CAST({S.kw('title', ('update', 'patch'))} AS INT), 0)) AS BIGINT) AS k
+FROM news_v GROUP BY ALL""", "news_v")
 
 
 @query("R15", S.with_blocks(f"""
 SELECT appid, {S.iso('h')} AS hour, n AS n_reviews, k AS n_keyword FROM (
   SELECT *, avg(n) OVER (PARTITION BY appid) AS m, stddev_samp(n) OVER (PARTITION BY appid) AS s FROM hours)
-WHERE n > m + 1.0 * s AND k > 0""", "hours"))
+WHERE n > m + 2.5 * s AND k > 0""", "hours"))
 def detected_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = monitor.detect_updates(V.reviews(spark, sf_dir), sigma=1.0)
+    out = monitor.detect_updates(V.news(spark, sf_dir).withColumnRenamed("published_at", "ts"), content="title")
     return out.select("appid", iso("hour").alias("hour"), "n_reviews", "n_keyword")
 
 

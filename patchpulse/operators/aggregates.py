@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import text
+from ..session import materialise
 from .windows import top_per_group
 
 UPDATE_KEYS = ["appid", "update_id"]
@@ -50,8 +52,9 @@ def window_stats(tagged: DataFrame, updates: DataFrame, keys: list[str] = UPDATE
 def topic_counts(tagged: DataFrame, keys: list[str]) -> DataFrame:
     """Rows and share of every topic label per group."""
     per_label = tagged.groupBy(*keys, F.col("topic").alias("label")).agg(F.count("*").alias("count"))
-    totals = per_label.groupBy(*keys).agg(F.sum("count").alias("_total"))
-    return per_label.join(totals, keys).withColumn("pct", F.bround(F.col("count") / F.col("_total"), 4)).drop("_total")
+    # One row per label from here, so the total is a window over a handful of rows and the texts are read once.
+    total = F.sum("count").over(Window.partitionBy(*keys))
+    return per_label.withColumn("pct", F.bround(F.col("count") / total, 4))
 
 
 def merge_announcement_themes(topics: DataFrame, themes: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
@@ -72,16 +75,19 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
 def distribution_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """Readable description of the raw rows of every group: votes, short texts and compound statistics."""
     content = F.col("review_content")
+    # Only votes, scores and the short texts are needed; they are kept so that scoring happens once.
+    df = materialise(df.select(
+        *keys, "voted_up", "compound", F.when(F.length(content) < 10, content).alias("review_content")))
     base = df.groupBy(*keys).agg(
         F.count("*").alias("n_total"),
         F.count_if(F.col("voted_up")).alias("n_recommended"),
-        F.count_if(F.length(content) < 10).alias("n_short"),
+        F.count("review_content").alias("n_short"),
         F.avg("compound").alias("mean_compound"),
         F.stddev_samp("compound").alias("std_compound"),
     )
     median = exact_median(df, keys, "compound", "median_compound")
     short = (
-        df.where(F.length(content) < 10)
+        df.where(content.isNotNull())
         .groupBy(*keys, text.strip_blank(content).alias("short_text"))
         .agg(F.count("*").alias("n"))
     )
