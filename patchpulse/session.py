@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,17 @@ def local_session(cores: int = 8, name: str = "patchpulse") -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per Spark context (Spark distributes the archive)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_patchpulse_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{root.name}", "zip", root.parent, root.name)
+    sc.addPyFile(archive)
+    sc._patchpulse_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables: the one the cluster names in ``spark.checkpoint.dir``.
 
