@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, decontaminate, repetition, secrets, toxicity
+from . import compression, decontaminate, extraction, repetition, secrets, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition rules over every document."""
