@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import compression, decontaminate, extraction, repetition, secrets, toxicity
+from . import compression, decontaminate, extraction, mixing, repetition, secrets, sharding, substrings, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,15 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(table(spark, sf_dir, "pages"))
 
 
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weights and the drawn documents."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+SQL["op3_source_mixing"] = mixing.oracle()
+
+
 @query
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition rules over every document."""
@@ -53,3 +63,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     return compression.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of repeated windows removed from every document."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of near-equal bytes."""
+    out = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=24)
+    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
