@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontaminate, extraction, mixing, repetition, secrets, sharding, substrings, toxicity
+from . import compression, decontaminate, extraction, mixing, neardup, repetition, secrets, sharding, substrings, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(table(spark, sf_dir, "pages"))
 
 
+@query
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 @query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weights and the drawn documents."""
