@@ -1,15 +1,58 @@
-"""A corpus from raw documents: filter, deduplicate, decontaminate, mix and shard."""
+"""A corpus from raw documents: quality filter, near-duplicates, benchmark passages, mixture, shards."""
 
 from __future__ import annotations
 
-STAGES: list = []
-#: The classifier and the signatures cannot be written in SQL; the stages are tested against brute force.
+from pyspark.sql import DataFrame, SparkSession
+
+from patchpulse.llm import compression, decontaminate, mixing, neardup, sharding
+from patchpulse.llm.common import table
+from patchpulse.session import fresh_path
+
+SHARDS = 24
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier takes for good; its labels come from the labels table."""
+    return compression.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, that of the least id."""
+    return neardup.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean_only(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with probabilities raked to the targets of sources, languages and topics."""
+    return mixing.draw(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The manifest: for each document its size, the CRC of its text, its shard and its place in it."""
+    return sharding.kd_shards(docs, shards=SHARDS)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mixture),
+    ("sharding", shards),
+]
+
+#: Dictionaries and signatures cannot be written in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages one after another over the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over the documents, each written as Parquet below the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = fresh_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import held_out, labelled_sample, scan, texts_of
+from .common import held_out, labelled_sample, scan, ship_package, texts_of
 
 #: The most texts of each class that are learned from, and the longest of them in characters.
 ROWS_PER_CLASS, MAX_CHARS = 3000, 100_000
@@ -131,10 +132,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         return docs
 
     def run(batches):
-        import pyarrow as pa
-
         score = scorer(model)
         for batch in batches:
             yield batch.filter(pa.array([r[0] >= threshold for r in score(texts_of(batch))], pa.bool_()))
 
+    ship_package(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

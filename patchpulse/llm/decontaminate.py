@@ -6,9 +6,10 @@ import hashlib
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import scan, texts_of
+from .common import scan, ship_package, texts_of
 
 WINDOW = 10
 #: Normalised benchmark bytes in one automaton; a larger benchmark is searched by several automata, one after another.
@@ -75,18 +76,8 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> list:
     return [*handles, sc.broadcast(block)] if block else handles
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Which words of each whole text lie inside a window of a benchmark item.
-
-    Reads ``doc_id``, ``text`` of ``docs`` and ``item_id``, ``text`` of ``benchmark``; other columns are ignored. Words are runs
-    of ASCII letters, digits and other scripts, lower-cased in A-Z. An item's windows are its runs of ``window`` words, or the
-    whole item if it is shorter. All windows of a block of items form one Aho-Corasick automaton, built once in each
-    task; a text is scanned once for each block, from beginning to end. Overlapping occurrences all count. ``spans`` are code
-    points of the original text. One block holds at most ``block_bytes``, so memory does not grow with the benchmark.
-
-    Null and empty texts have no words and no hits; items without words match nothing, null item ids are left out, and
-    repeated items count once. Repeated document rows give repeated results; empty tables give no rows or no hits.
-    """
+def finder(benchmark: DataFrame, window: int, block_bytes: int):
+    """Makes, once in a task, the function from texts to (normalised text, [(start, end, items)]) in bytes of the normalised text."""
     handles = blocks_of(benchmark, block_bytes)
 
     def start():
@@ -99,8 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 built[k] = automaton(handles[k].value, window)
             return built[k]
 
-        def work(batch):
-            texts = texts_of(batch)
+        def hits_of(texts):
             plain = [normalised(t) for t in texts]
             found: list[list[tuple[int, int, list[str]]]] = [[] for _ in texts]
             for k in range(len(handles)):
@@ -108,8 +98,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     for i, p in enumerate(plain):
                         if p:
                             found[i] += [(end - n + 1, end, items) for end, (n, items) in m.iter(p.decode("latin-1"))]
+            return zip(plain, found)
+
+        return hits_of
+
+    return start
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Which words of each whole text lie inside a window of a benchmark item.
+
+    Reads ``doc_id``, ``text`` of ``docs`` and ``item_id``, ``text`` of ``benchmark``; other columns are ignored. Words are runs
+    of ASCII letters, digits and other scripts, lower-cased in A-Z. An item's windows are its runs of ``window`` words, or the
+    whole item if it is shorter. All windows of a block of items form one Aho-Corasick automaton, built once in each
+    task; a text is scanned once for each block, from beginning to end. Overlapping occurrences all count. ``spans`` are code
+    points of the original text. One block holds at most ``block_bytes``, so memory does not grow with the benchmark.
+
+    Null and empty texts have no words and no hits; items without words match nothing, null item ids are left out, and
+    repeated items count once. Repeated document rows give repeated results; empty tables give no rows or no hits.
+    """
+    find = finder(benchmark, window, block_bytes)
+
+    def start():
+        hits_of = find()
+
+        def work(batch):
+            texts = texts_of(batch)
             out = {k: [] for k in ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans")}
-            for text, p, hits in zip(texts, plain, found):
+            for text, (p, hits) in zip(texts, hits_of(texts)):
                 n = p.count(b" ") - 1 if p else 0
                 hit, items = np.zeros(n, bool), []
                 if hits:
@@ -131,3 +147,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return work
 
     return scan(docs, ["doc_id", "text"], SCHEMA, start)
+
+
+def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows, with all their columns, whose text holds no window of any item."""
+    find = finder(benchmark, window, block_bytes)
+
+    def run(batches):
+        hits_of = find()
+        for batch in batches:
+            yield batch.filter(pa.array([not hits for _, hits in hits_of(texts_of(batch))], pa.bool_()))
+
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

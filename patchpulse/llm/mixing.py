@@ -14,8 +14,9 @@ SEED = "mix"
 #: Bytes of the table of cells up to which it is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8_000_000
 #: The corpus has no topics: the shape of a text stands in for one. Any SQL expression over the columns can take its place.
-TOPIC = r"""CASE WHEN words < 1 THEN 'empty' WHEN 20 * bars > words THEN 'table' WHEN words < 100 THEN 'short'
-     WHEN words < 1000 THEN 'medium' ELSE 'long' END"""
+TOPIC = """CASE WHEN __words < 1 THEN 'empty' WHEN 20 * __bars > __words THEN 'table' WHEN __words < 100 THEN 'short'
+     WHEN __words < 1000 THEN 'medium' ELSE 'long' END"""
+BARS = "length(coalesce(text, '')) - length(replace(coalesce(text, ''), '|', ''))"
 
 #: Python generates one text for Spark and for the database that checks it; only these parts differ.
 SPARK = {"words": r"regexp_count(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+')", "unit": "CAST(conv(substr(md5(concat('{seed}:', coalesce(CAST(doc_id AS STRING), ''))), 1, 12), 16, 10) AS BIGINT)"}
@@ -24,8 +25,8 @@ CHECK = {"words": r"len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]
 
 def document_sql(dialect: dict[str, str], source: str, topic: str = TOPIC) -> str:
     """Every document with its cell and tokens; null categories count as the empty one."""
-    return f"""SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, CAST(words AS BIGINT) AS tokens
-      FROM (SELECT doc_id, source, lang, {dialect["words"]} AS words, length(coalesce(text, '')) - length(replace(coalesce(text, ''), '|', '')) AS bars FROM {source}) w"""
+    return f"""SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, CAST(__words AS BIGINT) AS tokens
+      FROM (SELECT doc_id, source, lang, {dialect["words"]} AS __words, {BARS} AS __bars FROM {source}) w"""
 
 
 def cells_sql(documents: str, tempers: dict[str, float] | None = None, rounds: int = ROUNDS) -> str:
@@ -92,8 +93,7 @@ def draw(docs: DataFrame, tempers: dict[str, float] | None = None, rounds: int =
     """The drawn rows of ``docs`` with all their columns, in one more pass and without moving the texts."""
     spark = docs.sparkSession
     cells = fitted(docs, tempers, rounds, topic).select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("probability").alias("__p"))
-    shape = topic.replace("words", f"({SPARK['words']})").replace("bars", "(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '|', '')))")
-    keyed = docs.withColumn("__topic", F.expr(shape))
+    keyed = docs.withColumns({"__words": F.expr(SPARK["words"]), "__bars": F.expr(BARS)}).withColumn("__topic", F.expr(topic))
     match = (F.col("__s") == F.coalesce("source", F.lit(""))) & (F.col("__l") == F.coalesce("lang", F.lit(""))) & (F.col("__t") == F.col("__topic"))
     hit = F.expr(f"{SPARK['unit'].format(seed=seed)} < coalesce(__p, 1.0) * 281474976710656")
     return keyed.join(cells, match, "left").where(hit).select(*[keyed[c] for c in docs.columns])
