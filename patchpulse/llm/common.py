@@ -52,18 +52,19 @@ def scan(df: DataFrame, columns: list[str], schema: str, start: Callable[[], Cal
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """A bounded sample of learnable labelled texts, brought to the driver.
 
-    At most ``rows_per_class`` texts of each class and of at most ``max_chars`` characters each, those with the least hash
-    of id and text, so that the sample does not depend on partitions or their order. Held-out rows are left out.
+    At most ``rows_per_class`` documents of each class, those with the least hash of their id, so that the sample does not
+    depend on partitions or their order; of these the texts of at most ``max_chars`` characters. Held-out rows are left out. The
+    ids are chosen from the labels alone and broadcast, as their number is bounded, so no text is moved but those of the sample.
     """
     lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("__label"))
-    lab = lab.where(~held_out(F.col("doc_id")))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(lab, "doc_id")
-    rows = rows.withColumn("__order", F.xxhash64("doc_id", "text"))
-    out = []
+    lab = lab.where(~held_out(F.col("doc_id"))).withColumn("__order", F.xxhash64("doc_id"))
+    chosen = None
     for value in (0, 1):
-        part = rows.where(F.col("__label") == value).orderBy("__order", "doc_id").limit(rows_per_class)
-        out += [(r["text"], value) for r in part.select("text").collect()]
-    return out
+        part = lab.where(F.col("__label") == value).orderBy("__order", "doc_id").limit(rows_per_class)
+        chosen = part if chosen is None else chosen.union(part)
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__order", "__label").agg(F.min("text").alias("text"))
+    return [(r["text"], r["__label"]) for r in sorted(rows.collect(), key=lambda r: (r["__label"], r["__order"], r["doc_id"]))]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
