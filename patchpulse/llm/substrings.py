@@ -153,15 +153,14 @@ class Block:
             at = np.flatnonzero(some)
             if not len(at):
                 continue
-            # what is known needs no comparison: it travels in one bucket of its own choice
-            to = bucket[at] if not mark else docs[at] % self.buckets
-            at = at[np.lexsort((places[at], docs[at], to))]
-            to = bucket[at] if not mark else docs[at] % self.buckets
-            cuts = np.flatnonzero(np.diff(to)) + 1
+            # what is known needs no comparison: it travels in one bucket for each document
+            to = np.where(known, docs % self.buckets, bucket) if mark else bucket
+            at = at[np.lexsort((places[at], docs[at], to[at]))]
+            cuts = np.flatnonzero(np.diff(to[at])) + 1
             for part in np.split(at, cuts):
                 d, counts = np.unique(docs[part], return_counts=True)
                 keys = pack(first[part], 8) + pack(second[part], 4) if with_places else pack(low48(first[part]), 6)
-                yield int(bucket[part[0]] if not mark else docs[part[0]] % self.buckets), mark, d.tobytes(), counts.astype(np.uint32).tobytes(), keys, places[part].tobytes() if with_places else b""
+                yield int(to[part[0]]), mark, d.tobytes(), counts.astype(np.uint32).tobytes(), keys, places[part].tobytes() if with_places else b""
         self.clear()
 
 
@@ -210,14 +209,36 @@ def decoded(table: pa.Table, with_places: bool):
     return [np.concatenate(x) for x in (docs, first, second, places, known)]
 
 
-def by_document(docs: np.ndarray, values: np.ndarray, size: int, name: str) -> pa.Table:
-    order = np.argsort(docs, kind="stable")
-    ids, at = np.unique(docs[order], return_index=True)
-    parts = np.split(values[order], at[1:]) if len(ids) else []
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), name: pa.array([pack(x.astype(np.uint64), size) for x in parts], pa.binary())})
+REPLY = "home int, docs binary, counts binary, found binary"
 
 
-def shared_anchors(rows: DataFrame) -> DataFrame:
+def replies(docs: np.ndarray, values: np.ndarray, size: int, homes: int) -> pa.Table:
+    """What a bucket has found, a row for each home of documents, so that rows follow homes and not documents times buckets."""
+    home = (mix64(docs.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    order = np.lexsort((docs, home))
+    home, docs, values = home[order], docs[order], values[order]
+    rows = [(int(home[part[0]]), *np.unique(docs[part], return_counts=True), values[part]) for part in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(home)) + 1) if len(part)]
+    cells = [[r[0] for r in rows], [r[1].tobytes() for r in rows], [r[2].astype(np.uint32).tobytes() for r in rows], [pack(r[3].astype(np.uint64), size) for r in rows]]
+    return pa.table([pa.array(cells[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cells[1:])], names=["home", "docs", "counts", "found"])
+
+
+def by_document(found: DataFrame, size: int, name: str) -> DataFrame:
+    """``doc_id`` and all that the buckets have found for it, in one row."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        docs, values = [], []
+        for d, c, v in zip(*(table.column(n).to_pylist() for n in ("docs", "counts", "found"))):
+            docs.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)))
+            values.append(unpack(v, size))
+        docs, values = np.concatenate(docs), np.concatenate(values)
+        order = np.argsort(docs, kind="stable")
+        ids, at = np.unique(docs[order], return_index=True)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), name: pa.array([pack(x, size) for x in np.split(values[order], at[1:])], pa.binary())})
+
+    return found.groupBy("home").applyInArrow(merge, f"doc_id bigint, {name} binary")
+
+
+def shared_anchors(rows: DataFrame, homes: int) -> DataFrame:
     """``doc_id``, ``shared``: the anchors of each document that another document holds as well."""
 
     def compare(table: pa.Table) -> pa.Table:
@@ -228,10 +249,9 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
         shared = known.copy()
         shared[order[1:][same]] = True
         shared[order[:-1][same]] = True
-        return by_document(docs[shared], keys[shared], 6, "shared")
+        return replies(docs[shared], keys[shared], 6, homes)
 
-    found = rows.groupBy("bucket").applyInArrow(compare, "doc_id bigint, shared binary")
-    return found.groupBy("doc_id").agg(F.collect_list("shared").alias("shared"))
+    return by_document(rows.groupBy("bucket").applyInArrow(compare, REPLY), 6, "shared")
 
 
 def window_rows(joined: DataFrame, buckets: int) -> DataFrame:
@@ -247,7 +267,7 @@ def window_rows(joined: DataFrame, buckets: int) -> DataFrame:
                     continue
                 words = word_hashes(raw_of(texts[i].as_py()))
                 at, keys = anchors(words)
-                at = at[np.isin(low48(keys), unpack(b"".join(shared), 6))]
+                at = at[np.isin(low48(keys), unpack(shared, 6))]
                 n = len(words) - WINDOW + 1
                 change = np.zeros(len(words) + 1, np.int64)
                 np.add.at(change, np.maximum(at - PERIOD + 1, 0), 1)
@@ -265,7 +285,7 @@ def window_rows(joined: DataFrame, buckets: int) -> DataFrame:
     return scan(joined, ["doc_id", "text", "shared"], KEYS, start)
 
 
-def later_windows(rows: DataFrame) -> DataFrame:
+def later_windows(rows: DataFrame, homes: int) -> DataFrame:
     """``doc_id``, ``starts``: the windows of each document that a smaller document holds."""
 
     def compare(table: pa.Table) -> pa.Table:
@@ -276,10 +296,9 @@ def later_windows(rows: DataFrame) -> DataFrame:
         if len(order):
             new = np.concatenate(([True], (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])))
             later[order] = docs[order] > docs[order][new][np.cumsum(new) - 1]
-        return by_document(docs[later], places[later], 4, "starts")
+        return replies(docs[later], places[later], 4, homes)
 
-    found = rows.groupBy("bucket").applyInArrow(compare, "doc_id bigint, starts binary")
-    return found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    return by_document(rows.groupBy("bucket").applyInArrow(compare, REPLY), 4, "starts")
 
 
 RESULT = "doc_id: bigint, n_words: bigint, n_removed: bigint, kept_sha256: string"
@@ -303,8 +322,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, bucket_bytes: int =
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(spread, -(-total // bucket_bytes))
-    shared = shared_anchors(anchor_rows(docs, buckets))
-    marks = later_windows(window_rows(docs.join(shared, "doc_id", "left"), buckets))
+    shared = shared_anchors(anchor_rows(docs, buckets), buckets)
+    marks = later_windows(window_rows(docs.join(shared, "doc_id", "left"), buckets), buckets)
 
     def start():
         def work(batch):
@@ -314,7 +333,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, bucket_bytes: int =
                 words = raw_of(texts[i].as_py()).split()
                 kept = words
                 if starts:
-                    at = unpack(b"".join(starts), 4).astype(np.int64)
+                    at = unpack(starts, 4).astype(np.int64)
                     change = np.zeros(max(len(words), int(at.max()) + WINDOW) + 1, np.int64)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + WINDOW, -1)
