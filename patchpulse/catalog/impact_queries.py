@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import windows
 from ..plans import impact
 from . import sql as S
 from . import views as V
@@ -14,7 +15,9 @@ STAT_COLS = [f"{w}_{c}" for w in ("pre", "post") for c in ("mean", "positive", "
 
 
 def report(spark: SparkSession, sf_dir: str) -> impact.ImpactReport:
-    return impact.impact_report(V.reviews(spark, sf_dir), V.updates(spark, sf_dir), V.comments(spark, sf_dir))
+    return impact.impact_report(
+        V.reviews(spark, sf_dir), V.updates(spark, sf_dir), V.comments(spark, sf_dir), V.announcements(spark, sf_dir),
+        windows.patch_notes(V.news(spark, sf_dir)))
 
 
 @query("R7", S.with_blocks(f"""

@@ -55,7 +55,7 @@ def tfidf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M2, M3")
 def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(_processed(spark, sf_dir))
-    out = models.topic_categories(models.topic_model(rows, "p", iterations=5), "p")
+    out = models.topic_categories(models.topic_model(rows, "p"), "p")
     return out.select("review_id", "dominant_topic", "topic_top2_pair", "topic_category",
                       *[r6(c).alias(c) for c in ("dominant_topic_prob", "topic_entropy", "topic_top2_prob_product")],
                       F.transform("topic_pca", lambda x: F.round(x, 4)).alias("topic_pca"))
@@ -89,7 +89,7 @@ def time_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 S.block("curve", """
 SELECT s, n, p, sum(n) OVER (ORDER BY s DESC) AS cn, sum(p) OVER (ORDER BY s DESC) AS cp,
        sum(n) OVER () AS tn, sum(p) OVER () AS tp
-FROM (SELECT round(value / 1000, 6) AS s, count(*) AS n, count(*) FILTER (event_type IN ('error', 'view')) AS p FROM events_v GROUP BY 1)""",
+FROM (SELECT value / 1000 AS s, count(*) AS n, count(*) FILTER (event_type IN ('error', 'view')) AS p FROM events_v GROUP BY 1)""",
     "events_v")
 
 
@@ -132,7 +132,7 @@ def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(models.time_split(_training_rows(spark, sf_dir)))
     model = models.train_text_classifier(
-        rows.where("is_train"), "review_content_processed", "risk_label_weak", max_features=3000, iterations=10)
+        rows.where("is_train"), "review_content_processed", "risk_label_weak")
     scored = model.transform(rows.where("NOT is_train")).select("risk_label_weak", models.probability().alias("score"))
     out = models.evaluate(scored, "score", "risk_label_weak")
     return out.select(*[r6(c).alias(c) for c in ("average_precision", "roc_auc", "precision", "recall", "f1")],
@@ -142,7 +142,7 @@ def text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M5, M9")
 def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _training_rows(spark, sf_dir)
-    model = models.train_boosted(rows, NUMERIC + SENTIMENT, "risk_label_weak", iterations=5)
+    model = models.train_boosted(rows, NUMERIC + SENTIMENT, "risk_label_weak")
     return models.feature_importance(model, rows).withColumn("importance", r6("importance"))
 
 

@@ -24,6 +24,12 @@ def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.scored_windows(V.reviews(spark, sf_dir), V.updates(spark, sf_dir))
 
 
+def comment_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.nearest_comment_source(
+        V.updates(spark, sf_dir), V.announcements(spark, sf_dir), windows.patch_notes(V.news(spark, sf_dir)),
+        V.comments(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------------------------- scans, filters
 
 
@@ -67,23 +73,24 @@ def comment_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("F6", S.with_blocks(
     "SELECT appid, update_id, comment_id, md5(content) AS content_md5, position FROM comm_kept", "comm_kept"))
 def comment_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = V.comments(spark, sf_dir).join(V.updates(spark, sf_dir).select(*KEYS), "appid")
+    joined = joins.comments_of_updates(V.comments(spark, sf_dir), comment_sources(spark, sf_dir))
     out = comment_ops.prefilter(joined, KEYS)
     return out.select(*KEYS, "comment_id", F.md5("content").alias("content_md5"), "position")
 
 
-@query("F6", S.with_blocks("""
+@query("F6", S.with_blocks(f"""
 SELECT appid, n_raw, n_kept, n_raw - n_kept AS n_removed FROM (
-  SELECT c.appid, count(*) AS n_raw, (SELECT count(*) FROM comm_kept k WHERE k.appid = c.appid) AS n_kept
-  FROM comments_v c GROUP BY c.appid)""", "comments_v", "comm_kept"))
+  SELECT appid, count(*) AS n_raw, count(DISTINCT CASE WHEN length(body) >= 5
+           AND NOT regexp_matches(body, '(?i)^This comment is awaiting analysis') THEN body END) AS n_kept
+  FROM (SELECT appid, {S.strip("content")} AS body FROM comments_v) GROUP BY appid)""", "comments_v"))
 def comment_prefilter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comment_ops.prefilter_counts(V.comments(spark, sf_dir), ["appid"])
 
 
 @query("F7", S.with_blocks("""
-SELECT appid, update_id, review_id, compound, CAST(k AS INT) AS queue_pos FROM (
+SELECT appid, update_id, review_id, compound, k AS queue_pos FROM (
   SELECT *, row_number() OVER (PARTITION BY appid, update_id ORDER BY ts, review_id) AS k FROM scored
-  WHERE "window" = 'post' AND compound BETWEEN -0.2 AND 0.2) WHERE k <= 100""", "scored"))
+  WHERE "window" = 'post' AND compound BETWEEN -0.2 AND 0.2)""", "scored"))
 def gray_zone_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = scored_windows(spark, sf_dir).where("window = 'post'")
     return windows.gray_queue(post, KEYS).select(*KEYS, "review_id", "compound", "queue_pos")
@@ -102,8 +109,8 @@ def vote_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("F9", S.with_blocks(
     "SELECT review_id, CASE WHEN voted_up THEN 9.0::DOUBLE ELSE compound END AS compound FROM rev_s", "rev_s"))
 def feature_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = V.reviews(spark, sf_dir).select("review_id", F.expr("if(voted_up, 9D, NULL)").alias("compound"))
-    return windows.fill_missing(base, scored_reviews(spark, sf_dir), ["review_id"], "compound")
+    base = V.reviews(spark, sf_dir).select("review_id", "review_content", F.expr("if(voted_up, 9D, NULL)").alias("compound"))
+    return features.backfill_sentiment(base).select("review_id", "compound")
 
 
 # --------------------------------------------------------------------------------------------- cleaning
@@ -334,8 +341,8 @@ def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("L1", S.with_blocks("""
 SELECT appid, label AS topic, count(*) AS n_rows FROM (
-  SELECT appid, CASE WHEN contains(substring(processed, 1, 300), 'lag') THEN 'performance'
-                     WHEN contains(substring(processed, 1, 300), 'love') THEN 'gameplay' ELSE 'other' END AS label
+  SELECT appid, CASE WHEN contains(processed, 'lag') THEN 'performance'
+                     WHEN contains(processed, 'love') THEN 'gameplay' ELSE 'other' END AS label
   FROM rev_p) GROUP BY ALL""", "rev_p"))
 def topic_counts_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     def classify(texts: list[str]) -> list[str]:
@@ -344,26 +351,33 @@ def topic_counts_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = V.reviews(spark, sf_dir).select(
         "appid", text.clean_text(F.coalesce("review_content", F.lit(""))).alias("p"))
     out = comment_ops.apply_labeller(
-        base, "p", "topic", classify, config.TOPIC_LABELS, "other", config.TOPIC_BATCH, config.TOPIC_TEXT_CHARS)
+        base, "p", "topic", classify, config.TOPIC_LABELS, "other", config.TOPIC_BATCH)
     return out.groupBy("appid", "topic").agg(F.count("*").alias("n_rows"))
 
 
 def announcement_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = V.comments(spark, sf_dir).join(V.updates(spark, sf_dir).select(*KEYS), "appid")
+    joined = joins.comments_of_updates(V.comments(spark, sf_dir), comment_sources(spark, sf_dir))
     labelled = comment_ops.label_comments(comment_ops.prefilter(joined, KEYS))
     return labelled.groupBy(*KEYS, F.col("theme").alias("label")).agg(F.count("*").alias("count"))
 
 
-@query("G4, K2", S.with_blocks("""
-SELECT appid, update_id, label, "count", pct, CAST(k AS INT) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY appid, update_id ORDER BY "count" DESC, label) AS k FROM (
-    SELECT * FROM topics UNION ALL SELECT appid, update_id, '[announcement] ' || label, "count", 0.0 FROM themes))
-WHERE k <= 10""", "topics", "themes"))
-def top_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+S.block("ranked_topics", """
+SELECT appid, update_id, label, "count", pct, CAST(row_number() OVER (PARTITION BY appid, update_id ORDER BY "count" DESC, label) AS INT) AS rank
+FROM (SELECT * FROM topics UNION ALL SELECT appid, update_id, '[announcement] ' || label, "count", 0.0 FROM themes)""", "topics", "themes")
+
+
+@query("G4", S.with_blocks("SELECT * FROM ranked_topics", "ranked_topics"))
+def merged_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.merge_announcement_themes(
         topic_counts(spark, sf_dir), announcement_themes(spark, sf_dir), KEYS)
 
 
+@query("K2", S.with_blocks("SELECT * FROM ranked_topics WHERE rank <= 3", "ranked_topics"))
+def top_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.merge_announcement_themes(
+        topic_counts(spark, sf_dir), announcement_themes(spark, sf_dir), KEYS, k=3)
+
+
 @query("G5, X16", S.with_blocks(f"""
 SELECT b.appid, b."window", n_total, n_recommended, n_short, {S.s6('m')} AS mean_compound, {S.s6('md')} AS median_compound,
        {S.s6('sd')} AS std_compound, coalesce(top_short, '') AS top_short
@@ -407,7 +421,7 @@ def representative_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("G8, L3", S.with_blocks("SELECT * FROM comm_stats", "comm_stats"))
 def comment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impact.update_comments(V.comments(spark, sf_dir), V.updates(spark, sf_dir))
+    return impact.update_comments(V.comments(spark, sf_dir), comment_sources(spark, sf_dir))
 
 
 @query("G8, G9, L3", S.with_blocks("""
@@ -431,7 +445,7 @@ def chunked_comment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         odd = sum("dead" not in t and len(t) % 2 == 1 for t in texts)
         return {"sentiment": {"positive": odd, "neutral": len(texts) - dead - odd, "negative": dead}}
 
-    joined = V.comments(spark, sf_dir).join(V.updates(spark, sf_dir).select(*KEYS), "appid")
+    joined = joins.comments_of_updates(V.comments(spark, sf_dir), comment_sources(spark, sf_dir))
     chunked = comment_ops.add_chunks(comment_ops.prefilter(joined, KEYS), KEYS)
     return aggregates.comment_stats(comment_ops.analyse_chunks(chunked, KEYS, analyse), KEYS)
 
@@ -504,35 +518,9 @@ def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------------------------- joins
 
 
-def _nearest_sql(events: str, tie: str, k: int) -> str:
-    return f"""
-SELECT appid, update_id, gid, forum_topic_id, event_name, gap_seconds FROM (
-  SELECT *, row_number() OVER (PARTITION BY appid, update_id ORDER BY cand) AS pick FROM (
-    SELECT u.appid, u.update_id, e.gid, e.forum_topic_id, e.event_name,
-           abs(epoch(e.event_ts)::BIGINT - epoch(u.update_ts)::BIGINT) AS gap_seconds,
-           row_number() OVER (PARTITION BY u.appid, u.update_id
-             ORDER BY abs(epoch(e.event_ts)::BIGINT - epoch(u.update_ts)::BIGINT) NULLS LAST, e.gid) AS cand
-    FROM updates_v u JOIN {events} e ON e.appid = u.appid) c
-  WHERE cand <= {k} AND forum_topic_id <> ''
-    AND EXISTS (SELECT 1 FROM comments_v x WHERE x.appid = c.appid AND x.forum_topic_id = c.forum_topic_id
-                AND {S.strip('x.content')} <> '')) WHERE pick = 1"""
-
-
-S.block("near_event", _nearest_sql("announcements_v", "gid", 20), "updates_v", "announcements_v", "comments_v")
-S.block("note_events", "SELECT appid, gid, gid AS forum_topic_id, title AS event_name, published_at AS event_ts FROM notes_v", "notes_v")
-S.block("near_note", _nearest_sql("note_events", "gid", 1_000_000_000), "updates_v", "note_events", "comments_v")
-
-
-@query("J1, J2", S.with_blocks("""
-SELECT u.appid, u.update_id, CASE WHEN e.gid IS NOT NULL THEN 'announcement' WHEN n.gid IS NOT NULL THEN 'patch_note' END
-         AS comment_source, coalesce(e.gid, n.gid) AS gid, coalesce(e.forum_topic_id, n.forum_topic_id) AS forum_topic_id,
-       coalesce(e.event_name, n.event_name) AS event_name, coalesce(e.gap_seconds, n.gap_seconds) AS gap_seconds
-FROM updates_v u LEFT JOIN near_event e USING (appid, update_id) LEFT JOIN near_note n USING (appid, update_id)""",
-    "near_event", "near_note"))
+@query("J1, J2", S.with_blocks("SELECT * FROM comment_source", "comment_source"))
 def nearest_comment_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.nearest_comment_source(
-        V.updates(spark, sf_dir), V.announcements(spark, sf_dir), windows.patch_notes(V.news(spark, sf_dir)),
-        V.comments(spark, sf_dir))
+    return comment_sources(spark, sf_dir)
 
 
 @query("J3", S.with_blocks("""
@@ -547,25 +535,39 @@ def comment_source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.first_source(sources, ["appid", "forum_topic_id"]).select("appid", "comment_id", "source_priority")
 
 
+def second_opinion(texts: list[str]) -> list[str]:
+    return ["negative" if "lag" in t else "positive" if "tion" in t else "unsure" for t in texts]
+
+
+S.block("relabelled", """
+SELECT * REPLACE (CASE WHEN "window" = 'post' AND compound BETWEEN -0.2 AND 0.2 THEN
+    CASE WHEN contains(processed, 'lag') THEN 'negative' WHEN contains(processed, 'tion') THEN 'positive' ELSE 'neutral' END
+  ELSE sentiment_label END AS sentiment_label) FROM scored""", "scored")
+S.window_stats("relabelled_windows", "relabelled")
+S.block("relabelled_with_comments", """
+SELECT s.*, c.negative_pct AS cneg, c.n_comments FROM relabelled_windows s LEFT JOIN comm_stats c USING (appid, update_id)""",
+        "relabelled_windows", "comm_stats")
+
+
 @query("J8, L2", S.with_blocks(f"""
 SELECT appid, update_id, {', '.join(f"{S.s6(f'''avg(CASE WHEN lab = '{v}' THEN 1.0::DOUBLE ELSE 0 END)''')} AS {v}_pct" for v in aggregates.LABELS)},
        count(*) AS n_reviews
-FROM (SELECT *, CASE WHEN k <= 100 AND gray THEN
-        CASE WHEN contains(substring(processed, 1, 250), 'lag') THEN 'negative'
-             WHEN contains(substring(processed, 1, 250), 'tion') THEN 'positive' ELSE 'neutral' END
-        ELSE sentiment_label END AS lab
-      FROM (SELECT *, compound BETWEEN -0.2 AND 0.2 AS gray,
-              row_number() OVER (PARTITION BY appid, update_id, compound BETWEEN -0.2 AND 0.2 ORDER BY ts, review_id) AS k
-            FROM scored WHERE "window" = 'post')) GROUP BY appid, update_id""", "scored"))
+FROM (SELECT *, sentiment_label AS lab FROM relabelled WHERE "window" = 'post') GROUP BY appid, update_id""", "relabelled"))
 def relabelled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def classify(texts: list[str]) -> list[str]:
-        return ["negative" if "lag" in t else "positive" if "tion" in t else "unsure" for t in texts]
-
     post = scored_windows(spark, sf_dir).where("window = 'post'")
-    out = aggregates.sentiment_stats(relabel.relabel_gray(post, classify), KEYS)
+    out = aggregates.sentiment_stats(relabel.relabel_gray(post, second_opinion), KEYS)
     return out.select(*KEYS, *[r6(f"{v}_pct").alias(f"{v}_pct") for v in aggregates.LABELS], "n_reviews")
 
 
+@query("L2", S.with_blocks(f"""
+SELECT *, {S.RANK} AS severity_rank FROM (
+  SELECT *, 'initial' AS stage FROM ({S.SIGNALS.format(src='with_comments')})
+  UNION ALL SELECT *, 'relabelled' FROM ({S.SIGNALS.format(src='relabelled_with_comments')}))""", "with_comments", "relabelled_with_comments"))
+def relabelled_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comm = impact.update_comments(V.comments(spark, sf_dir), comment_sources(spark, sf_dir))
+    return relabel.relabelled_signals(scored_windows(spark, sf_dir), V.updates(spark, sf_dir), comm, second_opinion).drop("description")
+
+
 @query("J11", S.with_blocks("""
 SELECT r.review_id, r.appid, coalesce(a.name, 'App ' || r.appid) AS app_name, coalesce(a.developer, 'Unknown') AS developer
 FROM reviews_v r LEFT JOIN (SELECT concat('src', CAST(n_nationkey AS VARCHAR)) AS appid, n_name AS name, r_name AS developer

@@ -37,7 +37,7 @@ SELECT substring(appid, 4) AS appid, substring(md5(concat('u', author_id, '-', d
        'english' AS language
 FROM reviews_v WHERE doc_id % 50 <> 7 AND review_content IS NOT NULL AND {S.strip('review_content')} <> ''""", "reviews_v"))
 def legacy_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rv.import_reviews(rv.read_csv(spark, [_legacy_file(spark, sf_dir)]))
+    out = rv.import_reviews(rv.read_csv(spark, [_legacy_file(spark, sf_dir)], line_breaks=True))
     return out.select("appid", "review_id", F.md5("review_content").alias("content_md5"), "voted_up", iso("ts").alias("ts"),
                       "playtime_hours", "votes_up", "votes_funny", "num_games_owned", "steam_purchase", "language")
 
@@ -165,7 +165,7 @@ def genre_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "genres")
     rows = V.reviews(spark, sf_dir).selectExpr("review_id", "review_content AS review", "votes_up AS helpful_votes", "language")
     rows.write.partitionBy("language").option("header", True).option("escape", '"').csv(path)
-    out = rv.read_by_genre(spark, f"{path}/language=*", r"language=([a-z]+)/[^/]*$")
+    out = rv.read_by_genre(spark, f"{path}/language=*", r"language=([a-z]+)/[^/]*$", line_breaks=True)
     return out.groupBy("genre").agg(F.count("*").alias("n_rows"), F.sum("votes_up").alias("votes_up"),
                                     F.sum("num_reviews").alias("num_reviews"))
 

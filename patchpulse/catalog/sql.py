@@ -73,10 +73,10 @@ SELECT CAST(d.doc_id AS VARCHAR) AS review_id, d.doc_id, d.source AS appid,
 FROM documents d JOIN events e ON e.event_id = d.doc_id * 5 LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 
 block("updates_v", """
-SELECT source AS appid, concat(source, '-u1') AS update_id,
-       CASE CAST(substring(source, 4) AS INT) % 3 WHEN 0 THEN TIMESTAMP '2024-01-07 00:00:00'
-            WHEN 1 THEN TIMESTAMP '2024-01-08 00:00:00' ELSE TIMESTAMP '2024-01-09 00:00:00' END AS update_ts
-FROM (SELECT DISTINCT source FROM documents) s""")
+SELECT source AS appid, concat(source, u) AS update_id, CASE WHEN u = '-u1' THEN first_ts ELSE first_ts + INTERVAL 5 DAY END AS update_ts
+FROM (SELECT source, CASE CAST(substring(source, 4) AS INT) % 3 WHEN 0 THEN TIMESTAMP '2024-01-07 00:00:00'
+            WHEN 1 THEN TIMESTAMP '2024-01-08 00:00:00' ELSE TIMESTAMP '2024-01-09 00:00:00' END AS first_ts
+      FROM (SELECT DISTINCT source FROM documents) d) s, (VALUES ('-u1'), ('-u2')) AS v(u)""")
 
 block("news_v", """
 SELECT CAST(event_id AS VARCHAR) AS gid, concat('src', CAST(user_id % 20 AS VARCHAR)) AS appid,
@@ -92,7 +92,7 @@ SELECT * FROM news_v WHERE list_has_any(string_split_regex(lower(title), '\\s+')
 """, "news_v")
 
 block("comments_v", """
-SELECT concat('src', CAST(conv_id % 20 AS VARCHAR)) AS appid, CAST(conv_id AS VARCHAR) AS forum_topic_id,
+SELECT concat('src', CAST(conv_id % 19 AS VARCHAR)) AS appid, CAST(conv_id AS VARCHAR) AS forum_topic_id,
        concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS comment_id,
        CASE WHEN turn = 0 AND conv_id % 5 = 0 THEN ' gg '
             WHEN turn = 1 AND conv_id % 5 = 1 THEN 'This comment is awaiting analysis by our system'
@@ -101,7 +101,7 @@ SELECT concat('src', CAST(conv_id % 20 AS VARCHAR)) AS appid, CAST(conv_id AS VA
 FROM conversations""")
 
 block("announcements_v", """
-SELECT concat('src', CAST(c.conv_id % 20 AS VARCHAR)) AS appid, concat('g', CAST(c.conv_id AS VARCHAR)) AS gid,
+SELECT concat('src', CAST(c.conv_id % 19 AS VARCHAR)) AS appid, concat('g', CAST(c.conv_id AS VARCHAR)) AS gid,
        CASE WHEN c.conv_id % 11 = 0 THEN '' ELSE CAST(c.conv_id AS VARCHAR) END AS forum_topic_id,
        CASE WHEN c.conv_id % 13 = 0 THEN NULL ELSE date_trunc('second', e.ts) END AS event_ts,
        e.event_type AS event_name
@@ -226,15 +226,41 @@ FROM rev_s r JOIN updates_v u ON u.appid = r.appid
  AND r.ts >= u.update_ts - INTERVAL 7 DAY AND r.ts <= u.update_ts + INTERVAL 7 DAY
 WHERE r.ts < u.update_ts OR r.exclude_reason IS NULL""", "rev_s", "updates_v")
 
+
+
+def nearest(source: str, extra: str = "true") -> str:
+    """The event or note nearest to each update among those whose topic has a comment that is not blank."""
+    return f"""
+SELECT appid, update_id, gid, forum_topic_id, event_name, gap_seconds FROM (
+  SELECT u.appid, u.update_id, e.gid, e.forum_topic_id, e.event_name,
+         abs(epoch(e.event_ts)::BIGINT - epoch(u.update_ts)::BIGINT) AS gap_seconds,
+         row_number() OVER (PARTITION BY u.appid, u.update_id
+           ORDER BY abs(epoch(e.event_ts)::BIGINT - epoch(u.update_ts)::BIGINT) NULLS LAST, e.gid) AS pick
+  FROM updates_v u JOIN {source} e ON e.appid = u.appid
+  WHERE e.forum_topic_id <> '' AND {extra}
+    AND EXISTS (SELECT 1 FROM comments_v x WHERE x.appid = e.appid AND x.forum_topic_id = e.forum_topic_id
+                AND {strip('x.content')} <> '')) WHERE pick = 1"""
+
+
+block("near_event", nearest("announcements_v"), "updates_v", "announcements_v", "comments_v")
+block("note_events", "SELECT appid, gid, gid AS forum_topic_id, title AS event_name, published_at AS event_ts FROM notes_v", "notes_v")
+block("near_note", nearest("note_events", "e.event_ts >= u.update_ts - INTERVAL 7 DAY"), "updates_v", "note_events", "comments_v")
+block("comment_source", """
+SELECT u.appid, u.update_id, CASE WHEN e.gid IS NOT NULL THEN 'announcement' WHEN n.gid IS NOT NULL THEN 'patch_note' END
+         AS comment_source, coalesce(e.gid, n.gid) AS gid, coalesce(e.forum_topic_id, n.forum_topic_id) AS forum_topic_id,
+       coalesce(e.event_name, n.event_name) AS event_name, coalesce(e.gap_seconds, n.gap_seconds) AS gap_seconds
+FROM updates_v u LEFT JOIN near_event e USING (appid, update_id) LEFT JOIN near_note n USING (appid, update_id)""",
+      "updates_v", "near_event", "near_note")
+
 block("comm_kept", f"""
-SELECT appid, update_id, body AS content, forum_topic_id, comment_id, author, upvotes, position FROM (
-  SELECT c.*, u.update_id, {strip('content')} AS body,
-         row_number() OVER (PARTITION BY c.appid, u.update_id, {strip('content')} ORDER BY position, comment_id) AS k
-  FROM comments_v c JOIN updates_v u ON u.appid = c.appid
+SELECT appid, update_id, body AS content, forum_topic_id, comment_id, update_id || '/' || comment_id AS ckey, author, upvotes, position FROM (
+  SELECT c.*, s.update_id, {strip('content')} AS body,
+         row_number() OVER (PARTITION BY c.appid, s.update_id, {strip('content')} ORDER BY position, comment_id) AS k
+  FROM comments_v c JOIN comment_source s ON s.appid = c.appid AND s.forum_topic_id = c.forum_topic_id
   WHERE length({strip('content')}) >= 5
     AND NOT regexp_matches({strip('content')}, '(?i)^This comment is awaiting analysis')) WHERE k = 1""",
-      "comments_v", "updates_v")
-scoring("com", "comm_kept", "comment_id", "content")
+      "comments_v", "comment_source")
+scoring("com", "comm_kept", "ckey", "content")
 
 block("comm_stats", """
 SELECT appid, update_id, count(*) AS n_comments,

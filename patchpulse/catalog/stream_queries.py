@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import label
+from ..operators.quantiles import exact_quantiles
 from ..session import fresh_path
 from ..streaming import jobs
 from . import sql as S
@@ -13,11 +14,29 @@ from . import views as V
 from .registry import iso, query, r6
 
 
-def _landed(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a stream of files in time order of their folders."""
+BATCHES = 4
+
+
+def _landed(df: DataFrame, name: str, late: DataFrame | None = None) -> DataFrame:
+    """The rows as a stream of files read one at a time, in order of time; ``late`` rows arrive in a last file of their own."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return jobs.read_stream(df.sparkSession, path, df.schema)
+    cuts = exact_quantiles(df.withColumn("_us", F.unix_micros("ts")), "_us", tuple(i / BATCHES for i in range(1, BATCHES)))
+    bounds = list(cuts.first())  # one row
+    at = F.unix_micros("ts")
+    for i in range(BATCHES):  # files of a stream are taken in the order in which they were written
+        part = df
+        part = part.where(at > bounds[i - 1]) if i else part
+        part = part.where(at <= bounds[i]) if i < BATCHES - 1 else part
+        part.coalesce(1).write.mode("append").parquet(path)
+    if late is not None:
+        late.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return jobs.read_stream(df.sparkSession, path, df.schema, files_per_batch=1)
+
+
+def _late(events: DataFrame) -> DataFrame:
+    """The earliest row of each app once more: far behind the watermark when it comes, so it counts for nothing."""
+    first = events.groupBy("appid").agg(F.min("ts").alias("ts"))
+    return events.join(first, ["appid", "ts"])
 
 
 @query("T-1", S.with_blocks(
@@ -30,7 +49,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("T-2", S.with_blocks("SELECT appid, count(*) AS n_reviews FROM reviews_v GROUP BY appid", "reviews_v"))
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.reviews(spark, sf_dir).select("appid", "review_id", "ts")
-    stream = jobs.dedup_stream(_landed(rows.unionByName(rows), "repeated"), "60 days")
+    stream = jobs.dedup_stream(_landed(rows.unionByName(rows), "repeated", rows), "60 days")
     return jobs.run_to_parquet(stream, "distinct").groupBy("appid").agg(F.count("*").alias("n_reviews"))
 
 
@@ -54,7 +73,8 @@ SELECT appid, {S.iso('h')} AS hour, n_reviews, n_positive, n_neutral, n_negative
          count(*) FILTER (score > -0.2 AND score < 0.2) AS n_neutral, count(*) FILTER (score <= -0.2) AS n_negative,
          sum(score) AS s FROM events_v GROUP BY ALL) WHERE h + INTERVAL 1 HOUR <= {_FINAL}""", "events_v"))
 def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _landed(V.scored_events(spark, sf_dir), "events").withColumn("sentiment_label", label("score"))
+    rows = V.scored_events(spark, sf_dir)
+    ev = _landed(rows, "events", _late(rows)).withColumn("sentiment_label", label("score"))
     out = jobs.run_to_parquet(jobs.hourly_labels(ev), "hourly")
     return out.withColumns({"hour": iso("hour"), "sum_score": r6("sum_score")})
 
@@ -64,7 +84,8 @@ SELECT appid, {S.iso('e')} AS window_end, count(*) AS n_rows FROM (
   SELECT appid, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR,
          INTERVAL 1 HOUR)) AS e FROM events_v) WHERE e <= {_FINAL} GROUP BY ALL""", "events_v"))
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _landed(V.scored_events(spark, sf_dir).select("appid", "ts"), "events")
+    rows = V.scored_events(spark, sf_dir).select("appid", "ts")
+    ev = _landed(rows, "events", _late(rows))
     out = jobs.run_to_parquet(jobs.sliding_rate(ev), "rate")
     return out.withColumn("window_end", iso("window_end"))
 
@@ -77,5 +98,5 @@ WHERE n_rows > 3 * b AND h + INTERVAL 1 HOUR <= {_FINAL}""", "events_v"))
 def stream_volume_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.scored_events(spark, sf_dir).select("appid", "ts")
     baseline = rows.groupBy("appid").agg((F.count("*") / 720.0).alias("baseline_per_hour"))
-    out = jobs.run_to_parquet(jobs.volume_alerts(_landed(rows, "events"), baseline), "volume")
+    out = jobs.run_to_parquet(jobs.volume_alerts(_landed(rows, "events", _late(rows)), baseline), "volume")
     return out.select("appid", iso("hour").alias("hour"), "n_rows")

@@ -15,13 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with long texts, spread over the cores where the scan alone would not use them.
-
-    A small file has one row group, hence one working task; large tables scan in many splits and stay as they are.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table with long texts."""
+    return table(spark, sf_dir, name)
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +55,18 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One update per app."""
+    """Two updates per app, five days apart, so that their windows overlap; the last app has none with comments."""
     return table(spark, sf_dir, "documents").select("source").distinct().selectExpr(
         "source AS appid",
-        "concat(source, '-u1') AS update_id",
+        "explode(array('-u1', '-u2')) AS u",
         """CASE CAST(substring(source, 4) AS INT) % 3
                 WHEN 0 THEN TIMESTAMP '2024-01-07 00:00:00'
                 WHEN 1 THEN TIMESTAMP '2024-01-08 00:00:00'
-                ELSE TIMESTAMP '2024-01-09 00:00:00' END AS update_ts""",
+                ELSE TIMESTAMP '2024-01-09 00:00:00' END AS first_ts""",
+    ).selectExpr(
+        "appid",
+        "concat(appid, u) AS update_id",
+        "if(u = '-u1', first_ts, first_ts + INTERVAL 5 DAYS) AS update_ts",
         "7 AS pre_days",
         "7 AS post_days",
     )
@@ -90,7 +89,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Announcement comments; ``position`` is the order on the page."""
     return texts(spark, sf_dir, "conversations").selectExpr(
-        "concat('src', CAST(conv_id % 20 AS STRING)) AS appid",
+        "concat('src', CAST(conv_id % 19 AS STRING)) AS appid",
         "CAST(conv_id AS STRING) AS forum_topic_id",
         "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS comment_id",
         """CASE WHEN turn = 0 AND conv_id % 5 = 0 THEN ' gg '
@@ -108,7 +107,7 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations").select("conv_id").distinct().alias("c")
     e = table(spark, sf_dir, "events").alias("e")
     return conv.join(e, F.expr("e.event_id = c.conv_id * 10")).selectExpr(
-        "concat('src', CAST(c.conv_id % 20 AS STRING)) AS appid",
+        "concat('src', CAST(c.conv_id % 19 AS STRING)) AS appid",
         "concat('g', CAST(c.conv_id AS STRING)) AS gid",
         "CASE WHEN c.conv_id % 11 = 0 THEN '' ELSE CAST(c.conv_id AS STRING) END AS forum_topic_id",
         "CASE WHEN c.conv_id % 13 = 0 THEN NULL ELSE date_trunc('second', CAST(e.ts AS TIMESTAMP)) END AS event_ts",

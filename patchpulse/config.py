@@ -17,14 +17,9 @@ LABEL_CUT = 0.2  # compound >= cut is positive, <= -cut negative
 RATIO_CUT = 0.05  # cut of the rolling positive/negative shares
 DISAGREE_CUT = 0.05
 MIN_WINDOW_ROWS = 10
-GRAY_QUEUE_ROWS = 100
 COMMENT_CHUNK = 50
 TOPIC_BATCH = 50
-TOPIC_TEXT_CHARS = 300
-RELABEL_TEXT_CHARS = 250
-NEWS_CONTENT_CHARS = 2000
 MIN_COMMENT_CHARS = 5
-NEAREST_EVENTS = 20
 ROLLING_HOURS = (24, 48, 72)
 
 TOPIC_LABELS = (
@@ -47,20 +42,11 @@ BUG_WORDS = ("crash", "bug", "freeze", "lag", "fix", "patch")
 BALANCE_WORDS = ("op", "overpowered", "nerf", "buff", "meta", "cheater", "toxic")
 MONEY_WORDS = ("pay to win", "p2w", "paywall", "microtransaction", "dlc", "money grab")
 PERFORMANCE_WORDS = ("fps", "framerate", "performance", "optimization", "graphics")
-TOXIC_WORDS = (
-    "hate",
-    "stupid",
-    "idiot",
-    "trash",
-    "suck",
-    "worthless",
-    "pathetic",
-    "loser",
-    "disgusting",
-    "moron",
-)
+FIXED_TOXIC_WORDS = ("hate", "stupid", "idiot", "trash", "suck")
 # End of fixed values.
 
+TOXIC_WORDS = (*FIXED_TOXIC_WORDS, "worthless", "pathetic", "loser", "disgusting", "moron")
+
 # Default keyword classifier for topics: the first label whose words occur wins.
 TOPIC_KEYWORDS = (
     ("performance", ("fps", "lag", "stutter", "framerate", "performance", "loading", "optimization")),

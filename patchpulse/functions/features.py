@@ -16,6 +16,14 @@ def add_text_features(df: DataFrame, content: str = "review_content", lexicon: D
     return sentiment.add_sentiment(df.withColumn("review_content_processed", processed), lexicon=lexicon)
 
 
+def backfill_sentiment(df: DataFrame, content: str = "review_content", lexicon: DataFrame | None = None) -> DataFrame:
+    """Compound of the rows that lack one; the others keep theirs and their texts are not scored. One projection, no join."""
+    missing = F.when(F.col("_given").isNull(), text.clean_text(F.coalesce(content, F.lit(""))))
+    held = df.withColumnRenamed("compound", "_given").withColumn("_missing", missing)
+    scored = sentiment.add_sentiment(held, processed="_missing", lexicon=lexicon)
+    return scored.withColumn("compound", F.coalesce("_given", "compound")).select(*df.columns)
+
+
 def flag(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False)).cast("int")
 

@@ -48,10 +48,12 @@ def default_lexicon(spark: SparkSession) -> DataFrame:
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated word list (word, mean valence, ...) joined with the shipped degree and negation words."""
     own = spark.read.csv(path, sep="\t", schema="word string, valence double", quote="")
-    own = own.where("word is not null and valence is not null").dropDuplicates(["word"])
+    own = own.where("word is not null and valence is not null")
+    # Words that differ only in case count as one, with the mean of their valences.
+    own = own.groupBy(F.lower("word").alias("word")).agg(F.avg("valence").alias("valence"))
     modifiers = default_lexicon(spark).where("valence is null")
     return own.join(modifiers, "word", "left_anti").selectExpr(
-        "lower(word) as word", "valence", "0D as boost", "1D as negation"
+        "word", "valence", "0D as boost", "1D as negation"
     ).unionByName(modifiers)
 
 
@@ -128,15 +130,19 @@ def add_sentiment(df: DataFrame, processed: str = "review_content_processed",
                   lexicon: DataFrame | None = None, buckets: int = 1024) -> DataFrame:
     """Add compound, pos, neu, neg and sentiment_label computed from the processed text.
 
-    Rows whose text is NULL score 0 like empty texts.
+    Rows whose text is NULL score 0 like empty texts. A lexicon of more than ``MAX_INDEX_WORDS`` words is joined instead of
+    looked up in place; the scores are the same.
     """
     if lexicon is None:
         buckets = 128
         index = _default_index(buckets)
     elif is_small(lexicon, MAX_INDEX_WORDS):
         index = _index_of(lexicon, buckets).scalar()
-    else:
-        raise ValueError("use add_sentiment_relational for lexicons of this size")
+    else:  # each distinct text is scored once, under a hash of it
+        keyed = df.withColumn("_text_id", F.md5(F.coalesce(F.col(processed), F.lit(""))))
+        texts = keyed.groupBy("_text_id").agg(F.any_value(F.coalesce(F.col(processed), F.lit(""))).alias("_text"))
+        scores = add_sentiment_relational(texts, ["_text_id"], "_text", lexicon)
+        return keyed.join(scores.drop("_text"), "_text_id", "left").drop("_text_id")
 
     out = df.withColumns({"_lex": index, "_tok": tokens(F.coalesce(F.col(processed), F.lit("")))})
     slot = f"get(_lex, CAST(pmod(crc32(w), {buckets}) AS INT))"

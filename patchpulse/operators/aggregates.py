@@ -57,13 +57,19 @@ def topic_counts(tagged: DataFrame, keys: list[str]) -> DataFrame:
     return per_label.withColumn("pct", F.bround(F.col("count") / total, 4))
 
 
-def merge_announcement_themes(topics: DataFrame, themes: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
-    """Topic counts together with announcement themes (prefixed, share 0), the k largest per group."""
+def merge_announcement_themes(topics: DataFrame, themes: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+    """Topic counts together with announcement themes (prefixed, share 0), ranked by size; all, or the k largest per group.
+
+    A group has a row per label, so ranking moves few rows.
+    """
     marked = themes.select(
         *keys, F.concat(F.lit("[announcement] "), "label").alias("label"), "count", F.lit(0.0).alias("pct")
     )
     both = topics.select(*keys, "label", "count", "pct").unionByName(marked)
-    return top_per_group(both, keys, k, [F.desc("count"), F.asc("label")])
+    by = [F.desc("count"), F.asc("label")]
+    if k is not None:
+        return top_per_group(both, keys, k, by)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

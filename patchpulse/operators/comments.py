@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import features, text
+from .positions import running_position
 
 ORDER = ["position", "comment_id"]
 
@@ -62,26 +62,6 @@ def label_stats(labelled: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({f"{v}_pct": F.bround(F.col(f"{v}_count") / n, 4) for v in labels})
 
 
-def running_position(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
-    """1-based position of every row inside its group, without putting a group into one task.
-
-    ``bucket`` must not decrease along ``order``. Rows are numbered inside (group, bucket) and shifted by the
-    number of rows in earlier buckets, which comes from a small table of counts.
-    """
-    tagged = df.withColumn("_bucket", bucket)
-    sizes = tagged.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    shift = F.coalesce(
-        F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    sizes = sizes.withColumn("_shift", shift).drop("_n")
-    inner = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    numbered = tagged.withColumn("_inner", inner).join(sizes, [*keys, "_bucket"])
-    return numbered.withColumn(name, (F.col("_inner") + F.col("_shift")).cast("bigint")).drop(
-        "_bucket", "_inner", "_shift"
-    )
-
-
 def add_chunks(kept: DataFrame, keys: list[str], size: int = config.COMMENT_CHUNK,
                bucket_rows: int = 1000) -> DataFrame:
     """chunk_id = which run of ``size`` comments, in page order, a comment belongs to."""
@@ -131,8 +111,8 @@ def analyse_chunks(chunked: DataFrame, keys: list[str], analyse: Callable[[list[
 
 
 def apply_labeller(df: DataFrame, text_col: str, out_col: str, classify: Callable[[list[str]], list[str]],
-                   valid: tuple[str, ...], fallback: str, batch: int, max_chars: int) -> DataFrame:
-    """Add one label per row from a user function called with batches of texts.
+                   valid: tuple[str, ...], fallback: str, batch: int, max_chars: int | None = None) -> DataFrame:
+    """Add one label per row from a user function called with batches of whole texts (or of their first ``max_chars``).
 
     Invalid or missing labels and failed batches become ``fallback``. No shuffle: batches follow the partitions.
     """

@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from .. import config
 from ..functions import text
 from ..session import broadcast_if_small
-from .comments import running_position
-from .windows import top_per_group
+from .positions import running_position
+from .windows import with_bounds
 
 KEYS = ["appid", "update_id"]
 
@@ -20,17 +20,14 @@ def usable_topics(comments: DataFrame) -> DataFrame:
     return comments.where(~text.is_blank("content")).select("appid", "forum_topic_id").distinct()
 
 
-def _neighbours(updates: DataFrame, events: DataFrame, ts: str, tie: str, k: int) -> DataFrame:
-    """For every update the dated events at the k nearest times before it and after it.
+def _neighbours(updates: DataFrame, events: DataFrame) -> DataFrame:
+    """For every update the events (appid, event_ts, gid) at the last time up to it and at the first one after it.
 
-    The distinct times of an app are numbered in order, updates are placed in the same numbering, and only numbers
-    within k of an update's place are joined: no update meets all events of its app. Of events at one time only
-    the k first can be among the k nearest.
+    The distinct times of an app are numbered in order and updates are placed in the same numbering, so no update meets all
+    events of its app. Of several events at one time the least gid stands for all.
     """
-    dated = top_per_group(
-        events.where(F.col(ts).isNotNull()).select("appid", F.col(ts).alias("_t"), F.col(tie).alias("_tie")),
-        ["appid", "_t"], k, [F.asc("_tie")], "_r").drop("_r")
-    both = dated.select("appid", "_t").distinct().unionByName(
+    dated = events.where("event_ts IS NOT NULL").groupBy("appid", F.col("event_ts").alias("_t")).agg(F.min("gid").alias("gid"))
+    both = dated.select("appid", "_t").unionByName(
         updates.select("appid", "update_id", F.col("update_ts").alias("_t")), allowMissingColumns=True
     )
     is_time = F.col("update_id").isNull().cast("int")
@@ -45,49 +42,43 @@ def _neighbours(updates: DataFrame, events: DataFrame, ts: str, tie: str, k: int
     placed = tagged.withColumn("_in", F.sum(is_time).over(inner)).join(per_day, ["appid", "_day"]).withColumn(
         "_pos", F.col("_in") + F.col("_shift")
     )
-    times = placed.where("update_id IS NULL").select("appid", "_pos", F.col("_t").alias("_event_ts"))
+    times = placed.where("update_id IS NULL").select("appid", "_pos", F.col("_t").alias("event_ts"))
     up = placed.where("update_id IS NOT NULL").select(
-        "appid", "update_id", F.col("_t").alias("_update_ts"),
-        F.explode(F.sequence(F.col("_pos") - (k - 1), F.col("_pos") + k)).alias("_pos"),
+        "appid", "update_id", F.col("_t").alias("_update_ts"), F.explode(F.array("_pos", F.col("_pos") + 1)).alias("_pos")
     )
-    return up.join(times, ["appid", "_pos"]).join(dated.withColumnRenamed("_t", "_event_ts"), ["appid", "_event_ts"])
+    return up.join(times, ["appid", "_pos"]).join(dated.withColumnRenamed("_t", "event_ts"), ["appid", "event_ts"])
 
 
-def nearest_with_comments(updates: DataFrame, events: DataFrame, topics: DataFrame, ts: str = "event_ts",
-                          topic: str = "forum_topic_id", tie: str = "gid", k: int = config.NEAREST_EVENTS) -> DataFrame:
-    """The event closest in time to each update among its k closest that has usable comments.
+def nearest_with_comments(updates: DataFrame, events: DataFrame, topics: DataFrame, since_start: bool = False) -> DataFrame:
+    """The event (appid, gid, forum_topic_id, event_name, event_ts) closest in time to each update among all with usable comments.
 
-    Events without a time rank last; events without a topic take a place among the k but are never chosen.
+    Events without a time come after all others, by gid. With ``since_start`` only events from the start of the update's
+    window on count, and undated ones do not.
     """
-    dated = _neighbours(updates, events, ts, tie, k).select(
-        "appid", "update_id", "_tie", F.abs(F.unix_seconds("_event_ts") - F.unix_seconds("_update_ts")).alias("gap_seconds")
-    )
-    undated = top_per_group(
-        events.where(F.col(ts).isNull()).select("appid", F.col(tie).alias("_tie")), ["appid"], k, [F.asc("_tie")], "_r"
-    ).drop("_r")
-    undated = updates.select(*KEYS).join(undated, "appid").withColumn("gap_seconds", F.lit(None).cast("bigint"))
-    order = [F.asc_nulls_last("gap_seconds"), F.asc("_tie")]
-    ranked = top_per_group(dated.unionByName(undated), KEYS, k, order, "_rank")
-    info = events.select("appid", F.col(tie).alias("_tie"), F.col(topic).alias("forum_topic_id"), "event_name")
-    named = ranked.join(info, ["appid", "_tie"]).where("forum_topic_id <> ''")
-    usable = named.join(topics, ["appid", "forum_topic_id"], "left_semi")
-    first = top_per_group(usable, KEYS, 1, [F.asc("_rank")], "_first")
-    return first.select(*KEYS, F.col("_tie").alias("gid"), "forum_topic_id", "event_name", "gap_seconds", "_rank").withColumnRenamed(
-        "_rank", "candidate_rank"
-    )
+    usable = events.where("forum_topic_id <> ''").join(topics, ["appid", "forum_topic_id"], "left_semi")
+    near = _neighbours(updates, usable)
+    if since_start:
+        start = with_bounds(updates).select(*KEYS, "window_start")
+        near = near.join(start, KEYS).where(F.col("event_ts") >= F.col("window_start"))
+    found = near.select(*KEYS, "gid", F.abs(F.unix_seconds("event_ts") - F.unix_seconds("_update_ts")).alias("gap_seconds"))
+    if not since_start:
+        undated = usable.where("event_ts IS NULL").groupBy("appid").agg(F.min("gid").alias("gid"))
+        found = found.unionByName(updates.select(*KEYS).join(undated, "appid").withColumn("gap_seconds", F.lit(None).cast("bigint")))
+    best = found.groupBy(*KEYS).agg(F.min(F.struct(F.col("gap_seconds").isNull(), "gap_seconds", "gid")).alias("_b"))
+    info = usable.select("appid", "gid", "forum_topic_id", "event_name")
+    return best.select(*KEYS, "_b.gid", "_b.gap_seconds").join(info, ["appid", "gid"])
 
 
 def nearest_comment_source(updates: DataFrame, events: DataFrame, notes: DataFrame, comments: DataFrame) -> DataFrame:
-    """Where each update's comments come from: its nearest announcement, else its nearest patch note, else nothing."""
+    """Where each update's comments come from: its nearest announcement, else its nearest patch note since the start of
+    its window, else nothing."""
     topics = usable_topics(comments)
     by_event = nearest_with_comments(updates, events, topics)
     note_events = notes.select(
         "appid", "gid", F.col("gid").alias("forum_topic_id"), F.col("title").alias("event_name"),
         F.col("published_at").alias("event_ts"),
     )
-    # Any note may serve, however far, so notes without comments drop out before the nearest one is taken.
-    commented = note_events.join(topics, ["appid", "forum_topic_id"], "left_semi")
-    by_note = nearest_with_comments(updates, commented, topics, k=1)
+    by_note = nearest_with_comments(updates, note_events, topics, since_start=True)
     e = by_event.select(*KEYS, F.struct("gid", "forum_topic_id", "event_name", "gap_seconds").alias("_e"))
     n = by_note.select(*KEYS, F.struct("gid", "forum_topic_id", "event_name", "gap_seconds").alias("_n"))
     out = updates.select(*KEYS).join(e, KEYS, "left").join(n, KEYS, "left")
@@ -97,6 +88,12 @@ def nearest_comment_source(updates: DataFrame, events: DataFrame, notes: DataFra
     )
 
 
+def comments_of_updates(comments: DataFrame, sources: DataFrame) -> DataFrame:
+    """The comments under each update's chosen topic (``sources``: appid, update_id, forum_topic_id)."""
+    chosen = sources.where("forum_topic_id IS NOT NULL").select(*KEYS, "forum_topic_id")
+    return comments.join(chosen, ["appid", "forum_topic_id"])
+
+
 def first_source(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     """Rows of the first source (in list order) that has any row for a key."""
     tagged = None
@@ -107,11 +104,11 @@ def first_source(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     return tagged.join(best, [*keys, "source_priority"])
 
 
-def override_labels(rows: DataFrame, new_labels: DataFrame, id_col: str = "review_id",
+def override_labels(rows: DataFrame, new_labels: DataFrame, ids: list[str],
                     label: str = "sentiment_label") -> DataFrame:
-    """New labels replace old ones for the rows that have one."""
-    side = new_labels.select(id_col, F.col(label).alias("_new"))
-    return rows.join(side, id_col, "left").withColumn(label, F.coalesce("_new", label)).drop("_new")
+    """New labels replace old ones for the rows (``ids``) that have one."""
+    side = new_labels.select(*ids, F.col(label).alias("_new"))
+    return rows.join(side, ids, "left").withColumn(label, F.coalesce("_new", label)).drop("_new")
 
 
 def attach_app_info(df: DataFrame, apps: DataFrame) -> DataFrame:
@@ -144,6 +141,6 @@ def attach_window_features(aligned: DataFrame, keys: list[str], score: str,
 
 
 __all__ = [
-    "attach_app_info", "attach_window_features", "first_source", "nearest_comment_source", "nearest_with_comments",
+    "attach_app_info", "attach_window_features", "comments_of_updates", "first_source", "nearest_comment_source", "nearest_with_comments",
     "override_labels", "running_position", "usable_topics",
 ]

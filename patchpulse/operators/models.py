@@ -14,15 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .. import schemas
 from ..session import materialise
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, in_ranges
 from .timeline import as_of_latest
 
-# Columns that give the target away or identify a row; never used as features.
-LEAK_COLUMNS = (
-    "risk_score", "risk_label_weak", "risk_label", "risk_level", "review_id", "doc_id", "author_id", "ts",
-    "review_content", "review_content_processed", "timestamp", "review_datetime",
-)
+#: Columns of these roles are never features.
+LEAK_COLUMNS = tuple(c for role in ("target", "id", "time", "text") for c in schemas.COLUMN_ROLES[role])
 
 
 # --------------------------------------------------------------------------------------------- text vectors
@@ -74,12 +72,13 @@ def tfidf_stats(df: DataFrame, content: str, max_features: int = 500) -> DataFra
 
 
 def topic_model(df: DataFrame, content: str, n_topics: int = 8, vocab: int = 1000, iterations: int = 10,
-                seed: int = 7) -> DataFrame:
-    """LDA on counts: probabilities, dominant topic, entropy, two strongest topics and PCA of the distribution."""
+                seed: int = 7, share: float = 1.0) -> DataFrame:
+    """LDA on counts, every iteration over ``share`` of the texts (all by default): probabilities, dominant topic, entropy, two strongest topics and PCA of the distribution."""
     stages = [
         RegexTokenizer(inputCol=content, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2),
         CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocab),
-        LDA(k=n_topics, maxIter=iterations, seed=seed, featuresCol="_counts", topicDistributionCol="_dist", optimizer="online"),
+        LDA(k=n_topics, maxIter=iterations, seed=seed, featuresCol="_counts", topicDistributionCol="_dist", optimizer="online",
+            subsamplingRate=share),
         PCA(k=min(5, n_topics), inputCol="_dist", outputCol="_pca"),
     ]
     out = Pipeline(stages=stages).fit(df).transform(df)
@@ -191,19 +190,20 @@ def feature_importance(model: PipelineModel, df: DataFrame, top: int = 20) -> Da
 
 
 def probability(column: str = "probability") -> Column:
-    return F.round(vector_to_array(column)[1], 6)
+    return vector_to_array(column)[1]
 
 
 def _per_score(scored: DataFrame, score: str, target: str) -> DataFrame:
-    """Rows and positives at or above every distinct score (rounded to 6 digits, so at most a million rows)."""
+    """Rows and positives at or above every distinct score, as it is.
+
+    Two levels of running sums: inside a range of scores and over the ranges.
+    """
     from pyspark.sql.window import Window
 
-    per = scored.groupBy(F.round(score, 6).alias("s")).agg(
-        F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("p"))
-    # Two levels of running sums: inside a thousandth and over the thousandths.
-    per = per.withColumn("b", F.floor(F.col("s") * 1000))
+    per = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("p"))
+    per = in_ranges(per, "s").withColumnRenamed("bin", "b")
     above = per.groupBy("b").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
-    later = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # about 1000 rows
+    later = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     above = above.select("b", F.coalesce(F.sum("bn").over(later), F.lit(0)).alias("on"),
                          F.coalesce(F.sum("bp").over(later), F.lit(0)).alias("op"))
     inner = Window.partitionBy("b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import config
 from ..session import broadcast_if_small
+from .positions import running_position
 
 DAY_MICROS = 86_400_000_000
 
@@ -80,10 +81,13 @@ def gray_zone(df: DataFrame, cut: float = config.LABEL_CUT) -> DataFrame:
     return df.where(F.col("compound").between(-cut, cut))
 
 
-def gray_queue(df: DataFrame, keys: list[str], rows: int = config.GRAY_QUEUE_ROWS) -> DataFrame:
-    """The first ``rows`` ambiguous rows of every group, oldest first."""
-    w = Window.partitionBy(*keys).orderBy("ts", "review_id")
-    return gray_zone(df).withColumn("queue_pos", F.row_number().over(w)).where(F.col("queue_pos") <= rows)
+def gray_queue(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """The ambiguous rows of every group in order of age; with ``rows`` only the first of each group.
+
+    Rows are numbered by (group, day) and shifted by the counts of earlier days, so a hot group is split by day.
+    """
+    placed = running_position(gray_zone(df), keys, F.to_date("ts"), ["ts", "review_id"], "queue_pos")
+    return placed if rows is None else placed.where(F.col("queue_pos") <= rows)
 
 
 def disagrees(compound: str = "compound", vote: str = "voted_up", cut: float = config.DISAGREE_CUT) -> Column:
@@ -98,13 +102,6 @@ def disagreement_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("disagreement_pct", F.bround(F.col("n_disagreements") / F.greatest("n_rows", F.lit(1)), 4))
 
 
-def fill_missing(df: DataFrame, computed: DataFrame, id_cols: list[str], column: str) -> DataFrame:
-    """Keep existing values of ``column`` and take the computed ones where it is NULL."""
-    right = computed.select(*id_cols, F.col(column).alias("_computed"))
-    joined = df.join(right, id_cols, "left")
-    return joined.withColumn(column, F.coalesce(column, "_computed")).drop("_computed")
-
-
 def top_rows(df: DataFrame, k: int, by: str = "risk_score", tie: str = "review_id") -> DataFrame:
     """The k highest rows overall (each task keeps k rows, the merge sees k per task)."""
     return df.orderBy(F.desc(by), tie).limit(k)

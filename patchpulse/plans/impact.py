@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import features, text
-from ..operators import aggregates, cleaning, comments as comment_ops, risk, windows
+from ..operators import aggregates, cleaning, comments as comment_ops, joins, risk, windows
 
 KEYS = aggregates.UPDATE_KEYS
 
@@ -43,18 +43,26 @@ def scored_windows(reviews: DataFrame, updates: DataFrame, clean_post: bool = Tr
     return features.add_text_features(tagged, lexicon=lexicon)
 
 
-def update_comments(comments: DataFrame, updates: DataFrame) -> DataFrame:
-    """Comment statistics per update of the comment's app (native labels, pre-filtered)."""
-    kept = comment_ops.prefilter(comments.join(updates.select(*KEYS), "appid"), KEYS)
+def update_comments(comments: DataFrame, sources: DataFrame) -> DataFrame:
+    """Comment statistics per update, of the comments under the topic chosen for it (native labels, pre-filtered)."""
+    kept = comment_ops.prefilter(joins.comments_of_updates(comments, sources), KEYS)
     return comment_ops.label_stats(comment_ops.label_comments(kept), KEYS)
 
 
 def impact_report(reviews: DataFrame, updates: DataFrame, comments: DataFrame | None = None,
-                  clean_pre: bool = False, thresholds: config.SignalThresholds = config.SignalThresholds(),
+                  events: DataFrame | None = None, notes: DataFrame | None = None, clean_pre: bool = False, thresholds: config.SignalThresholds = config.SignalThresholds(),
                   lexicon: DataFrame | None = None) -> ImpactReport:
-    """Windows, cleaning, sentiment, topics, comments, signals and overall risk for all updates."""
+    """Windows, cleaning, sentiment, topics, comments, signals and overall risk for all updates.
+
+    ``comments`` are taken from the topic of each update's nearest announcement in ``events``, else of its nearest patch note in
+    ``notes``; an update without either has none.
+    """
     scored = scored_windows(reviews, updates, clean_pre=clean_pre, lexicon=lexicon)
-    comm = update_comments(comments, updates) if comments is not None else None
+    comm = None
+    if comments is not None:
+        if events is None or notes is None:
+            raise ValueError("comments need events and notes, which tell the updates they belong to")
+        comm = update_comments(comments, joins.nearest_comment_source(updates, events, notes, comments))
     summary = risk.add_signals(aggregates.window_stats(scored, updates, extra=post_counts()), comm, thresholds)
     topics = aggregates.topic_counts(
         scored.where("window = 'post'").withColumn("topic", text.keyword_topic("review_content_processed")), KEYS

@@ -37,3 +37,11 @@ META_DEFAULTS = {
     "weighted_vote_score": "0D",
     "language": "'english'",
 }
+
+#: What columns of scored reviews are, as far as it bars them from being features of a model of the risk label.
+COLUMN_ROLES = {
+    "target": ("risk_score", "risk_label_weak", "risk_level"),
+    "id": ("review_id", "doc_id", "author_id"),
+    "time": ("ts",),
+    "text": ("review_content", "review_content_processed"),
+}

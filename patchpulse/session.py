@@ -69,6 +69,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def save_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: several branches share it, columns are pruned on reading."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` provably has at most ``max_rows`` rows (reads no more than it must to know)."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows

@@ -19,13 +19,13 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_news(pages: DataFrame) -> DataFrame:
-    """One row per news item; contents cut to 2000 characters, tags (text or {"tag": ...}) lower-cased."""
+    """One row per news item; whole contents, tags (text or {"tag": ...}) lower-cased."""
     n = pages.select("appid", F.explode("appnews.newsitems").alias("n"))
     tags = F.transform("n.tags", lambda t: F.lower(F.coalesce(_tag_of(t), t)))
     return n.select(
         "appid", F.col("n.gid").alias("gid"), F.coalesce("n.title", F.lit("")).alias("title"),
         F.coalesce("n.url", F.lit("")).alias("url"), F.timestamp_seconds("n.date").alias("published_at"),
-        F.substring(F.coalesce("n.contents", F.lit("")), 1, config.NEWS_CONTENT_CHARS).alias("contents"),
+        F.coalesce("n.contents", F.lit("")).alias("contents"),
         F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
     )
 

@@ -10,11 +10,15 @@ from .. import config, schemas
 from ..functions import text
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], line_breaks: bool = True) -> DataFrame:
+#: Apps in a batch up to which their list is used to prune the store.
+PRUNED_APPS = 1000
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], line_breaks: bool = False) -> DataFrame:
     """CSV with header. All columns are text, so nothing is inferred.
 
-    Quoted fields may hold line breaks, which keeps Spark from splitting a file; large files known to have none
-    read in parallel with ``line_breaks=False``.
+    Files are split and read in parallel. Files whose quoted fields hold line breaks need ``line_breaks=True``, which reads each
+    file in one task.
     """
     return spark.read.csv(paths, header=True, multiLine=line_breaks, quote='"', escape='"', inferSchema=False)
 
@@ -112,18 +116,23 @@ def new_rows(batch: DataFrame, existing: DataFrame, key: list[str], order: Colum
     """Rows of the batch whose key is not stored yet, one per key (the first under ``order``).
 
     Copies are folded by an aggregate that combines map-side, so a key repeated by a third of the batch is no hot
-    task; the anti join reads only the stored keys.
+    task. The anti join reads only the keys of the batch's apps; a list of at most ``PRUNED_APPS`` prunes the store's
+    partitions before anything is read.
     """
-    fresh = batch.join(existing.select(*key), key, "left_anti")
+    apps = batch.select("appid").distinct()
+    named = [r["appid"] for r in apps.limit(PRUNED_APPS + 1).collect()]
+    known = existing.select(*key)
+    known = known.where(F.col("appid").isin(named)) if len(named) <= PRUNED_APPS else known.join(apps, "appid", "left_semi")
+    fresh = batch.join(known, key, "left_anti")
     rest = [c for c in batch.columns if c not in key]
     first = fresh.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_first"))
     return first.select(*key, "_first.*").select(*batch.columns)
 
 
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The stored rows, or none when nothing was written yet."""
+    """The stored rows under the given schema (so the partition key ``007`` stays a text), or none when nothing was written yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -143,23 +152,26 @@ def ingest_comments(batch: DataFrame, path: str) -> int:
 
 def _ingest(batch: DataFrame, path: str, key: list[str], order: Column) -> int:
     spark = batch.sparkSession
-    existing = stored(spark, path, batch.schema).withColumn("appid", F.col("appid").cast("string"))
+    existing = stored(spark, path, batch.schema)
     seen = Observation()
     fresh = new_rows(batch, existing, key, order)
-    # One file per app and day (or topic slice): few files, and a hot app is written by many tasks.
-    has_time = "ts" in batch.columns
-    piece = F.to_date("ts") if has_time else F.pmod(F.xxhash64(*key[:2]), F.lit(32))
-    within = ["appid", "ts"] if has_time else ["appid"]
+    # Rebalancing makes few files and still splits a hot app (or a hot hour of one) by size.
+    within = ["appid", "ts"] if "ts" in batch.columns else ["appid"]
     # Counting comes last: an adaptive plan may drop a counter below an exchange that turned out empty.
-    laid_out = fresh.repartition("appid", piece).sortWithinPartitions(*within).observe(seen, F.count(F.lit(1)).alias("n"))
+    laid_out = fresh.hint("rebalance", "appid").sortWithinPartitions(*within).observe(seen, F.count(F.lit(1)).alias("n"))
     laid_out.write.mode("append").partitionBy("appid").parquet(path)
     return int(seen.get["n"])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The review store with columns that older files lack filled with their defaults."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    df = df.withColumn("appid", F.col("appid").cast("string"))
+    infer = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(infer)
+    spark.conf.set(infer, "false")  # the partition key is a text, and 007 is not 7
+    try:
+        df = spark.read.option("mergeSchema", "true").parquet(path)
+    finally:
+        spark.conf.set(infer, before)
     return df.withColumns({
         c: F.coalesce(F.col(c), F.expr(d)) if c in df.columns else F.expr(d) for c, d in schemas.META_DEFAULTS.items()
     })
@@ -175,8 +187,9 @@ def standardise_columns(df: DataFrame, aliases: dict[str, str] = config.COLUMN_A
     })
 
 
-def read_by_genre(spark: SparkSession, path_glob: str, pattern: str = r"([A-Za-z0-9]+)_[^/]*$") -> DataFrame:
+def read_by_genre(spark: SparkSession, path_glob: str, pattern: str = r"([A-Za-z0-9]+)_[^/]*$",
+                  line_breaks: bool = False) -> DataFrame:
     """Many review files at once; the genre comes from the path (by default the file name up to its last part)."""
-    df = read_csv(spark, path_glob)
+    df = read_csv(spark, path_glob, line_breaks)
     genre = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
     return standardise_columns(df.withColumn("genre", genre))

@@ -205,10 +205,11 @@ def test_evaluation_equals_brute_force(spark):
     assert got.tp + got.fp + got.fn + got.tn == 300
 
 
-def test_nearest_event_without_candidates(spark):
+def test_nearest_event_with_comments_however_far(spark):
     up = spark.createDataFrame([("a", "u", START)], "appid string, update_id string, update_ts timestamp")
     ev = spark.createDataFrame([("a", f"g{i}", f"t{i}" if i != 3 else "", START + dt.timedelta(hours=i)) for i in range(1, 30)],
                                "appid string, gid string, forum_topic_id string, event_ts timestamp").withColumn("event_name", F.lit("x"))
     topics = spark.createDataFrame([("a", "t25"), ("a", "t7")], "appid string, forum_topic_id string")
     assert joins.nearest_with_comments(up, ev, topics).first().gid == "g7"
-    assert joins.nearest_with_comments(up, ev, topics.where("forum_topic_id = 't25'")).count() == 0
+    assert joins.nearest_with_comments(up, ev, topics.where("forum_topic_id = 't25'")).first().gid == "g25"
+    assert joins.nearest_with_comments(up, ev, topics.where("forum_topic_id = 'none'")).count() == 0
