@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, risk, timeline, windows
 from ..plans import backtest as bt
 from ..plans import monitor
-from ..session import materialise
+from ..session import save_table
 from . import sql as S
 from . import views as V
 from .registry import iso, query, r6
@@ -192,7 +192,7 @@ def trend_rows(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
               if rows is None else rows).select(
         "appid", "doc_id", "ts", "compound", "votes_up", "text_length",
         F.col("topic").alias("dominant_topic"), "risk_label_weak")
-    scored = materialise(scored) if rows is None else scored
+    scored = save_table(scored, "scored") if rows is None else scored
     rolled = timeline.rolling_features(scored, score="compound", row_id="doc_id")
     trends = timeline.trend_features(rolled, row_id="doc_id")
     return timeline.add_hourly_count(scored).join(trends, ["appid", "doc_id"])
@@ -207,19 +207,33 @@ def statistical_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "is_trend_anomaly", "is_rare_topic", "statistical_anomaly_score", "is_statistical_anomaly")
 
 
+def mahalanobis(name: str, source: str, features: tuple[str, str, str]) -> None:
+    """Block ``name``: the rows of ``source`` with ``ml``, the squared distance from the closed inverse of a 3 x 3 correlation."""
+    S.block(f"{name}_z", "SELECT *, " + ", ".join(
+        f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(features, 1)) + f" FROM {source}", source)
+    S.block(f"{name}_r", f"SELECT avg(z1 * z2) AS a, avg(z1 * z3) AS b, avg(z2 * z3) AS c FROM {name}_z", f"{name}_z")
+    S.block(name, f"""
+SELECT *, ((1 - c * c) * z1 * z1 + (1 - b * b) * z2 * z2 + (1 - a * a) * z3 * z3 + 2 * ((b * c - a) * z1 * z2
+          + (a * c - b) * z1 * z3 + (a * b - c) * z2 * z3)) / (1 + 2 * a * b * c - a * a - b * b - c * c) AS ml
+FROM {name}_z, {name}_r""", f"{name}_z", f"{name}_r")
+
+
+REVIEW_FEATURES = ("compound", "votes_up", "text_length")
+S.block("rev_long", "SELECT *, length(processed) AS text_length FROM rev_stat", "rev_stat")
+mahalanobis("rev_ml", "rev_long", REVIEW_FEATURES)
 S.block("rev_ens", """
-SELECT *, CASE WHEN max(abs(compound)) OVER () > min(abs(compound)) OVER () THEN
-         (abs(compound) - min(abs(compound)) OVER ()) / (max(abs(compound)) OVER () - min(abs(compound)) OVER ()) ELSE 0 END * 0.6::DOUBLE
+SELECT *, (ml - min(ml) OVER ()) / (max(ml) OVER () - min(ml) OVER ()) * 0.6::DOUBLE
        + CASE WHEN max(statistical_anomaly_score) OVER () > min(statistical_anomaly_score) OVER () THEN
          (statistical_anomaly_score - min(statistical_anomaly_score) OVER ()) / (max(statistical_anomaly_score) OVER () - min(statistical_anomaly_score) OVER ())
-         ELSE 0 END * 0.4::DOUBLE AS ens FROM rev_stat""", "rev_stat")
+         ELSE 0 END * 0.4::DOUBLE AS ens,
+       CAST(ml > (SELECT quantile_cont(ml, 0.95) FROM rev_ml) AS INT) AS ml_anomaly FROM rev_ml""", "rev_ml")
 S.block("rev_sev", """
 SELECT *, (ens - min(ens) OVER ()) / (max(ens) OVER () - min(ens) OVER ()) AS sev FROM rev_ens""", "rev_ens")
 
 
 def ensemble_rows(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     flagged = anomaly.detect_statistical(trend_rows(spark, sf_dir, rows), ["appid"])
-    return anomaly.detect_combined(flagged.withColumn("ml_anomaly_score", F.abs("compound")))
+    return anomaly.detect_combined(anomaly.detect_elliptic(flagged, list(REVIEW_FEATURES)))
 
 
 @query("A3", S.with_blocks(f"""
@@ -234,7 +248,7 @@ def combined_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _meas = ["ens"] + [f"abs({p}_{w}h)" for w in (24, 48, 72) for p in ("sentiment_diff", "comment_rate_change")]
 S.block("rev_alert", f"""
-SELECT doc_id, appid, risk_label_weak, statistical_anomaly_score,
+SELECT doc_id, appid, risk_label_weak, statistical_anomaly_score, ml_anomaly,
        {' + '.join(f'coalesce(CAST({m} + 1e-12 >= (SELECT quantile_cont({m}, 0.95) FROM rev_ens) AS INT), 0)' for m in _meas)}
          AS trigger_count FROM rev_ens""", "rev_ens")
 
@@ -245,9 +259,19 @@ def trend_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.trend_alerts(ensemble_rows(spark, sf_dir)).select("doc_id", "trigger_count", "trend_alert")
 
 
+_own = ", ".join(f"quantile_cont({m}, 0.95) AS q{i}" for i, m in enumerate(_meas))
+
+
+@query("R14", S.with_blocks(f"""
+SELECT doc_id, {' + '.join(f'coalesce(CAST({m} + 1e-12 >= q{i} AS INT), 0)' for i, m in enumerate(_meas))} AS trigger_count
+FROM rev_ens JOIN (SELECT appid, {_own} FROM rev_ens GROUP BY appid) c USING (appid)""", "rev_ens"))
+def trend_alerts_by_app(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.trend_alerts(ensemble_rows(spark, sf_dir), scope=("appid",)).select("doc_id", "trigger_count")
+
+
 @query("R17", S.with_blocks(f"""
 SELECT appid, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS n_alerts, {S.s6('avg(c)')} AS alert_rate FROM (
-  SELECT appid, CAST(risk_label_weak = 1 OR trigger_count >= 3 OR statistical_anomaly_score >= 2 AS INT) AS c FROM rev_alert)
+  SELECT appid, CAST(risk_label_weak = 1 OR trigger_count >= 3 OR statistical_anomaly_score >= 2 OR ml_anomaly = 1 AS INT) AS c FROM rev_alert)
 GROUP BY appid""", "rev_alert"))
 def composite_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = anomaly.composite_alert(anomaly.trend_alerts(ensemble_rows(spark, sf_dir)))
@@ -273,18 +297,16 @@ SELECT appid, update_id, rule, severity, {S.s6('value')} AS value, {S.s6('thresh
   UNION ALL SELECT appid, update_id, 'monetization_dispute', 'MEDIUM', nm / n, 0.30 FROM crisis WHERE n > 0 AND nm / n > 0.30
   UNION ALL SELECT appid, update_id, 'volume', 'MEDIUM', (n / 48.0::DOUBLE) / (nb / 168.0::DOUBLE), 3.0 FROM crisis
     WHERE nb > 0 AND (n / 48.0::DOUBLE) / (nb / 168.0::DOUBLE) > 3.0
-  UNION ALL SELECT appid, update_id, 'combined', 'CRITICAL', n2, 2 FROM crisis WHERE n2 >= 2)""", "crisis"))
+  UNION ALL SELECT appid, update_id, 'combined', 'CRITICAL', n2, 10 FROM crisis WHERE n2 >= 10)""", "crisis"))
 def crisis_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .. import config
-
-    rows = materialise(risk_rows(spark, sf_dir).select(
+    rows = save_table(risk_rows(spark, sf_dir).select(
         "appid", "doc_id", "ts", "compound", "sentiment_label", "votes_up", "topic", "risk_score", "risk_level",
-        "risk_label_weak", F.length("review_content_processed").alias("text_length")))
+        "risk_label_weak", F.length("review_content_processed").alias("text_length")), "scored")
     alerts = anomaly.trend_alerts(ensemble_rows(spark, sf_dir, rows)).select("doc_id", "trend_alert")
     tagged = monitor.in_window(rows, V.updates(spark, sf_dir)).join(alerts, "doc_id")
     updates = V.updates(spark, sf_dir).withColumn(
         "negative_sentiment_pct", F.expr("0.2D + 0.1D * (CAST(substring(appid, 4) AS INT) % 3)"))
-    out = monitor.crisis_alerts(tagged, updates, cuts=config.CrisisThresholds(combined_rows=2))
+    out = monitor.crisis_alerts(tagged, updates)
     return out.select(*KEYS, "rule", "severity", r6("value").alias("value"), r6("threshold").alias("threshold"))
 
 
@@ -303,10 +325,24 @@ def detected_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("appid", iso("hour").alias("hour"), "n_reviews", "n_keyword")
 
 
-@query("R16")
+IN_48H = "ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-10 00:00:00'"
+
+
+@query("R16", S.with_blocks(f"""
+SELECT review_id, appid, sentiment_label, {S.topic_case('processed')} AS topic, risk_score, risk_level FROM levelled WHERE {IN_48H}""", "levelled"))
 def scored_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = monitor.score_window(V.reviews(spark, sf_dir), "2024-01-08 00:00:00")
-    return out.select("review_id", "appid", "sentiment_label", "topic", "risk_score", "risk_level", "trend_alert")
+    return out.select("review_id", "appid", "sentiment_label", "topic", "risk_score", "risk_level")
+
+
+@query("R16", S.with_blocks(f"""
+SELECT appid, count(*) AS n_reviews, {', '.join(f"count(*) FILTER (sentiment_label = '{v}') AS n_{v}" for v in LABELS)},
+       {S.s6('avg(risk_score)')} AS mean_risk, max(risk_score) AS max_risk,
+       count(*) FILTER (risk_level IN ('Critical', 'High')) AS n_high_risk, true AS alerts_fit FROM levelled WHERE {IN_48H} GROUP BY appid""", "levelled"))
+def window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = monitor.window_summary(monitor.score_window(V.reviews(spark, sf_dir), "2024-01-08 00:00:00"))
+    return out.select("appid", "n_reviews", *[f"n_{v}" for v in LABELS], r6("mean_risk").alias("mean_risk"), "max_risk", "n_high_risk",
+                      F.col("n_trend_alerts").between(0, F.col("n_reviews")).alias("alerts_fit"))
 
 
 @query("A4", S.with_blocks(f"""
@@ -319,10 +355,14 @@ def imputed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", r6("value").alias("value"), "event_type")
 
 
-ML_FEATURES = ["value", "score", "hourly_count", "user_id"]
+ML_FEATURES = ["value", "hourly_count", "user_id"]
+S.block("ev_hours", "SELECT *, count(*) OVER (PARTITION BY appid, date_trunc('hour', ts)) AS hourly_count FROM events_v", "events_v")
+mahalanobis("ev_ml", "ev_hours", tuple(ML_FEATURES))
 
 
-@query("A2")
+@query("A2", S.with_blocks(f"""
+SELECT event_id, {S.s6('ml')} AS ml_anomaly_score, CAST(ml > (SELECT quantile_cont(ml, 0.95) FROM ev_ml) AS INT) AS ml_anomaly
+FROM ev_ml""", "ev_ml"))
 def elliptic_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = timeline.add_hourly_count(V.scored_events(spark, sf_dir))
     out = anomaly.detect_elliptic(ev, ML_FEATURES)
@@ -332,7 +372,7 @@ def elliptic_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A2")
 def isolation_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = timeline.add_hourly_count(V.scored_events(spark, sf_dir))
-    out = anomaly.detect_isolation(ev, ML_FEATURES, "event_id", n_trees=50)
+    out = anomaly.detect_isolation(ev, ML_FEATURES, "event_id")
     return out.select("event_id", r6("ml_anomaly_score").alias("ml_anomaly_score"), "ml_anomaly")
 
 

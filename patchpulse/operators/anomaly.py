@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.features import flag
-from ..session import materialise
+from ..session import save_table
 from .quantiles import exact_quantiles
 
 
@@ -22,7 +22,7 @@ def detect_statistical(df: DataFrame, keys: list[str], sensitivity: str = "mediu
     present. The rare-topic flag is reported but does not count.
     """
     sigma = config.SENSITIVITY_SIGMA[sensitivity]
-    out = df = materialise(df)  # read again for the statistics
+    out = df = save_table(df, "rows")  # read again for the statistics
     tested = {"is_sentiment_anomaly": (score, True), "is_volume_anomaly": ("hourly_count", False)}
     if {"votes_up", "text_length"} <= set(df.columns):
         out = out.withColumn("votes_per_char", F.col("votes_up") / (F.col("text_length") + 1))
@@ -70,7 +70,6 @@ def impute_features(df: DataFrame, numeric: list[str], strings: list[str] = ())
 
 
 def _flag_top(df: DataFrame, contamination: float) -> DataFrame:
-    df = materialise(df)
     cut = exact_quantiles(df, "ml_anomaly_score", (1 - contamination,))
     name = cut.columns[0]
     return df.withColumn("_cut", cut.select(name).scalar()).withColumn(
@@ -79,7 +78,7 @@ def _flag_top(df: DataFrame, contamination: float) -> DataFrame:
 
 
 def _standardised(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
-    filled = materialise(impute_features(materialise(df), features))
+    filled = impute_features(save_table(df, "features"), features)  # a cheap projection of the written rows
     stats = filled.agg(F.struct(*[
         F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features
     ])).scalar()
@@ -197,37 +196,38 @@ def _range_of(df: DataFrame, columns: list[str]) -> Column:
 def detect_combined(df: DataFrame, ml_weight: float = 0.6, q_medium: float = 0.8, q_high: float = 0.95) -> DataFrame:
     """ensemble_anomaly_score from the model score and the number of flags, with a 0-1 severity and its level."""
     parts = ["ml_anomaly_score", "statistical_anomaly_score"]
-    df = materialise(df)
     out = df.withColumn("_r", _range_of(df, parts)).withColumn(
         "ensemble_anomaly_score", _min_max(parts[0], "_r") * ml_weight + _min_max(parts[1], "_r") * (1 - ml_weight)
     ).drop("_r")
-    out = materialise(out)
-    out = out.withColumn("_r", _range_of(out, ["ensemble_anomaly_score"])).withColumn(
-        "anomaly_severity_score", _min_max("ensemble_anomaly_score", "_r")
-    ).drop("_r")
-    out = materialise(out)
-    cuts = exact_quantiles(out, "anomaly_severity_score", (q_medium, q_high))
+    # The severity is the ensemble score on a scale from 0 to 1, so its quantiles are those of the score on the same scale.
+    cuts = exact_quantiles(out, "ensemble_anomaly_score", (q_medium, q_high))
     medium, high = cuts.columns
-    s, eps = F.col("anomaly_severity_score"), F.lit(1e-12)
+    out = out.withColumns({"_r": _range_of(out, ["ensemble_anomaly_score"]), "_q": cuts.select(F.struct("*")).scalar()})
+    s, eps = F.col("ensemble_anomaly_score"), F.lit(1e-12)
     level = (
         F.when(s + eps >= F.col(f"_q.{high}"), "high").when(s + eps >= F.col(f"_q.{medium}"), "medium").otherwise("low")
     )
-    return out.withColumn("_q", cuts.select(F.struct("*")).scalar()).withColumn("anomaly_severity", level).drop("_q")
+    return out.withColumns({
+        "anomaly_severity_score": _min_max("ensemble_anomaly_score", "_r"), "anomaly_severity": level}).drop("_r", "_q")
+
 
+def trend_alerts(df: DataFrame, widths: tuple[int, ...] = config.ROLLING_HOURS, min_triggers: int = 3,
+                 scope: tuple[str, ...] = ()) -> DataFrame:
+    """trigger_count and trend_alert: how many of seven measures reach their 95th percentile.
 
-def trend_alerts(df: DataFrame, widths: tuple[int, ...] = config.ROLLING_HOURS, min_triggers: int = 3) -> DataFrame:
-    """trigger_count and trend_alert: how many of seven measures reach their 95th percentile over all rows."""
-    df = materialise(df)
+    The percentiles are taken over all rows or, with ``scope`` (such as the app), over the rows of the same scope, so that a large
+    app does not set the cuts of the others.
+    """
     measures = {"ensemble_anomaly_score": F.col("ensemble_anomaly_score")}
     for w in widths:
         measures[f"sentiment_diff_{w}h"] = F.abs(f"sentiment_diff_{w}h")
         measures[f"comment_rate_change_{w}h"] = F.abs(f"comment_rate_change_{w}h")
     pairs = F.array(*[F.struct(F.lit(n).alias("measure"), c.cast("double").alias("value")) for n, c in measures.items()])
-    tall = df.select(F.explode(pairs).alias("p")).select("p.measure", "p.value")
-    cuts = exact_quantiles(tall, "value", (0.95,), ("measure",)).agg(
-        F.map_from_entries(F.collect_list(F.struct("measure", "p95"))).alias("m")
+    tall = df.select(*scope, F.explode(pairs).alias("p")).select(*scope, "p.measure", "p.value")
+    cuts = exact_quantiles(tall, "value", (0.95,), (*scope, "measure")).groupBy(*scope).agg(
+        F.map_from_entries(F.collect_list(F.struct("measure", "p95"))).alias("_cuts")
     )  # one entry per measure
-    out = df.withColumn("_cuts", cuts.scalar())
+    out = df.join(cuts, list(scope), "left") if scope else df.withColumn("_cuts", cuts.scalar())
     hits = reduce(lambda a, b: a + b, [
         flag(c + 1e-12 >= F.try_element_at("_cuts", F.lit(n))) for n, c in measures.items()
     ])
@@ -236,7 +236,7 @@ def trend_alerts(df: DataFrame, widths: tuple[int, ...] = config.ROLLING_HOURS,
 
 
 def composite_alert(df: DataFrame) -> DataFrame:
-    """Any of: weak risk label, trend alert, statistical anomaly, coordinated behaviour."""
-    causes = ("risk_label_weak", "trend_alert", "is_statistical_anomaly", "is_coordinated")
+    """Any of: weak risk label, trend alert, statistical anomaly, model anomaly, coordinated behaviour (those that are present)."""
+    causes = ("risk_label_weak", "trend_alert", "is_statistical_anomaly", "ml_anomaly", "is_coordinated")
     hit = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) == 1, F.lit(False)) for c in causes if c in df.columns])
     return df.withColumn("composite_alert", hit.cast("int"))

@@ -42,21 +42,35 @@ def add_trend_alerts(scored: DataFrame, row_id: str = "doc_id", contamination: f
     return scored.join(alerts.select("appid", row_id, *keep), ["appid", row_id], "left")
 
 
+def with_settings(updates: DataFrame, hours: int = 48, baseline_days: int = 7) -> DataFrame:
+    """Updates that are monitored, each with its window_hours and baseline_days; where it has none, the given ones hold.
+
+    Updates with ``enabled`` false are left out.
+    """
+    own = updates.columns
+    on = updates.where(F.coalesce("enabled", F.lit(True))) if "enabled" in own else updates
+    defaults = {"window_hours": hours, "baseline_days": baseline_days}
+    return on.withColumns({
+        c: F.coalesce(F.col(c).cast("int"), F.lit(d)) if c in own else F.lit(d) for c, d in defaults.items()
+    })
+
+
 def in_window(scored: DataFrame, updates: DataFrame, hours: int = 48, baseline_days: int = 7) -> DataFrame:
-    """Rows of the monitoring window [U, U + hours) and of the baseline [U - days, U), tagged 'monitor'/'baseline'."""
-    u = updates.select(
-        "appid", "update_id", F.date_trunc("second", "update_ts").alias("update_ts"),
-        F.explode(F.sequence(
-            F.to_date(F.col("update_ts") - F.make_dt_interval(F.lit(baseline_days))),
-            F.to_date(F.col("update_ts") + F.make_dt_interval(F.lit(0), F.lit(hours))),
-        )).alias("_day"),
+    """Rows of the monitoring window [U, U + hours) and of the baseline [U - days, U), tagged 'monitor'/'baseline'.
+
+    Updates may carry window_hours, baseline_days and enabled of their own.
+    """
+    at = F.date_trunc("second", "update_ts")
+    u = with_settings(updates, hours, baseline_days).select(
+        "appid", "update_id", at.alias("update_ts"), (at - F.make_dt_interval(F.col("baseline_days"))).alias("_start"),
+        (at + F.make_dt_interval(F.lit(0), F.col("window_hours"))).alias("_end"),
     )
+    u = u.select("*", F.explode(F.sequence(F.to_date("_start"), F.to_date("_end"))).alias("_day"))
     joined = scored.withColumn("_day", F.to_date("ts")).join(broadcast_if_small(u), ["appid", "_day"])
-    ts, at = F.col("ts"), F.col("update_ts")
-    start, end = at - F.make_dt_interval(F.lit(baseline_days)), at + F.make_dt_interval(F.lit(0), F.lit(hours))
-    return joined.where((ts >= start) & (ts < end)).withColumn(
-        "window", F.when(ts >= at, "monitor").otherwise("baseline")
-    ).drop("_day")
+    ts = F.col("ts")
+    return joined.where((ts >= F.col("_start")) & (ts < F.col("_end"))).withColumn(
+        "window", F.when(ts >= F.col("update_ts"), "monitor").otherwise("baseline")
+    ).drop("_day", "_start", "_end")
 
 
 def _measures() -> list[Column]:
@@ -112,13 +126,15 @@ def baseline_compare(tagged: DataFrame, hours: int = 48, baseline_days: int = 7,
 
 def crisis_alerts(tagged: DataFrame, updates: DataFrame, hours: int = 48, baseline_days: int = 7,
                   cuts: config.CrisisThresholds = config.CrisisThresholds()) -> DataFrame:
-    """One row per fired alert. Updates may carry their own negative_sentiment_pct and critical_risk_pct."""
+    """One row per fired alert. Updates may carry their own negative_sentiment_pct, critical_risk_pct, window_hours,
+    baseline_days and enabled."""
+    updates = with_settings(updates, hours, baseline_days)
     own = {c: c for c in ("negative_sentiment_pct", "critical_risk_pct") if c in updates.columns}
     cut_cols = {
         c: (F.coalesce(F.col(c), F.lit(getattr(cuts, c))) if c in own else F.lit(getattr(cuts, c)))
         for c in ("negative_sentiment_pct", "critical_risk_pct")
     }
-    u = updates.select(*KEYS, *[v.alias(f"_{c}") for c, v in cut_cols.items()])
+    u = updates.select(*KEYS, "window_hours", "baseline_days", *[v.alias(f"_{c}") for c, v in cut_cols.items()])
     mon = F.col("window") == "monitor"
     high = F.col("risk_level").isin("Critical", "High")
     negative = F.col("sentiment_label") == "negative"
@@ -133,8 +149,8 @@ def crisis_alerts(tagged: DataFrame, updates: DataFrame, hours: int = 48, baseli
     )
     joined = u.join(stats, KEYS)
     n = F.nullif(F.col("n"), F.lit(0))
-    base_rate = F.col("n_base") / (baseline_days * 24.0)
-    rate = F.col("n") / float(hours)
+    base_rate = F.col("n_base") / (F.col("baseline_days") * 24.0)
+    rate = F.col("n") / F.col("window_hours").cast("double")
 
     def alert(rule: str, severity: str, value: Column, threshold: Column, fires: Column) -> Column:
         made = F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), value.alias("value"),
