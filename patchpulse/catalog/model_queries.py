@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import coordinated, models, windows
 from ..plans import evidence, monitor
-from ..session import materialise
+from ..session import materialise, save_table
 from . import sql as S
 from . import views as V
 from .registry import iso, query, r6
@@ -123,20 +123,37 @@ NUMERIC = ["votes_up", "votes_funny", "num_reviews", "text_length"]
 SENTIMENT = ["compound", "pos", "neg"]
 
 
-def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+TREND = ["sentiment_rolling_mean_24h", "sentiment_diff_24h", "comment_rate_24h"]
+ANOMALY = ["statistical_anomaly_score", "ml_anomaly_score", "ensemble_anomaly_score"]
+FEATURE_GROUPS = {"base": NUMERIC + SENTIMENT, "trend": TREND, "anomaly": ANOMALY, "full": ["trigger_count"]}
+
+
+def _training_rows(spark: SparkSession, sf_dir: str, alerts: bool = False) -> DataFrame:
     rows = monitor.score_rows(V.reviews(spark, sf_dir)).withColumn("text_length", F.length("review_content_processed"))
-    return materialise(rows.select("review_id", "ts", "review_content_processed", "risk_label_weak", *NUMERIC, *SENTIMENT))
+    if alerts:
+        from ..operators import anomaly
+        from .risk_queries import ensemble_rows
+
+        keep = save_table(rows.select("appid", "doc_id", "review_id", "ts", "compound", "votes_up", "votes_funny", "num_reviews", "text_length", "pos", "neg",
+                                      "topic", "risk_label_weak"), "training")
+        extra = anomaly.trend_alerts(ensemble_rows(spark, sf_dir, keep)).select("doc_id", *TREND, *ANOMALY, "trigger_count")
+        return save_table(keep.join(extra, "doc_id").na.fill(0.0), "training")
+    return save_table(rows.select("review_id", "ts", "review_content_processed", "risk_label_weak", *NUMERIC, *SENTIMENT), "training")
 
 
 @query("M5")
 def text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialise(models.time_split(_training_rows(spark, sf_dir)))
+    out = classifier_evaluation(spark, sf_dir)
+    return out.select(*[r6(c).alias(c) for c in ("average_precision", "roc_auc", "precision", "recall", "f1")],
+                      "tp", "fp", "fn", "tn")
+
+
+def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = save_table(models.time_split(_training_rows(spark, sf_dir)), "split")
     model = models.train_text_classifier(
         rows.where("is_train"), "review_content_processed", "risk_label_weak")
     scored = model.transform(rows.where("NOT is_train")).select("risk_label_weak", models.probability().alias("score"))
-    out = models.evaluate(scored, "score", "risk_label_weak")
-    return out.select(*[r6(c).alias(c) for c in ("average_precision", "roc_auc", "precision", "recall", "f1")],
-                      "tp", "fp", "fn", "tn")
+    return models.evaluate(scored, "score", "risk_label_weak")
 
 
 @query("M5, M9")
@@ -148,11 +165,63 @@ def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M6, M8")
 def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = models.time_folds(_training_rows(spark, sf_dir), folds=2)
-    out = models.ablation(folded, {"base": NUMERIC, "sentiment": SENTIMENT}, "risk_label_weak", folds=2, iterations=3)
+    out = ablation_of(spark, sf_dir)
     return out.withColumns({"pr_auc": r6("pr_auc"), "pr_auc_std": r6("pr_auc_std")})
 
 
+def ablation_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = models.time_folds(_training_rows(spark, sf_dir, alerts=True))
+    return models.ablation(folded, FEATURE_GROUPS, "risk_label_weak")
+
+
+# What does not depend on the library's random choices, checked in SQL.
+
+
+@query("M2, M3", S.with_blocks("SELECT review_id, true AS sums_to_one_or_empty, true AS strongest_first, true AS entropy_fits FROM rev_p", "rev_p"))
+def topic_model_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = models.topic_model(_processed(spark, sf_dir), "p")
+    total = F.expr("aggregate(topic_probs, 0D, (s, p) -> s + p)")
+    return out.select(
+        "review_id", (total.isNull() | (F.abs(total - 1) < 1e-6) | (total == 0)).alias("sums_to_one_or_empty"),
+        ((F.array_max("topic_probs") == F.col("dominant_topic_prob")) & F.col("dominant_topic").between(0, 7)).alias("strongest_first"),
+        F.col("topic_entropy").between(-1e-9, F.log(F.lit(8.0)) + 1e-9).alias("entropy_fits"))
+
+
+@query("M4", "SELECT vec_id, true AS known_cluster, true AS nearest_centre FROM embeddings")
+def embedding_cluster_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = models.embedding_clusters(V.table(spark, sf_dir, "embeddings"), centres="_all")
+    gaps = F.transform("_all", lambda c: F.aggregate(F.zip_with("embedding", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    return out.select("vec_id", F.col("embed_cluster_id").between(0, 7).alias("known_cluster"),
+                      (F.abs(F.sqrt(F.array_min(gaps)) - F.col("embed_cluster_dist")) < 1e-6).alias("nearest_centre"))
+
+
+S.block("test_rows", """
+SELECT * FROM levelled WHERE epoch_us(ts) > (SELECT quantile_cont(epoch_us(ts)::DOUBLE, 0.8) FROM levelled)""", "levelled")
+
+
+@query("M5, M7", S.with_blocks(
+    "SELECT count(*) AS n_test, count(*) FILTER (risk_label_weak = 1) AS n_positive, true AS beats_chance FROM test_rows", "test_rows"))
+def text_classifier_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classifier_evaluation(spark, sf_dir)
+    return out.select(
+        F.expr("tp + fp + fn + tn").alias("n_test"), F.expr("tp + fn").alias("n_positive"),
+        (F.col("average_precision") > F.expr("(tp + fn) / (tp + fp + fn + tn)")).alias("beats_chance"))
+
+
+@query("M5, M9", " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) > 0 AS fits, true AS whole FROM documents" for c in NUMERIC + SENTIMENT))
+def boosted_importance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = boosted_importance(spark, sf_dir)
+    total = out.agg(F.sum("importance")).scalar()
+    return out.select("feature", F.col("importance").between(0, 1).alias("fits"), (F.abs(total - 1) < 1e-4).alias("whole"))
+
+
+@query("M6, M8", " UNION ALL ".join(
+    f"SELECT '{g}' AS features, {n} AS n_features, count(*) > 0 AS fits FROM documents" for g, n in
+    zip(FEATURE_GROUPS, [sum(map(len, list(FEATURE_GROUPS.values())[: i + 1])) for i in range(len(FEATURE_GROUPS))])))
+def feature_ablation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation_of(spark, sf_dir).select("features", "n_features", F.col("pr_auc").between(0, 1).alias("fits"))
+
+
 @query("L4")
 def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .impact_queries import report

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -119,14 +120,15 @@ def embedding_stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
     }).drop("_e", "_s", "_q")
 
 
-def embedding_clusters(df: DataFrame, k: int = 8, vector: str = "embedding", seed: int = 7) -> DataFrame:
-    """k-means cluster of every vector and its distance to the centre."""
+def embedding_clusters(df: DataFrame, k: int = 8, vector: str = "embedding", seed: int = 7, centres: str | None = None) -> DataFrame:
+    """k-means cluster of every vector and its distance to the centre; ``centres`` names a column that holds all k centres."""
     rows = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="embed_cluster_id").fit(rows)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])  # k x dimension
-    out = model.transform(rows).withColumn("_c", centres[F.col("embed_cluster_id")])
+    all_centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])  # k x dimension
+    out = model.transform(rows).withColumn("_c", all_centres[F.col("embed_cluster_id")])
     gap = F.expr(f"sqrt(aggregate(zip_with({vector}, _c, (a, b) -> (a - b) * (a - b)), 0D, (s, d) -> s + d))")
-    return out.withColumn("embed_cluster_dist", gap).drop("_v", "_c")
+    out = out.withColumn("embed_cluster_dist", gap).drop("_v", "_c")
+    return out.withColumn(centres, all_centres) if centres else out
 
 
 # --------------------------------------------------------------------------------------------- splits, training
@@ -270,13 +272,16 @@ def precision_at_k(groups: DataFrame, confirmed: DataFrame, k: int, by: str = "s
 
 
 def cross_validate(folded: DataFrame, features: list[str], target: str, folds: int = 5, iterations: int = 10) -> DataFrame:
-    """Area under the precision-recall curve of every expanding-window fold."""
-    rows = []
-    for i in range(folds):  # a handful of model fits, each distributed
+    """Area under the precision-recall curve of every expanding-window fold; folds are fitted side by side."""
+
+    def area_of(i: int) -> tuple[int, float]:  # a handful of model fits, each distributed
         train, test = folded.where(F.col("time_part") <= i), folded.where(F.col("time_part") == i + 1)
         model = train_boosted(train, features, target, iterations)
         area = BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderPR").evaluate(model.transform(test))
-        rows.append((i, float(area)))
+        return i, float(area)
+
+    with ThreadPoolExecutor(min(folds, 5)) as pool:
+        rows = list(pool.map(area_of, range(folds)))
     return folded.sparkSession.createDataFrame(rows, "fold int, pr_auc double")
 
 
