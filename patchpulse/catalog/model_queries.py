@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import coordinated, models, windows
+from ..operators import coordinated, joins, models, windows
 from ..plans import evidence, monitor
 from ..session import materialise, save_table
 from . import sql as S
@@ -226,14 +226,19 @@ def feature_ablation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .impact_queries import report
 
+    from .review_queries import announcement_themes, comment_sources
+
     full = report(spark, sf_dir)
-    notes = windows.patch_notes(V.news(spark, sf_dir))
-    return evidence.evidence_pack(full.summary, full.topics, evidence.patch_context(V.updates(spark, sf_dir), notes))
+    updates, notes = V.updates(spark, sf_dir), windows.patch_notes(V.news(spark, sf_dir))
+    said = joins.comments_of_updates(V.comments(spark, sf_dir), comment_sources(spark, sf_dir))
+    quotes = said.where(F.length("content") >= 5).select("appid", "update_id", F.col("content").alias("text"), F.col("author").alias("sentiment"), "position")
+    return evidence.evidence_pack(
+        full.summary, full.topics, evidence.patch_context(updates, notes), themes=announcement_themes(spark, sf_dir), quotes=quotes)
 
 
 @query("L4", S.with_blocks("""
-SELECT appid, update_id, string_agg('--- ' || title || ' ---' || chr(10) || substring(contents, 1, 600), chr(10) ORDER BY k) AS patch_context
-FROM (SELECT u.appid, u.update_id, n.title, n.contents,
+SELECT appid, update_id, string_agg(title || ', ' || strftime(published_at, '%Y-%m-%d') || chr(10) || contents, chr(10) ORDER BY k) AS patch_context
+FROM (SELECT u.appid, u.update_id, n.title, n.contents, n.published_at,
              row_number() OVER (PARTITION BY u.appid, u.update_id ORDER BY n.published_at DESC, n.gid) AS k
       FROM updates_v u JOIN notes_v n ON n.appid = u.appid AND n.published_at >= u.update_ts - INTERVAL 7 DAY)
 WHERE k <= 3 GROUP BY ALL""", "updates_v", "notes_v"))

@@ -18,8 +18,8 @@ def _lines(df: DataFrame, order: str, line: Column, name: str) -> DataFrame:
     return picked.select(*KEYS, F.concat_ws("\n", F.transform("_x", lambda x: x["l"])).alias(name))
 
 
-def patch_context(updates: DataFrame, notes: DataFrame, k: int = 3, chars: int = 600) -> DataFrame:
-    """Title and start of the k newest patch notes since each update's window began."""
+def patch_context(updates: DataFrame, notes: DataFrame, k: int = 3, chars: int | None = None) -> DataFrame:
+    """Title, day and contents of the k newest patch notes since each update's window began; ``chars`` cuts the contents."""
     from ..operators.windows import with_bounds
 
     # The newest k notes of a day are all a later cut to k can need; this bounds the pairs per update and day.
@@ -28,44 +28,66 @@ def patch_context(updates: DataFrame, notes: DataFrame, k: int = 3, chars: int =
     joined = with_bounds(updates).select(*KEYS, "window_start").join(per_day, "appid").where(
         F.col("published_at") >= F.col("window_start"))
     top = top_per_group(joined, KEYS, k, [F.desc("published_at"), F.asc("gid")], "_rank")
-    line = F.concat(F.lit("--- "), "title", F.lit(" ---\n"), F.substring("contents", 1, chars))
+    body = F.col("contents") if chars is None else F.substring("contents", 1, chars)
+    line = F.concat(F.col("title"), F.lit(", "), F.date_format("published_at", "yyyy-MM-dd"), F.lit("\n"), body)
     return _lines(top, "_rank", line, "patch_context")
 
 
-def evidence_pack(summary: DataFrame, topics: DataFrame, context: DataFrame, app_names: DataFrame | None = None) -> DataFrame:
-    """One text per update: risk, baseline, comments, reviews, at most eight topics, signals and patch notes."""
-    top = top_per_group(topics, KEYS, 8, [F.desc("count"), F.asc("label")], "_rank")
-    topic_text = _lines(top, "_rank", F.format_string("  %s (%d mentions)", "label", "count"), "_topics")
-    joined = summary.join(topic_text, KEYS, "left").join(context, KEYS, "left")
-    name = F.concat(F.lit("App "), F.col("appid"))
+def evidence_pack(summary: DataFrame, topics: DataFrame, context: DataFrame, app_names: DataFrame | None = None,
+                  themes: DataFrame | None = None, quotes: DataFrame | None = None, distribution: DataFrame | None = None) -> DataFrame:
+    """One text per update from what is known of it, a section each; sections without content are left out.
+
+    ``topics`` and ``themes`` (label, count) are shown by size, eight and six of them; ``quotes`` (text, sentiment, position) ten in
+    page order; ``distribution`` gives a ``summary`` of the reviews after the update.
+    """
+    extras = {
+        "_topics": (topics, 8, [F.desc("count"), F.asc("label")], F.format_string("- %s: %d", "label", "count")),
+        "_themes": (themes, 6, [F.desc("count"), F.asc("label")], F.format_string("- %s: %d", "label", "count")),
+        "_quotes": (quotes, 10, [F.asc("position"), F.asc("text")], F.format_string('- %s: "%s"', "sentiment", "text")),
+    }
+    joined = summary.join(context, KEYS, "left")
+    for name, (rows, k, by, line) in extras.items():
+        if rows is None:
+            joined = joined.withColumn(name, F.lit(None).cast("string"))
+        else:
+            joined = joined.join(_lines(top_per_group(rows, KEYS, k, by, "_rank"), "_rank", line, name), KEYS, "left")
+    if distribution is None:
+        joined = joined.withColumn("_spread", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(distribution.select(*KEYS, F.col("summary").alias("_spread")), KEYS, "left")
+    title = F.concat(F.lit("App "), F.col("appid"))
     if app_names is not None:
         joined = joined.join(app_names.select("appid", F.col("name").alias("_name")), "appid", "left")
-        name = F.coalesce("_name", name)
+        title = F.coalesce("_name", title)
+
+    def section(name: str, *lines: Column) -> Column:
+        body = F.concat_ws("\n", *lines)
+        return F.when(body != "", F.concat(F.lit(f"\n# {name}\n"), body))
 
     def shares(w: str) -> Column:
         return F.format_string(
-            "pos=%s  neu=%s  neg=%s  (n=%d)", text.percent(F.col(f"{w}_positive"), 1), text.percent(F.col(f"{w}_neutral"), 1),
-            text.percent(F.col(f"{w}_negative"), 1), F.col(f"{w}_n"))
-
-    signal_lines = F.concat_ws("\n", F.transform(
-        "signals", lambda s: F.format_string("  [%s] %s: %s", s["severity"], s["rule"], s["description"])))
-    comments = F.when(
-        F.col("n_comments").isNotNull(),
-        F.format_string("%d comments, %s negative", F.col("n_comments"), text.percent(F.col("comment_negative"))),
-    ).otherwise(F.lit("(none available)"))
+            "%d reviews: %s positive, %s neutral, %s negative", F.col(f"{w}_n"), *[text.percent(F.col(f"{w}_{v}"), 1) for v in ("positive", "neutral", "negative")])
+
+    disagree = F.col("n_disagreements")
+    fired = F.concat_ws("\n", F.transform(
+        "signals", lambda s: F.format_string("- %s (%s): %s", s["rule"], s["severity"], s["description"])))
     pack = F.concat_ws(
-        "\n", F.concat(F.lit("Game: "), name), F.concat(F.lit("Overall risk: "), "overall_risk"),
-        F.lit("=== BASELINE ==="), shares("pre"), F.lit("=== ANNOUNCEMENT COMMENTS ==="), comments,
-        F.lit("=== REVIEWS ==="), shares("post"),
-        F.concat(F.lit("Negative share change: "), text.signed_percent(F.col("sentiment_delta"))),
-        F.lit("=== TOPICS ==="), F.coalesce("_topics", F.lit("(none)")), F.lit("=== RISK SIGNALS ==="),
-        F.when(F.size("signals") > 0, signal_lines).otherwise(F.lit("(none)")),
-        F.lit("=== PATCH NOTES ==="), F.coalesce("patch_context", F.lit("(none available)")))
+        "\n", F.format_string("%s, update %s, risk %s", title, F.col("update_id"), F.col("overall_risk")),
+        section("Before the update", shares("pre")),
+        section("Announcement comments", F.when(F.col("n_comments").isNotNull(), F.format_string(
+            "%d comments, %s negative", F.col("n_comments"), text.percent(F.col("comment_negative")))), F.col("_themes"), F.col("_quotes")),
+        section(
+            "After the update", F.when(F.col("post_n") > 0, shares("post")),
+            F.when(F.col("post_n") > 0, F.concat(F.lit("Change of the negative share: "), text.signed_percent(F.col("sentiment_delta")))),
+            F.when(disagree > 0, F.format_string(
+                "%d reviews (%s) whose text contradicts the vote", disagree, text.percent(disagree / F.col("post_n"), 1))), F.col("_spread")),
+        section("Topics", F.col("_topics")), section("Signals", fired), section("Patch notes", F.col("patch_context")))
     return joined.select(*KEYS, pack.alias("evidence"))
 
 
 def fallback_narrative(summary: DataFrame) -> DataFrame:
     """The sentence reported when no narrative was generated."""
+    # Fixed value: the wording of the fallback.
     line = F.format_string(
         "Analysis complete. Risk level: %s. Negative ratio change: %s.", "overall_risk",
         text.signed_percent(F.col("sentiment_delta")))

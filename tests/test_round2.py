@@ -124,3 +124,44 @@ def test_store_keys_keep_their_zeros(spark, tmp_path):
     assert {r.appid for r in reviews.read_store(spark, path).collect()} == {"007", "7"}
     plan = reviews.new_rows(rows.where("appid = '7'"), reviews.stored(spark, path, rows.schema), ["appid", "review_id"], F.struct("ts"))
     assert "PartitionFilters: [" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_sections(spark, two_updates):
+    from patchpulse.plans import evidence
+
+    updates, events, comments = two_updates
+    notes = spark.createDataFrame([("7", "n1", "Fix", "x" * 1000, "2024-01-09 00:00:00")], "appid string, gid string, title string, contents string, at string")
+    notes = notes.withColumn("published_at", F.to_timestamp("at"))
+    reviews = spark.createDataFrame([("7", "r1", "terrible crash, bad game", True, "2024-01-11 00:00:00")], "appid string, review_id string, review_content string, voted_up boolean, at string")
+    reviews = reviews.withColumn("ts", F.to_timestamp("at")).withColumns({"playtime_at_review": F.lit(600.0), "num_reviews": F.lit(1)})
+    report = impact.impact_report(reviews, updates, comments, events, notes)
+    themes = spark.createDataFrame([("7", "u1", f"theme{i}", i) for i in range(9)], "appid string, update_id string, label string, count int")
+    quotes = spark.createDataFrame([("7", "u1", f"quote {i}", "negative", i) for i in range(12)], "appid string, update_id string, text string, sentiment string, position int")
+    spread = spark.createDataFrame([("7", "u1", "1 reviews total.")], "appid string, update_id string, summary string")
+    context = evidence.patch_context(updates, notes)
+    got = {r.update_id: r.evidence for r in evidence.evidence_pack(report.summary, report.topics, context, None, themes, quotes, spread).collect()}
+    first = got["u1"]
+    assert "Fix, 2024-01-09" in first and "x" * 1000 in first and "1 reviews total." in first
+    assert first.count("- theme") == 6 and first.count("quote ") == 10 and "contradicts the vote" in first
+    assert "# After the update" not in got["u3"] and "# Patch notes" not in got["u3"]
+    cut = evidence.patch_context(updates, notes, chars=800).first().patch_context
+    assert len(cut) == len("Fix, 2024-01-09\n") + 800
+
+
+def test_composite_alert_takes_coordinated_and_model_flags(spark):
+    from patchpulse.operators import anomaly
+
+    names = ("risk_label_weak", "trend_alert", "is_statistical_anomaly", "ml_anomaly", "is_coordinated")
+    rows = [tuple(int(i == k) for k in range(5)) for i in range(6)]
+    got = anomaly.composite_alert(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))).collect()
+    assert [r.composite_alert for r in got] == [1, 1, 1, 1, 1, 0]
+
+
+def test_monitoring_settings_of_an_update(spark):
+    from patchpulse.plans import monitor
+
+    rows = spark.createDataFrame([("a", h) for h in range(-72, 72)], "appid string, h int").selectExpr("appid", "timestamp'2024-01-10 00:00:00' + make_dt_interval(0, h) AS ts")
+    updates = spark.createDataFrame([("a", "u1", 24, 1, True), ("a", "u2", None, None, None), ("a", "u3", 24, 1, False)], "appid string, update_id string, window_hours int, baseline_days int, enabled boolean")
+    updates = updates.withColumn("update_ts", F.expr("timestamp'2024-01-10 00:00:00'"))
+    got = {(r.update_id, r.window): r["count"] for r in monitor.in_window(rows, updates).groupBy("update_id", "window").count().collect()}
+    assert got == {("u1", "monitor"): 24, ("u1", "baseline"): 24, ("u2", "monitor"): 48, ("u2", "baseline"): 72}
