@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import classes, mix64, scan, texts_of
@@ -132,7 +132,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def block_links(rows: DataFrame, least: float) -> DataFrame:
-    """Links across labels between the left and the right texts of each block; at most two chunks of texts meet in one."""
+    """For each block links between its left and right texts, one for each two labels; at most two chunks of texts meet in one."""
 
     def compare(table: pa.Table) -> pa.Table:
         keys, labels, is_left = (np.array(table.column(c).to_pylist(), object) for c in ("key", "label", "is_left"))
@@ -159,20 +159,57 @@ def block_links(rows: DataFrame, least: float) -> DataFrame:
                 common += (dense[left] @ dense[right].T).astype(np.int64)
             union = sizes[left][:, None] + sizes[right][None, :] - common
             i, j = np.nonzero(common >= least * union - 1e-9)
-            found = [(keys[left[p]], keys[right[q]]) for p, q in zip(i, j) if labels[left[p]] != labels[right[q]]]
+            first: dict[tuple[str, str], tuple[str, str]] = {}  # one link joins two classes
+            for p, q in zip(left[i], right[j]):
+                if labels[p] != labels[q]:
+                    first.setdefault((labels[p], labels[q]), (keys[p], keys[q]))
+            found = list(first.values())
         return pa.table({"a": pa.array([x for x, _ in found], pa.string()), "b": pa.array([y for _, y in found], pa.string())})
 
     return rows.groupBy("pair").applyInArrow(compare, "a string, b string")
 
 
+BLOCK = ("pair", "key", "label", "is_left")
+
+
+def small_blocks(rows: DataFrame) -> DataFrame:
+    """A block for each bucket of at most one chunk: the texts outside its largest class on the left, all on the right."""
+    here = rows.withColumn("pair", F.col("bv").cast("string"))
+    left = here.where("minor").withColumn("is_left", F.lit(True))
+    return left.select(*BLOCK).union(here.withColumn("is_left", F.lit(False)).select(*BLOCK))
+
+
+def large_blocks(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Blocks of two chunks for the large buckets.
+
+    The buckets of several bands that share texts form one zone, so a group of near copies is cut into chunks once and not once
+    for each band. A chunk's texts outside the largest class of a bucket meet every chunk of the zone.
+    """
+    edges = rows.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    zones = saved(classes(spark, edges), "zones")
+    parts = zones.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).withColumnRenamed("label", "zone")
+    place = zones.select(F.col("node").alias("key"), F.col("label").alias("zone")).join(parts, "zone")
+    place = place.withColumn("no", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    nodes = saved(rows.groupBy("key", "label").agg(F.max("minor").alias("minor")).join(place, "key"), "zone-nodes")
+    open_chunks = nodes.where("minor").select("zone", F.col("no").alias("left_no")).distinct()
+
+    def pair(left: str, right: str):
+        return F.concat_ws("/", "zone", F.col(left).cast("string"), F.col(right).cast("string")).alias("pair")
+
+    left = nodes.where("minor").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select(pair("no", "other"), "key", "label", F.lit(True).alias("is_left"))
+    right = nodes.join(open_chunks, "zone").select(pair("left_no", "no"), "key", "label", F.lit(False).alias("is_left"))
+    return left.union(right)
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row for each document: its text's key, its class, the class's size and whether it represents the class.
 
     Reads ``doc_id`` and ``text``; other columns are ignored. Texts are sets of shingles of five words (runs without ASCII white space), weighted
     by a damped count. Equal texts are folded first. Signatures give band values; texts of equal band value are candidates.
     Each candidate is compared with one leader of its bucket, the leaders differing from band to band. Buckets whose texts then still belong to
-    several classes are compared in blocks: every text outside the bucket's largest class with every text of the bucket, in chunks
-    of bounded size, links only coming out. A link needs a Jaccard similarity of the distinct shingles of at least ``least``; classes are
+    several classes are compared in blocks of bounded size: every text outside the bucket's largest class with every text of the
+    bucket, links only coming out. A link needs a Jaccard similarity of the distinct shingles of at least ``least``; classes are
     the connected groups of links. ``class_id`` is the least id in the class, the document that represents it.
 
     Null texts count as empty. Empty texts are equal to each other and similar to nothing else; a text of fewer than five words
@@ -194,23 +231,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = saved(verified(star, sets, least), "links")
     labels = saved(classes(spark, links), "labels")
 
-    large = post.where("size > 2").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    large = saved(large.select("bv", "size", "key", F.coalesce("label", "key").alias("label")), "labelled")
-    sizes = large.groupBy("bv", "label").agg(F.count("*").alias("c"))
+    labelled = post.where("size > 2").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    labelled = saved(labelled.select("bv", "size", "key", "leader", F.coalesce("label", "key").alias("label")), "labelled")
+    sizes = labelled.groupBy("bv", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bv").agg(F.max_by("label", F.struct("c", "label")).alias("big"), F.count("*").alias("k")).where("k > 1")
-    home = large.groupBy("key").agg(F.max(F.struct("size", "bv")).alias("h"))
-    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("h.size") / CHUNK))
-    home = home.select("key", F.concat_ws("/", F.col("h.bv").cast("string"), part.cast("string")).alias("chunk"))
-    open_rows = saved(large.join(mixed, "bv").join(home, "key").select("bv", "key", "label", "chunk", (F.col("label") != F.col("big")).alias("minor")), "mixed")
-    left_at = open_rows.where("minor").select("bv", F.col("chunk").alias("ca")).distinct()
-    right_at = open_rows.select("bv", F.col("chunk").alias("cb")).distinct()
-    pairs = left_at.join(right_at, "bv").select("ca", "cb").distinct().withColumn("pair", F.concat_ws("~", "ca", "cb"))
-    pairs = saved(pairs, "pairs")
-    nodes = saved(open_rows.groupBy("key", "label", "chunk").agg(F.max("minor").alias("minor")).join(sets, "key"), "nodes")
-    left = nodes.where("minor").join(pairs.select("pair", F.col("ca").alias("chunk")), "chunk").withColumn("is_left", F.lit(True))
-    right = nodes.join(pairs.select("pair", F.col("cb").alias("chunk")), "chunk").withColumn("is_left", F.lit(False))
-    both = left.select("pair", "key", "label", "shingles", "is_left").union(right.select("pair", "key", "label", "shingles", "is_left"))
-    more = saved(block_links(both, least), "more-links")
+    open_rows = saved(labelled.join(mixed, "bv").withColumn("minor", F.col("label") != F.col("big")), "mixed")
+    blocks = small_blocks(open_rows.where(F.col("size") <= CHUNK))
+    if not open_rows.where(F.col("size") > CHUNK).isEmpty():
+        blocks = blocks.union(large_blocks(spark, open_rows.where(F.col("size") > CHUNK)))
+    more = saved(block_links(blocks.join(sets, "key"), least), "more-links")
     if more.isEmpty():
         final = labels
     else:  # what the first links joined stays joined: its star is added to the new links

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from patchpulse.llm import neardup, substrings
 
@@ -41,10 +42,12 @@ def variants(rng, n, words=150, edits=8):
     return out
 
 
-def test_near_duplicate_classes(spark):
+@pytest.mark.parametrize("chunk", [neardup.CHUNK, 8])
+def test_near_duplicate_classes(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neardup, "CHUNK", chunk)  # small chunks send the large groups through blocks
     rng = random.Random(1)
     rows = odd_rows(rng)
-    texts = variants(rng, 60) + variants(rng, 5, edits=2) + variants(rng, 3, words=7, edits=1) + [prose(rng, 80) for _ in range(40)]
+    texts = variants(rng, 60) + variants(rng, 70, words=90, edits=11) + variants(rng, 5, edits=2) + variants(rng, 3, words=7, edits=1) + [prose(rng, 80) for _ in range(40)]
     rows += [(100 + i, t) for i, t in enumerate(texts)] + [(90, texts[3]), (91, texts[3] + "  "), (300, "one two"), (301, "one  two")]
     expected = brute_classes(rows)
     got = neardup.near_duplicates(frame(spark, rows)).collect()
