@@ -145,6 +145,16 @@ def texts(model: dict, htmls: list[str | None]):
     return out
 
 
+def sampled(pages: DataFrame, n: int) -> list[str]:
+    """The ``n`` different pages with the least hashes. The hashes alone are ranked, so that no task sends more than ``n`` numbers."""
+    some = pages.where(F.col("html").isNotNull() & (F.length("html") <= MAX_PAGE_CHARS)).select(F.xxhash64("html").alias("o"), "html")
+    least = [r["o"] for r in some.select("o").distinct().orderBy("o").limit(n).collect()]
+    if not least:
+        return []
+    rows = some.where(F.col("o") <= least[-1]).groupBy("o").agg(F.min("html").alias("html")).orderBy("o")
+    return [r["html"] for r in rows.collect()]
+
+
 def main_text(pages: DataFrame, model: dict | None = None, sample_pages: int = PAGES) -> DataFrame:
     """Main text of every whole page.
 
@@ -158,8 +168,7 @@ def main_text(pages: DataFrame, model: dict | None = None, sample_pages: int = P
     text. Null ids and addresses stay null. Repeated rows give repeated results; an empty table gives none.
     """
     if model is None:
-        some = pages.where(F.col("html").isNotNull() & (F.length("html") <= MAX_PAGE_CHARS)).select("html", F.xxhash64("html").alias("o"))
-        model = fit([r["html"] for r in some.orderBy("o").limit(sample_pages).collect()])
+        model = fit(sampled(pages, sample_pages))
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def start():
