@@ -15,6 +15,8 @@ from ..session import fresh_path, materialise, ship_package  # noqa: F401
 
 #: Rows of labels whose crc32 of the id leaves this remainder are never learned from.
 HELD_OUT_REMAINDER, HELD_OUT_MODULUS = 2, 4
+#: Links in a file, and so in a task that writes one.
+LINKS_PER_FILE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,12 +90,13 @@ def classes(spark: SparkSession, links: DataFrame) -> DataFrame:
     Alternates between hanging each node's larger neighbours and its smaller ones on its least neighbour, until nothing
     changes. Each pass keeps the number of links or lessens it; a hot node is split by the partial aggregates.
     """
-    def save(df: DataFrame) -> DataFrame:
+    def save(df: DataFrame, files: int | None = None) -> DataFrame:
         path = fresh_path(spark, "classes")
-        df.write.parquet(path)
+        (df.coalesce(files) if files else df).write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     edges = save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    files = 1 + edges.count() // LINKS_PER_FILE  # later passes have no more links than this one
     seen = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -101,7 +104,7 @@ def classes(spark: SparkSession, links: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = save(small.union(low2.select("a", F.col("m").alias("b"))).distinct())
+        edges = save(small.union(low2.select("a", F.col("m").alias("b"))).distinct(), files)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -15,7 +15,9 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: Elements whose arrivals are simulated together, and texts compared in one block.
-TOGETHER, CHUNK = 600_000, 256
+TOGETHER, CHUNK = 200_000, 256
+#: Rows of bucket members in a file, and so in a task that writes one.
+ROWS_PER_FILE = 100_000
 #: Bytes of a shingle's hash that are kept for the verification.
 KEY_BYTES = 5
 GOLD, STEP_1, STEP_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
@@ -179,18 +181,18 @@ def small_blocks(rows: DataFrame) -> DataFrame:
     return left.select(*BLOCK).union(here.withColumn("is_left", F.lit(False)).select(*BLOCK))
 
 
-def large_blocks(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def large_blocks(spark: SparkSession, rows: DataFrame, files: int) -> DataFrame:
     """Blocks of two chunks for the large buckets.
 
     The buckets of several bands that share texts form one zone, so a group of near copies is cut into chunks once and not once
     for each band. A chunk's texts outside the largest class of a bucket meet every chunk of the zone.
     """
     edges = rows.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    zones = saved(classes(spark, edges), "zones")
+    zones = saved(classes(spark, edges), "zones", files)
     parts = zones.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).withColumnRenamed("label", "zone")
     place = zones.select(F.col("node").alias("key"), F.col("label").alias("zone")).join(parts, "zone")
     place = place.withColumn("no", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    nodes = saved(rows.groupBy("key", "label").agg(F.max("minor").alias("minor")).join(place, "key"), "zone-nodes")
+    nodes = saved(rows.groupBy("key", "label").agg(F.max("minor").alias("minor")).join(place, "key"), "zone-nodes", files)
     open_chunks = nodes.where("minor").select("zone", F.col("no").alias("left_no")).distinct()
 
     def pair(left: str, right: str):
@@ -224,21 +226,22 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     leader = F.min(F.struct(F.xxhash64("key", "bv").alias("o"), "key", "n"))
     buckets = postings.groupBy("bv").agg(F.count("*").alias("size"), leader.alias("l")).where("size > 1")
     post = saved(postings.join(buckets, "bv").select("bv", "size", "key", "doc_id", "n", F.col("l.key").alias("leader"), F.col("l.n").alias("leader_n")), "postings")
+    files = 1 + post.count() // ROWS_PER_FILE
     sets = saved(shingle_sets(docs, post.select("key", "doc_id").distinct()), "shingles")
 
     fits = F.least("n", "leader_n") >= least * F.greatest("n", "leader_n") - 1e-9
     star = post.where((F.col("key") != F.col("leader")) & fits).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     links = saved(verified(star, sets, least), "links")
-    labels = saved(classes(spark, links), "labels")
+    labels = saved(classes(spark, links), "labels", files)
 
     labelled = post.where("size > 2").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    labelled = saved(labelled.select("bv", "size", "key", "leader", F.coalesce("label", "key").alias("label")), "labelled")
+    labelled = saved(labelled.select("bv", "size", "key", "leader", F.coalesce("label", "key").alias("label")), "labelled", files)
     sizes = labelled.groupBy("bv", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bv").agg(F.max_by("label", F.struct("c", "label")).alias("big"), F.count("*").alias("k")).where("k > 1")
-    open_rows = saved(labelled.join(mixed, "bv").withColumn("minor", F.col("label") != F.col("big")), "mixed")
+    open_rows = saved(labelled.join(mixed, "bv").withColumn("minor", F.col("label") != F.col("big")), "mixed", files)
     blocks = small_blocks(open_rows.where(F.col("size") <= CHUNK))
     if not open_rows.where(F.col("size") > CHUNK).isEmpty():
-        blocks = blocks.union(large_blocks(spark, open_rows.where(F.col("size") > CHUNK)))
+        blocks = blocks.union(large_blocks(spark, open_rows.where(F.col("size") > CHUNK), files))
     more = saved(block_links(blocks.join(sets, "key"), least), "more-links")
     if more.isEmpty():
         final = labels

@@ -26,10 +26,13 @@ def ties(c: Column) -> Column:
     return F.pmod(F.xxhash64(c, F.lit("tie")), F.lit(1 << TIE_BITS))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` below the shared folder and reads it back: passes share it, and lost executors do not lose it."""
+def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes ``df`` below the shared folder and reads it back: passes share it, and lost executors do not lose it.
+
+    ``files`` is given where a bound on the rows is known and more files would be small ones.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -118,9 +121,9 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     if shards is None:
         total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or 1 << 28)))
-    rows = saved(placed(docs, shards), "shard-coordinates")
-    count = rows.count()
-    now = rows.withColumn("lo", F.lit(0)).withColumn("k", F.lit(shards))
+    root = placed(docs, shards).withColumns({"lo": F.lit(0), "k": F.lit(shards)})
+    now = saved(root, "shard-coordinates")  # written with its node, so that the joins below see a column and no constant
+    count = now.count()
     largest = shards
     while largest > 1:
         now = stepped(now, saved(cut(now), "shard-cuts"))
