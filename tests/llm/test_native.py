@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patchpulse.llm import mixing, sharding
 
@@ -60,6 +61,37 @@ def test_drawn_documents(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.draw(empty(spark)).count() == 0
 
 
+def test_a_rare_cell_does_not_shrink_the_draw(spark, caplog):
+    docs, rows = documents(spark)
+    stray = frame(spark, [(9000, prose(random.Random(5), 40), "en", "stray")])
+    many = docs.where("doc_id >= 100")
+    for _ in range(5):
+        many = many.unionByName(many.withColumn("doc_id", F.col("doc_id") * 2 + 1))
+    out = mixing.mix(many.unionByName(stray)).where("tokens > 0").cache()
+    total, drawn = out.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    assert drawn / total == pytest.approx(mixing.KEEP, rel=1e-6)
+    assert out.where("source = 'stray'").first().probability == 1.0 and "'stray'" in caplog.text
+    assert out.agg(F.max("probability")).first()[0] == 1.0
+    got = {r.lang: r.t / drawn for r in out.groupBy("lang").agg(F.sum(F.col("tokens") * F.col("probability")).alias("t")).collect()}
+    natural = {r.lang: r.t for r in out.groupBy("lang").agg(F.sum("tokens").alias("t")).collect()}
+    norm = sum(v ** mixing.TEMPERS["lang"] for v in natural.values())
+    for value, tokens in natural.items():
+        assert got[value] == pytest.approx(tokens ** mixing.TEMPERS["lang"] / norm, rel=2e-2)
+    assert mixing.draw(many.unionByName(stray)).where("length(trim(text)) > 0").count() == out.where("sampled").count()
+
+
+def test_calibration_by_bisection(spark):
+    rng = random.Random(6)
+    rows = [(f"s{i}", "en", "short", rng.randint(1, 10 ** rng.randint(1, 6)), rng.random() * 10 ** rng.randint(0, 3)) for i in range(40)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint, w double")
+    got = {r.source: r.p for r in spark.sql(mixing.filled_sql("SELECT * FROM {cells}", "(w * tokens)", "p", 0.7), cells=cells).collect()}
+    low, high, total = 0.0, 1e9, sum(r[3] for r in rows)
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(r[3] * min(1, c * r[4]) for r in rows) < 0.7 * total else (low, c)
+    assert all(got[r[0]] == pytest.approx(min(1, low * r[4]), rel=1e-6) for r in rows)
+
+
 def test_mixing_with_a_shuffled_join(spark, monkeypatch):
     docs, _ = documents(spark)
     one = sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
