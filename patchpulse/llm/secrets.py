@@ -26,11 +26,13 @@ KINDS = ("assign", "access", "hex", "dense")
 #: A run of at least this many characters with fewer characters a token than this is a random string.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CHARS_PER_TOKEN = 2.0
-#: What is known not to be secret: hashes by their length, identifiers of records, numbers, and names made of words.
+#: What is known not to be secret: hashes by their length, identifiers of records and numbers.
 DIGEST = re.compile(r"(?:md5|sha1|sha256|sha384|sha512)[-_]?[A-Za-z0-9+/=]+|[0-9a-f]+|[0-9A-F]+")
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 JOINTS = re.compile(r"[+/_=-]+")
+#: In names whose parts are all letters or all digits, parts of at least 2 letters are judged if they have 8 letters together.
+PART_LETTERS, LEAST_LETTERS = 2, 8
 
 SCHEMA = "doc_id: bigint, n_assign: bigint, n_access: bigint, n_hex: bigint, n_dense: bigint, base_sha256: string, spans: string"
 
@@ -38,7 +40,19 @@ SCHEMA = "doc_id: bigint, n_assign: bigint, n_access: bigint, n_hex: bigint, n_d
 def excluded(run: str) -> bool:
     if DIGEST.fullmatch(run) and (len(run) in DIGEST_CHARS or run[:3].lower() in ("md5", "sha")):
         return True
-    return bool(UUID.fullmatch(run)) or all(not x or x.isalpha() or x.isdigit() for x in JOINTS.split(run))
+    return bool(UUID.fullmatch(run))
+
+
+def is_dense(run: str, count, limit: float) -> bool:
+    """Whether a run has fewer than ``limit`` characters a token. Names joined from words are judged by their words, as joints are tokens too."""
+    if excluded(run):
+        return False
+    parts = [x for x in JOINTS.split(run) if x]
+    if all(x.isalpha() or x.isdigit() for x in parts):
+        words = [x for x in parts if len(x) >= PART_LETTERS and x.isalpha()]
+        letters = sum(map(len, words))
+        return letters >= LEAST_LETTERS and letters < limit * sum(map(count, words))
+    return len(run) < limit * count(run)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -62,9 +76,7 @@ def dense_spans(text: str, base: list[tuple[int, int, int]], count, limit: float
             reached = max(reached, taken[at][1])
             at += 1
         run = m.group()
-        if reached > m.start() or excluded(run):
-            continue
-        if len(run) < limit * count(run):
+        if reached <= m.start() and is_dense(run, count, limit):
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -86,8 +98,8 @@ def secret_spans(docs: DataFrame, vocabulary_path: str = VOCABULARY, chars_per_t
     Reads ``doc_id`` and ``text``; other columns are ignored. The base kinds are assignments to names such as ``password``, access
     keys and long hexadecimal runs, leftmost and non-overlapping for each kind. The kind ``dense`` adds runs of 20 and
     more key characters, outside base spans, that the tokenizer at ``vocabulary_path`` cuts into tokens of fewer than
-    ``chars_per_token`` characters on average; digests of known lengths, record identifiers, numbers and names made of words are
-    left out. The driver reads the vocabulary (a fixed file of some hundred kilobytes) and broadcasts it.
+    ``chars_per_token`` characters on average; digests of known lengths, record identifiers and numbers are left out. Where letters
+    and digits do not mix between joints (``+/_=-``), the letters alone are judged, so that names made of words do not count. The driver reads the vocabulary (a fixed file of some hundred kilobytes) and broadcasts it.
 
     Null and empty texts have no spans. Spans that start together are ordered by kind. Repeated rows give repeated
     results; an empty table gives none.

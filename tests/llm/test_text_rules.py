@@ -143,3 +143,21 @@ def test_secret_density():
     for plain in ("thisIsAnIdentifier_with_words_2023", "/usr/local/lib/python/site-packages", "123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E", "1234567890" * 3, "A-" * 5000):
         assert dense(plain) == []
     assert dense(f"token = {key}") == []  # a base span already
+
+
+def test_secret_density_of_keys_made_of_letters():
+    count = secrets.token_counter(open(secrets.VOCABULARY, "rb").read())
+    rng = random.Random(7)
+
+    def share(make):
+        keys = [make() for _ in range(500)]
+        return sum(secrets.dense_spans(f"see {k}.", [], count, secrets.CHARS_PER_TOKEN) == [(4, 3, 4 + len(k))] for k in keys) / len(keys)
+
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    assert share(lambda: "".join(rng.choices(lower, k=20))) > 0.88
+    assert share(lambda: "".join(rng.choices(upper, k=20))) > 0.97
+    assert share(lambda: "".join(rng.choices(lower + upper, k=20))) > 0.98
+    assert share(lambda: "".join(rng.choices(upper + "234567", k=20))) > 0.98
+    assert share(lambda: "-".join("".join(rng.choices(upper, k=5)) for _ in range(5))) > 0.98
+    names = ("get_value_by_name_and_id_of_it", "internationalization-of-documentation", "2023-01-15_12-30-45_0001", "electroencephalographically", "a_b_c_d_e_f_g_h_i_j_k_l")
+    assert [n for n in names if secrets.dense_spans(n, [], count, secrets.CHARS_PER_TOKEN)] == []
