@@ -14,7 +14,13 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button", "option", "object", "canvas", "math"}
+#: Raw text up to the closing tag, or to the end of the page as browsers read it.
+RAW = {"script", "style", "noscript", "textarea", "title", "iframe"}
+#: Elements without text of their own, left out up to their closing tag; those without one up to the next block boundary.
+DROPPED = {"template", "svg", "select", "datalist", "button", "optgroup", "option", "object", "canvas", "annotation", "annotation-xml"}
+ANY_DROPPED = re.compile(rf"<(?:{'|'.join(DROPPED)})[\s/>]", re.I)
+#: Blocks whose closing tag can be left out.
+OPTIONAL = {"p", "li", "dt", "dd", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 GROUPS = (
@@ -39,6 +45,39 @@ BAD_KINDS = (
 )
 
 
+def raw_end(html: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+    return end.end() if end else len(html)
+
+
+def closed(html: str) -> dict[int, int]:
+    """The end of each dropped element that has its closing tag before its parent block ends, by the end of its opening tag."""
+    out, stack, at = {}, [], 0  # open blocks and dropped elements with the end of their tags
+    if not ANY_DROPPED.search(html):
+        return out
+    held = dict.fromkeys(BLOCKS | DROPPED, 0)
+    while m := TOKEN.search(html, at):
+        at = m.end()
+        name = (m["open"] or m["odd"] or "").lower()
+        if name in RAW and not m[0].endswith("/>"):
+            at = raw_end(html, name, at)
+        elif name in held and not m[0].endswith("/>"):
+            stack.append((name, at))
+            held[name] += 1
+        elif held.get(name := (m["close"] or "").lower()):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    if name in DROPPED:
+                        out[stack[k][1]] = at
+                    for other, _ in stack[k:]:
+                        held[other] -= 1
+                    del stack[k:]
+                    break
+                if name in DROPPED and stack[k][0] not in DROPPED | OPTIONAL:
+                    break
+    return out
+
+
 class Page:
     """Nodes in page order (a parent before its children) and the runs of text between block boundaries."""
 
@@ -50,6 +89,7 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack, pieces, in_link, at = [0], [], False, 0
+        ends, muted = closed(html), False
 
         def flush():
             if pieces:
@@ -60,7 +100,7 @@ class Page:
 
         find = TOKEN.search
         while m := find(html, at):
-            if m.start() > at:
+            if m.start() > at and not muted:
                 piece = html[at : m.start()]
                 pieces.append(piece)
                 if in_link:
@@ -70,12 +110,17 @@ class Page:
             if name:
                 if name in RAW:
                     if not m[0].endswith("/>"):
-                        end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                        at = end.end() if end else len(html)
-                    self.fields[stack[-1]] += name in ("select", "button", "textarea")
+                        at = raw_end(html, name, at)
+                    self.fields[stack[-1]] += name == "textarea"
+                elif name in DROPPED:
+                    if at in ends:
+                        at = ends[at]
+                    elif not m[0].endswith("/>"):
+                        muted = True
+                    self.fields[stack[-1]] += name in ("select", "button")
                 elif name in BLOCKS:
                     flush()
-                    in_link = False
+                    in_link = muted = False
                     tags = self.tag
                     if tags[stack[-1]] == "p":  # holds no blocks
                         stack.pop()
@@ -121,12 +166,14 @@ class Page:
                     in_link = False
                 elif name in BLOCKS:
                     flush()
+                    muted = False
                     for k in range(len(stack) - 1, 0, -1):
                         if self.tag[stack[k]] == name:
                             del stack[k:]
                             in_link = False
                             break
-        pieces.append(html[at:])
+        if not muted:
+            pieces.append(html[at:])
         flush()
 
 

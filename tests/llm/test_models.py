@@ -119,6 +119,28 @@ def test_page_trees():
     assert dom.Page("<div " * 50 + "a").runs is not None and len(dom.Page("<div>" * 3000 + "x").runs) == 1
 
 
+@pytest.mark.parametrize("before, shown", [
+    ('<datalist id="d"><option value="x"></datalist>', []), ("<datalist><option>x<option>y</datalist>", []), ("<button>menu", []), ("<div><button>menu</div>", []),
+    ("<svg><path d='M0'>", []), ("<svg><style>p{}</style><text>x</text>", []), ("<select><option>x<option>y</select>", []), ("<object data='x'>no", []),
+    ("<canvas>no", []), ("<template>no", []), ("<svg><svg><text>x</text></svg><text>y</text></svg>", []), ("<button><p>x</button>", []),
+    ("<template><div><p>x</p></div></template>", []), ("<p>a <svg/> b</p>", ["a b"]), ("<p>a <option>x</p>", ["a"]), ("<p>a <button>x</button> b</p>", ["a b"]),
+])
+def test_dropped_elements_end_with_their_block(before, shown):
+    article = "<article><h1>t</h1><p>one <math><mi>x</mi><mo>=</mo><mn>1</mn></math> two</p><p>three</p></article>"
+    after = "<footer>f <button>go</button></footer>"
+    for page in (before + article + after, f"<html><body><div>{before}{article}</div>{after}"):
+        assert [t for _, t in dom.Page(page).runs] == [*shown, "t", "one x=1 two", "three", "f"]
+
+
+def test_main_text_after_an_unclosed_element(spark):
+    rng = random.Random(4)
+    model = extraction.fit([], layouts=300)
+    body = "".join(f"<p>{prose(rng, 60)}.</p>" for _ in range(5))
+    rows = [(k, "u", f"<html><body>{x}<article><h1>title words here</h1>{body}</article></body></html>") for k, x in enumerate(("", "<button>", "<svg><path>", "<option value='x'>"))]
+    got = extraction.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), model).collect()
+    assert len({r.text for r in got}) == 1 and len(got[0].text) > 1000
+
+
 def test_main_text_of_pages(spark):
     rng = random.Random(3)
     rows, expected = [], {}
