@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, risk, timeline, windows
+from ..operators import anomaly, coordinated, risk, timeline, windows
 from ..plans import backtest as bt
 from ..plans import monitor
 from ..session import save_table
@@ -269,12 +269,22 @@ def trend_alerts_by_app(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.trend_alerts(ensemble_rows(spark, sf_dir), scope=("appid",)).select("doc_id", "trigger_count")
 
 
+def with_coordinated(rows: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``rows`` with is_coordinated: whether the review of their doc_id is in a group of ten or more near copies of its app and day."""
+    texts = reviews.where("review_content IS NOT NULL").select("appid", "doc_id", "ts", "review_content")
+    flagged, _ = coordinated.detect_coordinated(texts, "doc_id", "review_content", min_size=10)
+    marks = flagged.where("is_coordinated = 1").select("doc_id").distinct().withColumn("is_coordinated", F.lit(1))
+    return rows.join(marks, "doc_id", "left").fillna(0, ["is_coordinated"])
+
+
 @query("R17", S.with_blocks(f"""
 SELECT appid, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS n_alerts, {S.s6('avg(c)')} AS alert_rate FROM (
   SELECT appid, CAST(risk_label_weak = 1 OR trigger_count >= 3 OR statistical_anomaly_score >= 2 OR ml_anomaly = 1 AS INT) AS c FROM rev_alert)
 GROUP BY appid""", "rev_alert"))
 def composite_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anomaly.composite_alert(anomaly.trend_alerts(ensemble_rows(spark, sf_dir)))
+    # The SQL has no coordinated groups: it holds where there are none, and is a lower bound elsewhere.
+    rows = with_coordinated(anomaly.trend_alerts(ensemble_rows(spark, sf_dir)), V.reviews(spark, sf_dir))
+    out = anomaly.composite_alert(rows)
     return out.groupBy("appid").agg(F.count("*").alias("n_rows"), F.sum("composite_alert").alias("n_alerts"),
                                     r6(F.avg("composite_alert")).alias("alert_rate"))
 

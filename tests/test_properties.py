@@ -166,6 +166,28 @@ def test_coordinated_equals_brute_force(spark):
     assert flagged.count() == 120
 
 
+def test_composite_alerts_of_coordinated_reviews(spark, monkeypatch):
+    from patchpulse.catalog import risk_queries
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(80)]
+    copied, few = list(rng.choice(words, 12)), list(rng.choice(words, 12))
+    rows = [(i, " ".join(copied if i < 14 else few if i < 23 else rng.choice(words, 12))) for i in range(60)]
+    for i in range(0, 14, 2):
+        rows[i] = (i, rows[i][1] + " " + str(rng.choice(words)))
+    reviews = spark.createDataFrame([("x", i, START, t) for i, t in rows] + [("y", 100, START, None)], "appid string, doc_id bigint, ts timestamp, review_content string")
+    columns = "appid string, doc_id bigint, risk_label_weak int, trend_alert int, is_statistical_anomaly int, ml_anomaly int"
+    causes = spark.createDataFrame([("x", i, int(i == 50), int(i == 51), 0, 0) for i, _ in rows] + [("y", 100, 0, 0, 0, 0)], columns)
+    monkeypatch.setattr(risk_queries, "ensemble_rows", lambda *_: causes)
+    monkeypatch.setattr(risk_queries.anomaly, "trend_alerts", lambda df: df)
+    monkeypatch.setattr(risk_queries.V, "reviews", lambda *_: reviews)
+    got = {r.appid: (r.n_rows, r.n_alerts) for r in risk_queries.composite_alerts(spark, "").collect()}
+    crowds = brute_groups([(i, t) for i, t in rows], 0.85, 10)
+    alerts = {50, 51}.union(*crowds)
+    assert alerts >= set(range(14)) and not alerts & set(range(14, 23))
+    assert got == {"x": (60, len(alerts)), "y": (1, 0)}
+
+
 def test_ingest_twice_is_ingest_once(spark):
     rows = [("730", f"r{i % 30}", f"text {i % 30}", START + dt.timedelta(minutes=i % 30)) for i in range(90)]
     df = spark.createDataFrame(rows, "appid string, review_id string, review_content string, ts timestamp")
