@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import coordinated, joins, models, windows
+from ..operators import aggregates, comments as comment_ops, coordinated, joins, models, windows
 from ..plans import evidence, monitor
 from ..session import materialise, save_table
 from . import sql as S
@@ -226,14 +226,17 @@ def feature_ablation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .impact_queries import report
 
-    from .review_queries import announcement_themes, comment_sources
+    from .review_queries import KEYS, announcement_themes, comment_sources, scored_windows
 
     full = report(spark, sf_dir)
     updates, notes = V.updates(spark, sf_dir), windows.patch_notes(V.news(spark, sf_dir))
     said = joins.comments_of_updates(V.comments(spark, sf_dir), comment_sources(spark, sf_dir))
-    quotes = said.where(F.length("content") >= 5).select("appid", "update_id", F.col("content").alias("text"), F.col("author").alias("sentiment"), "position")
+    labelled = comment_ops.label_comments(comment_ops.prefilter(said, KEYS))
+    quotes = labelled.select(*KEYS, F.col("content").alias("text"), F.col("sentiment_label").alias("sentiment"), "position")
+    spread = aggregates.distribution_summary(scored_windows(spark, sf_dir).where("window = 'post'"), KEYS)
     return evidence.evidence_pack(
-        full.summary, full.topics, evidence.patch_context(updates, notes), themes=announcement_themes(spark, sf_dir), quotes=quotes)
+        full.summary, full.topics, evidence.patch_context(updates, notes), themes=announcement_themes(spark, sf_dir),
+        quotes=aggregates.pick_quotes(quotes, KEYS, "position"), distribution=spread)
 
 
 @query("L4", S.with_blocks("""

@@ -148,6 +148,25 @@ def test_evidence_sections(spark, two_updates):
     assert len(cut) == len("Fix, 2024-01-09\n") + 800
 
 
+def test_evidence_query_folds_copied_comments(spark, monkeypatch):
+    from patchpulse.catalog import REGISTRY, model_queries, review_queries
+
+    small, views = "/root/testdata/sf0.001", model_queries.V
+    update = review_queries.comment_sources(spark, small).where("forum_topic_id IS NOT NULL").first()
+    said = [(f"c{i}", "buy  cheap coins here", i) for i in range(12)] + [("w", "This comment is awaiting analysis by our system", 20)]
+    said += [("n", "terrible crash, awful game", 21), ("p", "wonderful patch, great fun", 22), ("s", "gg", 23)]
+    rows = [(update.appid, update.forum_topic_id, c, t, "user", 0, n) for c, t, n in said]
+    copied = spark.createDataFrame(rows, "appid string, forum_topic_id string, comment_id string, content string, author string, upvotes int, position bigint")
+    real = views.comments
+    others = real(spark, small).where(F.col("forum_topic_id") != update.forum_topic_id)
+    monkeypatch.setattr(views, "comments", lambda *_: others.unionByName(copied))
+    pack = REGISTRY["evidence_pack"].run(spark, small).where((F.col("appid") == update.appid) & (F.col("update_id") == update.update_id)).first().evidence
+    assert pack.count('buy  cheap coins here"') == 1 and "awaiting analysis" not in pack and '"gg"' not in pack
+    assert '- negative: "terrible crash, awful game"' in pack and '- positive: "wonderful patch, great fun"' in pack and "- user:" not in pack
+    packs = [r.evidence for r in REGISTRY["evidence_pack"].run(spark, small).collect()]
+    assert any("reviews total." in p for p in packs) and all(("reviews total." in p) == ("# After the update" in p) for p in packs)
+
+
 def test_composite_alert_takes_coordinated_and_model_flags(spark):
     from patchpulse.operators import anomaly
 
