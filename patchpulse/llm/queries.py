@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontaminate, extraction, mixing, neardup, repetition, secrets, sharding, substrings, toxicity
+from . import collocations, compression, decontaminate, extraction, mixing, neardup, ranking, repetition, secrets, sharding, substrings, suffixes, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,27 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of near-equal bytes."""
     out = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=24)
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated strings removed from every document."""
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language by their weakest cut."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_collocations"] = collocations.oracle()
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_ranked_search"] = ranking.oracle()
