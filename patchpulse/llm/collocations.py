@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +156,8 @@ class Counting:
     def __init__(self, partitions: int, words: int):
         self.partitions, self.words, self.packer = partitions, words, Packer()
         self.ids, self.tries, self.entries = Numbers(), {}, 0
+        self.sorted: list[bytes] = []
+        self.hash_of: list[int] = []
         self.waiting: dict[str, list] = {}
         self.size = 0
 
@@ -177,7 +180,7 @@ class Counting:
         """Starts the numbering anew; returns the words of ``ids``."""
         back = list(self.ids)
         names = [back[i - 1] for i in ids]
-        self.ids = Numbers()
+        self.ids, self.sorted, self.hash_of = Numbers(), [], []
         return names
 
     def count(self) -> Iterator[dict]:
@@ -202,6 +205,19 @@ class Counting:
                 yield from self.spill(HELD // 2)
         self.waiting, self.size = {}, 0
 
+    def ordered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words in order, the place of each id in that order (from 1), and a hash of each place. What was sorted before is merged with the new words."""
+        new = list(islice(self.ids, len(self.sorted), None))
+        for w in new:
+            self.hash_of.append((zlib.crc32(w) << 32) | zlib.adler32(w))
+        self.sorted = sorted(self.sorted + new)
+        at = np.fromiter(map(self.ids.__getitem__, self.sorted), np.int64, len(self.sorted))
+        rank = np.zeros(len(at) + 1, np.int64)
+        rank[at] = np.arange(1, len(at) + 1)
+        hashed = np.zeros(len(at) + 1, np.uint64)
+        hashed[1:] = mix64(np.array(self.hash_of, np.uint64)[at - 1])
+        return self.sorted, rank, hashed
+
     def spill(self, keep: int) -> Iterator[dict]:
         """Hands on whole subtrees, the largest first, until at most ``keep`` entries are left."""
         leaves = sorted(((len(leaf), lang, i) for lang, t in self.tries.items() for i, leaf in enumerate(t.leaves) if leaf), reverse=True)
@@ -213,19 +229,15 @@ class Counting:
             self.entries -= size
         if not chosen:
             return
-        words = list(self.ids)
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.zeros(len(words) + 1, np.int64)
-        rank[np.array(order) + 1] = np.arange(1, len(words) + 1)
-        words = [words[i] for i in order]
-        hashed = np.zeros(len(words) + 1, np.uint64)
-        hashed[1:] = mix64(np.fromiter(((zlib.crc32(w) << 32) | zlib.adler32(w) for w in words), np.uint64, len(words)))
+        words, rank, hashed = self.ordered()
         for lang, wanted in chosen.items():
             keys, counts = self.tries[lang].take(wanted)
             a, b, c = (rank[i] for i in split_ids(keys))
+            order = np.argsort((a << (2 * ID_BITS)) | (b << ID_BITS) | c)
+            a, b, c, counts = a[order], b[order], c[order], counts[order]
             salt = np.uint64(zlib.crc32(lang.encode("utf-8", "surrogatepass")))
             part = (mix64(hashed[a] * np.uint64(3) + hashed[b] + salt) % np.uint64(self.partitions)).astype(np.int64)
-            order = np.lexsort((c, b, a, part))
+            order = np.argsort(part.astype(np.uint16) if self.partitions <= 1 << 16 else part, kind="stable")
             a, b, c, part, counts = a[order], b[order], c[order], part[order], counts[order]
             out = {"lang": [], "part": [], "run": []}
             for at in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):

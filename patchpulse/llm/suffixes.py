@@ -21,11 +21,12 @@ PLACE_BITS = 21
 SHARD_BYTES = (1 << PLACE_BITS) - 1
 #: Zero bytes between the parts of a shard.
 GAP = 8
-#: Bytes of text whose keys meet in one bucket; the number of buckets grows with the input.
-BUCKET_BYTES = 8_000_000
+#: Bytes of text whose strings meet in one bucket (their anchors, which are few, meet three times as many); the number of buckets grows with the input.
+BUCKET_BYTES = 16_000_000
 BLOCK_KEYS = 400_000
 PIECE_BYTES = 1 << 20
-KEY = 32
+#: Bytes of the SHA-256 of a text by which it is known.
+KEY = 16
 OF_BYTE_2 = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 OPEN, CLOSED, KNOWN = 0, 1, 2
 
@@ -169,6 +170,7 @@ def pieces(size: int):
         yield at, min(size, at + PIECE_BYTES + LENGTH - 1)
 
 
+NARROW, WIDE = np.dtype("<u2"), np.dtype("<u4")
 ROWS = "bucket: int, kind: int, docs: binary, counts: binary, keys: binary, places: binary"
 
 
@@ -178,7 +180,7 @@ def cut(kind: int, bucket: np.ndarray, owner: np.ndarray, names: np.ndarray, key
     for part in np.split(np.arange(len(bucket)), edges):
         if len(part):
             used, number = np.unique(owner[part], return_inverse=True)
-            yield int(bucket[part[0]]), kind, names[used].tobytes(), number.astype(np.uint32).tobytes(), key_bytes(part), places(part)
+            yield int(bucket[part[0]]), kind, names[used].tobytes(), number.astype(NARROW if len(used) < 1 << 16 else WIDE).tobytes(), key_bytes(part), places(part)
 
 
 def columns(rows) -> dict:
@@ -274,7 +276,8 @@ def entries(table: pa.Table, kinds: tuple):
     """Runs of a bucket: kind, text of each key, keys and places as bytes."""
     for kind, d, c, k, p in zip(*(table.column(n).to_pylist() for n in ("kind", "docs", "counts", "keys", "places"))):
         if kind in kinds:
-            yield kind, np.frombuffer(d, f"S{KEY}")[np.frombuffer(c, np.uint32)], k, p
+            names = np.frombuffer(d, f"S{KEY}")
+            yield kind, names[np.frombuffer(c, NARROW if len(names) < 1 << 16 else WIDE)], k, p
 
 
 def shared_anchors(rows: DataFrame, homes: int) -> DataFrame:
@@ -315,15 +318,16 @@ def by_text(found: DataFrame, sizes: dict[int, tuple[str, int]]) -> DataFrame:
     return found.groupBy("home").applyInArrow(merge, "key binary, " + ", ".join(f"{n} binary" for n, _ in sizes.values()))
 
 
-def candidates(raw: np.ndarray, shared: np.ndarray) -> list[tuple[int, int]]:
-    """Parts of a text whose strings of LENGTH bytes all have a shared anchor; every repeated string lies in one of them."""
+def candidates(raw: np.ndarray, shared: np.ndarray) -> list[tuple[int, int, int]]:
+    """Parts of a text whose strings of LENGTH bytes all have a shared anchor, with the least of these; every repeated string lies in one of them."""
     _, least = grams(raw)
     if not len(least):
         return []
     turn = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     free = np.repeat(np.isin(low48(least[turn]), shared), np.diff(np.append(turn, len(least))))
     edges = np.diff(np.concatenate(([0], free.view(np.int8), [0])))
-    return list(zip(np.flatnonzero(edges == 1).tolist(), (np.flatnonzero(edges == -1) + LENGTH - 1).tolist()))
+    starts, ends = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
+    return [(a, b + LENGTH - 1, int(least[a:b].min() >> np.uint64(1))) for a, b in zip(starts, ends)]
 
 
 class Shard:
@@ -401,27 +405,47 @@ class Shard:
         return mix64((sums[at + LENGTH] - sums[at]) * down[at])
 
 
-def string_rows(joined: DataFrame, buckets: int) -> DataFrame:
-    """Suffix arrays of shards of candidate parts: one key for each distinct string of a shard, and the strings known to repeat."""
+PARTS = "key: binary, many: boolean, at: bigint, cluster: bigint, body: binary"
 
-    def start():
-        shard = Shard(buckets)
 
+def candidate_parts(joined: DataFrame) -> DataFrame:
+    """Candidate parts of all texts, each with its least anchor: copies of a passage have the same."""
+
+    def start():
         def work(batch):
+            out = {n: [] for n in ("key", "many", "at", "cluster", "body")}
             for key, raw, many, shared in zip(batch.column(0).to_pylist(), binary(batch, "text"), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 shared = unpack(shared, 6)
                 data = np.frombuffer(raw, np.uint8)
                 for a, b in pieces(len(data)):
-                    for lo, hi in candidates(data[a:b], shared):
-                        if shard.size and shard.size + hi - lo + GAP > SHARD_BYTES:
-                            yield columns(shard.rows())
-                        shard.add(key, many, data[a + lo : a + hi], a + lo)
+                    for lo, hi, least in candidates(data[a:b], shared):
+                        for n, v in zip(out, (key, many, a + lo, least, raw[a + lo : a + hi])):
+                            out[n].append(v)
+            yield out
+
+        return work
+
+    return scan(joined, ["key", "text", "many", "shared"], PARTS, start)
+
+
+def string_rows(parts: DataFrame, buckets: int) -> DataFrame:
+    """Suffix arrays of shards of candidate parts: one key for each distinct string of a shard, and the strings known to repeat."""
+
+    def start():
+        shard = Shard(buckets)
+
+        def work(batch):
+            for key, many, at, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                data = np.frombuffer(raw.as_py(), np.uint8)
+                if shard.size and shard.size + len(data) + GAP > SHARD_BYTES:
+                    yield columns(shard.rows())
+                shard.add(key, many, data, at)
             if shard.size:
                 yield columns(shard.rows())
 
         return work
 
-    return scan(joined, ["key", "text", "many", "shared"], ROWS, start)
+    return scan(parts, ["key", "many", "at", "body"], ROWS, start)
 
 
 def repeated_strings(rows: DataFrame, homes: int) -> DataFrame:
@@ -473,7 +497,7 @@ def remove_repeated_bytes(docs: DataFrame, with_text: bool = False, bucket_bytes
 
     Reads ``doc_id`` and ``text`` (as UTF-8); other columns are ignored. Equal texts are folded. The anchor of a string (its gram of 320
     bytes with the least hash) tells whether it can repeat at all: only if that gram stands somewhere else too.
-    These parts are packed into shards. Each shard has a suffix array (Larsson-Sadakane refinement) and the common prefixes of neighbours
+    These parts are packed into shards, parts with the same least anchor side by side where their number allows it (Spark splits the hot ones). Each shard has a suffix array (Larsson-Sadakane refinement) and the common prefixes of neighbours
     (Kasai); neighbours with 400 bytes in common are the repeats inside the shard. One key of 96 bits for each distinct string of a shard travels in
     sorted runs, cut by hash bucket, and the runs of all shards are merged by binary search; strings of two shards are the other repeats.
     Strings are judged on the input. ``with_text`` adds the bytes that are left.
@@ -483,19 +507,22 @@ def remove_repeated_bytes(docs: DataFrame, with_text: bool = False, bucket_bytes
     Null and empty texts have no bytes and keep them. Documents with a null id, and rows of one id, are documents of their own: repeated
     rows remove each other's text. There are no ties. An empty table gives none.
     """
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("key"))
-    long = docs.where(F.octet_length("text") >= LENGTH).select("text", F.unhex(F.sha2("text", 256)).alias("key"))
+    text, short = F.coalesce("text", F.lit("")), lambda sha: F.unhex(F.substring(sha, 1, 2 * KEY))
+    base = docs.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    base = base.withColumn("key", short(F.col("sha")))
+    # the filter stands in every branch after its join, so it stands here too: the branches then share one shuffle
+    long = docs.where(F.octet_length("text") >= LENGTH).select("text", short(F.sha2("text", 256)).alias("key")).where("key is not null")
     texts = long.groupBy("key").agg(F.min("text").alias("text"), (F.count("*") > 1).alias("many"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    shared = by_text(shared_anchors(anchor_rows(texts, buckets), buckets), {KNOWN: ("shared", 6)})
-    marks = by_text(repeated_strings(string_rows(texts.join(shared, "key"), buckets), buckets), {KNOWN: ("spans", 8), OPEN: ("places", 4)})
+    buckets, few = 1 + total // bucket_bytes, 1 + total // (3 * bucket_bytes)
+    shared = by_text(shared_anchors(anchor_rows(texts, few), few), {KNOWN: ("shared", 6)})
+    parts = candidate_parts(texts.join(shared, "key")).hint("rebalance", "cluster").sortWithinPartitions("cluster")
+    marks = by_text(repeated_strings(string_rows(parts, buckets), buckets), {KNOWN: ("spans", 8), OPEN: ("places", 4)})
 
     def start():
         def work(batch):
             out = {n: [] for n in ("key", "n_removed", "n_spans", "kept_sha256", *(["kept"] * with_text))}
-            for key, raw, spans, places in zip(batch.column(0).to_pylist(), binary(batch, "text"), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for key, raw, spans, places in zip(batch.column(0).to_pylist(), binary(batch, "text"), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 left, removed, runs = without(raw, spans, places)
                 for n, v in zip(out, (key, removed, runs, hashlib.sha256(left).hexdigest(), left)):
                     out[n].append(v)
@@ -503,16 +530,17 @@ def remove_repeated_bytes(docs: DataFrame, with_text: bool = False, bucket_bytes
 
         return work
 
-    cut_texts = scan(texts.join(marks, "key"), ["key", "text", "spans", "places"], RESULT + ", kept: binary" * with_text, start)
+    # all columns of the texts are read, as pruning one would part this branch from the shuffle of the others
+    cut_texts = scan(texts.join(marks, "key"), ["key", "text", "many", "spans", "places"], RESULT + ", kept: binary" * with_text, start)
     out = base.join(cut_texts, "key", "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"),
-        F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         *(["kept", "key"] * with_text),
     )
     if with_text:
-        whole = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.cast("binary").alias("whole")).groupBy("key").agg(F.min("whole").alias("whole"))
+        whole = docs.select(short(F.sha2(text, 256)).alias("key"), text.cast("binary").alias("whole")).groupBy("key").agg(F.min("whole").alias("whole"))
         out = out.join(whole, "key").withColumn("kept", F.coalesce("kept", "whole")).drop("key", "whole")
     return out
