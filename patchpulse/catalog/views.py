@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with long texts."""
-    return table(spark, sf_dir, name)
+    """A table with long texts, for every core to score its share."""
+    return spread(table(spark, sf_dir, name), *{"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}[name])
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

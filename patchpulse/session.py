@@ -76,6 +76,13 @@ def save_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over the cores where its scan has fewer splits than cores: a file of one row group is one task, whatever
+    is computed from its rows. A scan with enough splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` provably has at most ``max_rows`` rows (reads no more than it must to know)."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
