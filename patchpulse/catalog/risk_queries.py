@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, coordinated, risk, timeline, windows
+from ..operators import anomaly, changes, coordinated, risk, timeline, windows
 from ..plans import backtest as bt
 from ..plans import monitor
 from ..session import save_table
@@ -335,6 +335,12 @@ def detected_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("appid", iso("hour").alias("hour"), "n_reviews", "n_keyword")
 
 
+@query("R15")
+def detected_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = changes.detect_changes(V.news(spark, sf_dir), ts="published_at")
+    return out.select("appid", iso("hour").alias("hour"), "kind", "n_rows", r6("rate_before").alias("rate_before"), r6("rate_after").alias("rate_after"))
+
+
 IN_48H = "ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-10 00:00:00'"
 
 
@@ -379,6 +385,13 @@ def elliptic_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", r6("ml_anomaly_score").alias("ml_anomaly_score"), "ml_anomaly")
 
 
+@query("A2")
+def robust_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = timeline.add_hourly_count(V.scored_events(spark, sf_dir))
+    out = anomaly.detect_robust(ev, ML_FEATURES)
+    return out.select("event_id", r6("ml_anomaly_score").alias("ml_anomaly_score"), "ml_anomaly")
+
+
 @query("A2")
 def isolation_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = timeline.add_hourly_count(V.scored_events(spark, sf_dir))

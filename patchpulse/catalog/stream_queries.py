@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.sentiment import label
 from ..operators.quantiles import exact_quantiles
-from ..session import fresh_path
-from ..streaming import jobs
+from ..session import fresh_path, save_table
+from ..streaming import jobs, trends
 from . import sql as S
 from . import views as V
 from .registry import iso, query, r6
 
 
-BATCHES = 4
+BATCHES, FILES = 4, 4
 
 
 def _landed(df: DataFrame, name: str, late: DataFrame | None = None) -> DataFrame:
-    """The rows as a stream of files read one at a time, in order of time; ``late`` rows arrive in a last file of their own."""
+    """The rows as a stream, a quarter of the time (of FILES files) a trigger; ``late`` rows arrive in a last trigger of their own."""
+    df = save_table(df, f"{name}-rows")
     path = fresh_path(df.sparkSession, name)
     cuts = exact_quantiles(df.withColumn("_us", F.unix_micros("ts")), "_us", tuple(i / BATCHES for i in range(1, BATCHES)))
     bounds = list(cuts.first())  # one row
@@ -27,10 +28,10 @@ def _landed(df: DataFrame, name: str, late: DataFrame | None = None) -> DataFram
         part = df
         part = part.where(at > bounds[i - 1]) if i else part
         part = part.where(at <= bounds[i]) if i < BATCHES - 1 else part
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(FILES).write.mode("append").parquet(path)
     if late is not None:
-        late.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
-    return jobs.read_stream(df.sparkSession, path, df.schema, files_per_batch=1)
+        late.select(*df.columns).repartition(FILES).write.mode("append").parquet(path)
+    return jobs.read_stream(df.sparkSession, path, df.schema, files_per_batch=FILES)
 
 
 def _late(events: DataFrame) -> DataFrame:
@@ -100,3 +101,27 @@ def stream_volume_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     baseline = rows.groupBy("appid").agg((F.count("*") / 720.0).alias("baseline_per_hour"))
     out = jobs.run_to_parquet(jobs.volume_alerts(_landed(rows, "events", _late(rows)), baseline), "volume")
     return out.select("appid", iso("hour").alias("hour"), "n_rows")
+
+
+@query("T-3, T-4, W1, W3, G14", S.with_blocks(f"""
+SELECT * FROM (WITH h AS (
+  SELECT appid, date_trunc('hour', ts) AS hour, count(*) AS n, sum(score) AS total, count(*) FILTER (score < 0) AS negative
+  FROM events_v GROUP BY ALL),
+k AS (SELECT *, CAST(epoch(hour) AS BIGINT) // 3600 AS at, CAST(epoch(hour) - epoch(min(hour) OVER (PARTITION BY appid)) AS BIGINT) // 604800 AS weeks FROM h),
+rolled AS (
+  SELECT a.appid, a.at, CAST(sum(b.n) AS BIGINT) AS n, sum(b.total) / sum(b.n) AS mean, sum(b.negative) / sum(b.n) AS negative
+  FROM k a JOIN k b ON b.appid = a.appid AND b.at BETWEEN a.at - 23 AND a.at GROUP BY ALL),
+past AS (
+  SELECT a.appid, a.at, sum(b.n * pow(0.5::DOUBLE, (a.at - b.at) // 168)) AS s
+  FROM k a JOIN k b ON b.appid = a.appid AND b.at < a.at AND b.at % 168 = a.at % 168 GROUP BY ALL),
+judged AS (
+  SELECT k.*, r.n AS rn, r.mean, r.negative AS rneg,
+         CASE WHEN weeks > 0 THEN coalesce(s, 0) / (1 - pow(0.5::DOUBLE, weeks)) END AS b
+  FROM k JOIN rolled r ON r.appid = k.appid AND r.at = k.at LEFT JOIN past p ON p.appid = k.appid AND p.at = k.at)
+SELECT appid, {S.iso('hour')} AS hour, n AS n_rows, rn AS n_rolling, {S.s6('mean')} AS mean_rolling, {S.s6('rneg')} AS negative_rolling,
+       {S.s6('b')} AS baseline, coalesce(n > 3 * b, false) AS is_volume_alert
+FROM judged WHERE hour + INTERVAL 1 HOUR <= {_FINAL})""", "events_v"))
+def stream_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.scored_events(spark, sf_dir).select("appid", "ts", "score")
+    out = jobs.run_to_parquet(trends.hourly_trends(_landed(rows, "events", _late(rows))), "trends")
+    return out.withColumns({"hour": iso("hour"), **{c: r6(c) for c in ("mean_rolling", "negative_rolling", "baseline")}})

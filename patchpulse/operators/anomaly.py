@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.features import flag
-from ..session import save_table
+from ..session import materialise, save_table
+from . import robust
 from .quantiles import exact_quantiles
 
 
@@ -109,6 +110,15 @@ def detect_elliptic(df: DataFrame, features: list[str], contamination: float = 0
     return _flag_top(z.withColumn("ml_anomaly_score", distance).drop(*names), contamination)
 
 
+def detect_robust(df: DataFrame, features: list[str], contamination: float = 0.05, share: float = 0.75) -> DataFrame:
+    """As ``detect_elliptic``, from the centre and covariance of the most concentrated ``share`` of the rows, which outliers do not move."""
+    z, names = _standardised(df, features)
+    z = materialise(z)
+    scatter = robust.minimum_covariance(z, names, share)
+    distance = robust.squared_distance(names, scatter)
+    return _flag_top(z.withColumn("ml_anomaly_score", distance).drop(*names), contamination)
+
+
 TREE = "tree int, node int, feature int, cut double, leaf_size int, depth int"
 
 
