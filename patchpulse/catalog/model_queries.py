@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import aggregates, comments as comment_ops, coordinated, joins, models, windows
 from ..plans import evidence, monitor
-from ..session import materialise, save_table
+from ..session import fresh_path, materialise, save_table
+from ..sources import sinks
 from . import sql as S
 from . import views as V
 from .registry import iso, query, r6
@@ -257,3 +258,30 @@ def fallback_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .impact_queries import report
 
     return evidence.fallback_narrative(report(spark, sf_dir).summary)
+
+
+@query("L5", S.with_blocks("""
+SELECT appid, update_id, string_agg(p || ' ' || rule || ' (' || lower(severity) || ')', '; ' ORDER BY p, rule) AS items FROM (
+  SELECT *, CASE WHEN severity_rank >= 3 THEN 'P1' WHEN severity_rank = 2 THEN 'P2' ELSE 'P3' END AS p FROM signals) GROUP BY ALL""", "signals"))
+def action_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .impact_queries import report
+
+    items = report(spark, sf_dir).signals.selectExpr(
+        "appid", "update_id", "CASE WHEN severity_rank >= 3 THEN 'P1' WHEN severity_rank = 2 THEN 'P2' ELSE 'P3' END AS priority",
+        "rule AS issue", "concat('look into ', rule) AS action", "lower(severity) AS expected_impact")
+    out = evidence.group_actions(items)
+    return out.selectExpr("appid", "update_id", "array_join(transform(items, i -> concat(i.priority, ' ', i.issue, ' (', i.expected_impact, ')')), '; ') AS items")
+
+
+@query("M7, S16", S.with_blocks(f"""
+SELECT count(*) AS k, {S.s6('avg(ok)')} AS precision_at_k FROM (
+  SELECT CAST(coalesce(max(toxic), 0) = 1 AS INT) AS ok FROM reviews_v WHERE review_content IS NOT NULL
+  GROUP BY review_content HAVING count(*) > 1 ORDER BY count(*) DESC, md5(review_content) LIMIT 10)""", "reviews_v"))
+def copied_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "groups")
+    texts = V.reviews(spark, sf_dir).where("review_content IS NOT NULL").select(F.md5("review_content").alias("group_id"), "toxic")
+    groups = texts.groupBy("group_id").agg(F.count("*").alias("size"), F.max("toxic").alias("toxic")).where("size > 1")
+    sinks.write_groups(groups, path)
+    stored = spark.read.schema("group_id string, size bigint, toxic int").json(path)
+    out = models.precision_at_k(stored.select("group_id", "size"), stored.where("toxic = 1"), 10)
+    return out.select("k", r6("precision_at_k").alias("precision_at_k"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, changes, coordinated, risk, timeline, windows
 from ..plans import backtest as bt
 from ..plans import monitor
-from ..session import save_table
+from ..session import fresh_path, save_table
+from ..sources import sinks
 from . import sql as S
 from . import views as V
-from .registry import iso, query, r6
+from .registry import REGISTRY, iso, query, r6
 from .review_queries import KEYS, scored_reviews
 
 LABELS = ("positive", "neutral", "negative")
@@ -320,6 +321,18 @@ def crisis_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEYS, "rule", "severity", r6("value").alias("value"), r6("threshold").alias("threshold"))
 
 
+@query("S16", f"""SELECT printf('- **%s** %s / %s: %s = %.4f (threshold %.4f)', severity, appid, update_id, rule,
+       CAST(value AS DOUBLE), CAST(threshold AS DOUBLE)) AS line FROM ({REGISTRY["crisis_alerts"].sql})""")
+def alert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "alerts")
+    sinks.write_alerts(crisis_alerts(spark, sf_dir), path)
+    stored = spark.read.json(f"{path}/json").select("appid", "update_id", "rule").distinct()  # both files hold the same alerts
+    lines = spark.read.text(f"{path}/markdown").select(F.col("value").alias("line"))
+    key = F.regexp_extract("line", r"^- \*\*\w+\*\* (\S+) / (\S+): (\w+) ", 3)
+    named = lines.select("line", F.regexp_extract("line", r" (\S+) / ", 1).alias("appid"), F.regexp_extract("line", r" / ([^:]+):", 1).alias("update_id"), key.alias("rule"))
+    return named.join(stored, ["appid", "update_id", "rule"]).select("line")
+
+
 S.block("hours", f"""
 SELECT appid, date_trunc('hour', published_at) AS h, count(*) AS n,
        CAST(sum(coalesce(CAST({S.kw('title', ('update', 'patch'))} AS INT), 0)) AS BIGINT) AS k
