@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +113,8 @@ class Trie:
     def take(self, wanted: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The entries of some subtrees, which are then empty, in no order."""
         n = sum(len(self.leaves[i]) for i in wanted)
-        keys = np.fromiter((k for i in wanted for k in self.leaves[i]), np.uint64, n)
-        counts = np.fromiter((c for i in wanted for c in self.leaves[i].values()), np.int64, n)
+        keys = np.fromiter(chain.from_iterable(self.leaves[i] for i in wanted), np.uint64, n)
+        counts = np.fromiter(chain.from_iterable(self.leaves[i].values() for i in wanted), np.int64, n)
         for i in wanted:
             self.leaves[i] = {}
         return keys, counts

@@ -45,6 +45,30 @@ BAD_KINDS = (
 )
 
 
+#: Words before a part of a name that only say what a block comes with, not what it is: with-sidebar, has-related, learn-more.
+QUALIFIERS = {"with", "without", "has", "no", "not", "is", "can", "learn", "read", "show", "hide"}
+#: Words against content that say little beside a word for it in the same name: message-body, article-header.
+WEAK = {"message", "more", "side", "reader", "header", "alert", "warning", "bottom"}
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+
+
+def name_words(value: str) -> list[str]:
+    """Words of the names in a class, id or role: a qualified name says nothing, a weak word yields to a word for content."""
+    out = []
+    for name in value.split():
+        parts = [w.lower() for w in PART.findall(name)]
+        if len(parts) > 1 and parts[0] in QUALIFIERS:
+            continue
+        good = any(w in GOOD for w in parts)
+        out += [w for w in parts if not (good and w in WEAK)]
+    return out
+
+
+def last_tag(html: str) -> int:
+    """Where the last tag can end: what follows is text, however many tags it seems to open."""
+    return html.rfind(">") + 1
+
+
 def raw_end(html: str, name: str, at: int) -> int:
     end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
     return end.end() if end else len(html)
@@ -55,8 +79,8 @@ def closed(html: str) -> dict[int, int]:
     out, stack, at = {}, [], 0  # open blocks and dropped elements with the end of their tags
     if not ANY_DROPPED.search(html):
         return out
-    held = dict.fromkeys(BLOCKS | DROPPED, 0)
-    while m := TOKEN.search(html, at):
+    held, limit = dict.fromkeys(BLOCKS | DROPPED, 0), last_tag(html)
+    while m := TOKEN.search(html, at, limit):
         at = m.end()
         name = (m["open"] or m["odd"] or "").lower()
         if name in RAW and not m[0].endswith("/>"):
@@ -98,8 +122,8 @@ class Page:
                 if text:
                     self.runs.append((stack[-1], text))
 
-        find = TOKEN.search
-        while m := find(html, at):
+        find, limit = TOKEN.search, last_tag(html)
+        while m := find(html, at, limit):
             if m.start() > at and not muted:
                 piece = html[at : m.start()]
                 pieces.append(piece)
@@ -138,10 +162,10 @@ class Page:
                     for k, *v in ATTRIBUTE.findall(m["attrs"] or m["rest"] or ""):
                         k = k.lower()
                         if k in ("class", "id", "role"):
-                            words += [w.lower() for w in PART.findall("".join(v))]
+                            words += name_words("".join(v))
                         elif k == "data-keep":
                             mark = "".join(v)
-                        elif k == "hidden" or k == "style" and "none" in "".join(v):
+                        elif k == "hidden" or k == "style" and HIDDEN.search("".join(v)):
                             words.append("modal")
                     self.parent.append(stack[-1])
                     tags.append(name)
@@ -173,7 +197,7 @@ class Page:
                             in_link = False
                             break
         if not muted:
-            pieces.append(html[at:])
+            pieces.append(html[at:].partition("<!--")[0])
         flush()
 
 

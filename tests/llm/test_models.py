@@ -171,3 +171,38 @@ def test_layouts_not_seen_in_training():
             all_chars += len(text)
             right += len(text) * (kept[node] == float(page.marks[node] or 1))
     assert right / all_chars > 0.97
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="article-page with-sidebar">%s</div>', '<article class="post has-related">%s</article>', '<main class="learn-more">%s</main>',
+    '<div class="message-body">%s</div>', '<div class="no-sidebar"><article class="article-header-large">%s</article></div>', '<div class="content" style="list-style:none; border:none">%s</div>',
+])
+def test_everyday_names_do_not_lose_articles(around):
+    rng = random.Random(12)
+    paragraphs = [prose(rng, 60) + "." for _ in range(6)]
+    style = ' style="text-decoration:none"' if "style" in around else ""
+    page = '<html><body><nav class="menu"><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav>' + around % "".join(f"<p{style}>{p}</p>" for p in paragraphs)
+    page += '<div class="sidebar" style="display: none"><p>' + prose(rng, 30) + "</p></div><footer>" + prose(rng, 6) + "</footer></body></html>"
+    got = everyday_model()(page)
+    assert got == "\n".join(paragraphs)
+
+
+MODEL = []
+
+
+def everyday_model():
+    """The model that the made-up layouts alone give, on one page at a time."""
+    if not MODEL:
+        MODEL.append(extraction.fit([]))
+    return lambda page: extraction.texts(MODEL[0], [page])[0][0]
+
+
+@pytest.mark.parametrize("page", ["<a b='" * 170_000, "<a " * 330_000, "<p>kept</p>" + "<b x=\"" * 140_000, "<p>kept</p><!-- " + "<a b='" * 170_000])
+def test_unclosed_tags_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    runs = dom.Page(page).runs
+    assert time.process_time() - began < 2
+    assert page[:3] != "<p>" or runs[0][1] == "kept"
+    assert "<!--" not in page or len(runs) == 1
