@@ -15,7 +15,7 @@ from .compression import logistic
 ROWS_PER_CLASS, MAX_CHARS = 3000, 60_000
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 #: Words averaged together. A text scores as its most toxic passage, so a few words count in a long text as well.
-PASSAGE, STEP = 4, 2
+PASSAGE, STEP = 4, 1
 #: Passes over the sample: the first ones take longer passages, of which a toxic text's random few are taken as toxic.
 EPOCHS, LONG_PASSES, LONG_PASSAGE, BATCH_WORDS, RATE, SEED = 12, 4, 48, 16_384, 0.5, 7
 THRESHOLD = 0.3
