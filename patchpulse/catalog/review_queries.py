@@ -384,7 +384,7 @@ SELECT b.appid, b."window", n_total, n_recommended, n_short, {S.s6('m')} AS mean
 FROM (SELECT appid, "window", count(*) AS n_total, count(*) FILTER (voted_up) AS n_recommended,
              count(*) FILTER (length(review_content) < 10) AS n_short, avg(compound) AS m,
              median(compound) AS md, stddev_samp(compound) AS sd FROM scored GROUP BY ALL) b
-LEFT JOIN (SELECT appid, "window", string_agg('"' || st || '" (' || n || 'x)', ', ' ORDER BY k) AS top_short FROM (
+LEFT JOIN (SELECT appid, "window", string_agg(n || ' x "' || st || '"', ', ' ORDER BY k) AS top_short FROM (
     SELECT *, row_number() OVER (PARTITION BY appid, "window" ORDER BY n DESC, st) AS k FROM (
       SELECT appid, "window", {S.strip('review_content')} AS st, count(*) AS n FROM scored
       WHERE length(review_content) < 10 GROUP BY ALL)) WHERE k <= 8 GROUP BY ALL) t

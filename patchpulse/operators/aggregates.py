@@ -101,24 +101,13 @@ def distribution_summary(df: DataFrame, keys: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "short_text", "n"))).alias("top_short")
     )
     joined = base.join(median, keys, "left").join(top, keys, "left")
-    shown = F.concat_ws(", ", F.transform("top_short", lambda s: F.format_string('"%s" (%dx)', s["short_text"], s["n"])))
-    n, rec = F.col("n_total"), F.col("n_recommended")
-    lines = F.concat_ws(
-        "\n",
-        F.format_string("%d reviews total.", n),
-        F.format_string(
-            "Recommended: %d (%s). Not recommended: %d (%s).",
-            rec, text.percent(rec / n), n - rec, text.percent((n - rec) / n),
-        ),
-        F.when(
-            F.col("n_short") > 0,
-            F.format_string("%d reviews under 10 chars. Most common: %s", F.col("n_short"), shown),
-        ),
-        F.format_string(
-            "Compound: mean=%+.3f, median=%+.3f, std=%.3f",
-            F.col("mean_compound"), F.col("median_compound"), F.coalesce("std_compound", F.lit(float("nan"))),
-        ),
-    )
+    shown = F.concat_ws(", ", F.transform("top_short", lambda s: F.format_string('%d x "%s"', s["n"], s["short_text"])))
+    n, yes = F.col("n_total"), F.col("n_recommended")
+    votes = F.format_string("Of %d reviews, %s (%d) recommend the product and %s (%d) advise against it.", n, text.percent(yes / n), yes, text.percent((n - yes) / n), n - yes)
+    brief = F.when(F.col("n_short") > 0, F.format_string("Shorter than ten characters: %d, above all %s.", "n_short", shown))
+    scores = F.format_string("Sentiment is %+.3f on average, %+.3f in the middle, and deviates by %.3f.",
+                             "mean_compound", "median_compound", F.coalesce("std_compound", F.lit(float("nan"))))
+    lines = F.concat_ws("\n", votes, brief, scores)
     return joined.withColumn("summary", lines).withColumn("top_short", shown)
 
 

@@ -152,7 +152,7 @@ def test_distribution_summary(spark):
     rows = [("L", False), ("L", True), ("L", False), ("W", True), ("a much longer text about the game", False)]
     df = spark.createDataFrame(rows, "review_content string, voted_up boolean").withColumns({"g": F.lit(1), "compound": F.lit(0.5)})
     s = aggregates.distribution_summary(df, ["g"]).first().summary
-    assert "5 reviews total." in s and "Recommended: 2 (40%)" in s and '"L" (3x), "W" (1x)' in s
+    assert "Of 5 reviews, 40% (2) recommend" in s and "60% (3) advise" in s and '3 x "L", 1 x "W"' in s
 
 
 def test_prefilter(spark):

@@ -137,11 +137,11 @@ def test_evidence_sections(spark, two_updates):
     report = impact.impact_report(reviews, updates, comments, events, notes)
     themes = spark.createDataFrame([("7", "u1", f"theme{i}", i) for i in range(9)], "appid string, update_id string, label string, count int")
     quotes = spark.createDataFrame([("7", "u1", f"quote {i}", "negative", i) for i in range(12)], "appid string, update_id string, text string, sentiment string, position int")
-    spread = spark.createDataFrame([("7", "u1", "1 reviews total.")], "appid string, update_id string, summary string")
+    spread = spark.createDataFrame([("7", "u1", "Of 1 reviews, all recommend.")], "appid string, update_id string, summary string")
     context = evidence.patch_context(updates, notes)
     got = {r.update_id: r.evidence for r in evidence.evidence_pack(report.summary, report.topics, context, None, themes, quotes, spread).collect()}
     first = got["u1"]
-    assert "Fix, 2024-01-09" in first and "x" * 1000 in first and "1 reviews total." in first
+    assert "Fix, 2024-01-09" in first and "x" * 1000 in first and "Of 1 reviews, all recommend." in first
     assert first.count("- theme") == 6 and first.count("quote ") == 10 and "contradicts the vote" in first
     assert "# After the update" not in got["u3"] and "# Patch notes" not in got["u3"]
     cut = evidence.patch_context(updates, notes, chars=800).first().patch_context
@@ -164,7 +164,7 @@ def test_evidence_query_folds_copied_comments(spark, monkeypatch):
     assert pack.count('buy  cheap coins here"') == 1 and "awaiting analysis" not in pack and '"gg"' not in pack
     assert '- negative: "terrible crash, awful game"' in pack and '- positive: "wonderful patch, great fun"' in pack and "- user:" not in pack
     packs = [r.evidence for r in REGISTRY["evidence_pack"].run(spark, small).collect()]
-    assert any("reviews total." in p for p in packs) and all(("reviews total." in p) == ("# After the update" in p) for p in packs)
+    assert any("recommend the product" in p for p in packs) and all(("recommend the product" in p) == ("# After the update" in p) for p in packs)
 
 
 def test_composite_alert_takes_coordinated_and_model_flags(spark):
