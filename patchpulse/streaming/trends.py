@@ -37,18 +37,18 @@ def closed_hours(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 class HourlyTrends(StatefulProcessor):
     """Keeps the hours of the rolling window in a list and a decayed count for each hour of the week in a map.
 
-    Hours arrive once each and in order of time. Both states are bounded: by the window, and by the 168 hours of a week. An app without
-    rows for ``ttl_ms`` is forgotten. The baseline of an hour is the mean of the same hour in earlier weeks, a week counting ``decay``
+    Hours arrive once each and in order of time. Both states are bounded: by the window, and by the 168 hours of a week. An app's
+    state stays for as long as the query. The baseline of an hour is the mean of the same hour in earlier weeks, a week counting ``decay``
     times as much as the next; it is read before the hour itself is added, and there is none in the first week of an app.
     """
 
-    def __init__(self, hours: int, decay: float, factor: float, ttl_ms: int | None):
-        self.hours, self.decay, self.factor, self.ttl_ms = hours, decay, factor, ttl_ms
+    def __init__(self, hours: int, decay: float, factor: float):
+        self.hours, self.decay, self.factor = hours, decay, factor
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at bigint, n bigint, total double, negative bigint", self.ttl_ms)
-        self.slots = handle.getMapState("slots", "slot int", "decayed double, week bigint", self.ttl_ms)
-        self.since = handle.getValueState("since", "at bigint", self.ttl_ms)
+        self.recent = handle.getListState("recent", "at bigint, n bigint, total double, negative bigint")
+        self.slots = handle.getMapState("slots", "slot int", "decayed double, week bigint")
+        self.since = handle.getValueState("since", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("at")
@@ -76,12 +76,11 @@ class HourlyTrends(StatefulProcessor):
         pass
 
 
-def hourly_trends(events: DataFrame, hours: int = 24, decay: float = 0.5, factor: float = 3.0, delay: str = "1 hour",
-                  ttl_ms: int | None = None) -> DataFrame:
+def hourly_trends(events: DataFrame, hours: int = 24, decay: float = 0.5, factor: float = 3.0, delay: str = "1 hour") -> DataFrame:
     """Each closed hour of a stream of ``appid``, ``ts``, ``score`` with rolling count, mean and negative share, baseline and alert.
 
     Only the past counts: an hour is judged by hours that ended before it. Hours with no rows are not reported.
     """
     ship_package(with_state_store(events.sparkSession))
     return closed_hours(events, delay).groupBy("appid").transformWithStateInPandas(
-        statefulProcessor=HourlyTrends(hours, decay, factor, ttl_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+        statefulProcessor=HourlyTrends(hours, decay, factor), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
