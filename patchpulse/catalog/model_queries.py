@@ -15,12 +15,15 @@ from . import views as V
 from .registry import iso, query, r6
 
 
-@query("A5, J10")
+@query("A5, J10", S.with_blocks(f"""
+SELECT {S.iso("day")} AS time_window, first AS first_review, size, {S.s6("(square - size) / (size * (size - 1))")} AS avg_similarity
+FROM {S.coordinated_blocks("near", (), 3)} GROUP BY ALL""", "near_member"))
 def coordinated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.reviews(spark, sf_dir).where("review_content IS NOT NULL").select("review_id", "appid", "ts", "review_content")
-    _, groups = coordinated.detect_coordinated(rows, "review_id", "review_content", keys=(), min_size=3)
-    return groups.select(iso("time_window").alias("time_window"), "group_id", "size",
-                         r6("avg_similarity").alias("avg_similarity"))
+    flagged, groups = coordinated.detect_coordinated(rows, "review_id", "review_content", keys=(), min_size=3)
+    first = flagged.where("is_coordinated = 1").groupBy("group_id").agg(F.min("review_id").alias("first_review"))
+    return groups.join(first, "group_id").select(
+        iso("time_window").alias("time_window"), "first_review", "size", r6("avg_similarity").alias("avg_similarity"))
 
 
 def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:

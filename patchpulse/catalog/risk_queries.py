@@ -280,10 +280,10 @@ def with_coordinated(rows: DataFrame, reviews: DataFrame) -> DataFrame:
 
 @query("R17", S.with_blocks(f"""
 SELECT appid, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS n_alerts, {S.s6('avg(c)')} AS alert_rate FROM (
-  SELECT appid, CAST(risk_label_weak = 1 OR trigger_count >= 3 OR statistical_anomaly_score >= 2 OR ml_anomaly = 1 AS INT) AS c FROM rev_alert)
-GROUP BY appid""", "rev_alert"))
+  SELECT appid, CAST(risk_label_weak = 1 OR trigger_count >= 3 OR statistical_anomaly_score >= 2 OR ml_anomaly = 1
+    OR doc_id IN (SELECT doc_id FROM {S.coordinated_blocks("crowd", ("appid",), 10)}) AS INT) AS c FROM rev_alert)
+GROUP BY appid""", "rev_alert", "crowd_member"))
 def composite_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL has no coordinated groups: it holds where there are none, and is a lower bound elsewhere.
     rows = with_coordinated(anomaly.trend_alerts(ensemble_rows(spark, sf_dir)), V.reviews(spark, sf_dir))
     out = anomaly.composite_alert(rows)
     return out.groupBy("appid").agg(F.count("*").alias("n_rows"), F.sum("composite_alert").alias("n_alerts"),

@@ -365,3 +365,35 @@ def level(score: str, c: float, h: float, m: float) -> str:
 block("levelled", f"""
 SELECT *, {level('risk_score', 2.5, 1.5, 1.0)} AS risk_level, CAST(risk_score >= 1.0 AS INT) AS risk_label_weak
 FROM risk_rows""", "risk_rows")
+
+
+def coordinated_blocks(name: str, keys: tuple[str, ...], min_size: int, threshold: float = 0.85, max_terms: int = 500) -> str:
+    """Blocks for groups of near-identical reviews of a day (and ``keys``), all pairs compared; returns the name of the last,
+    ``name``_member (keys, day, review_id, doc_id, first: the least review_id of the group, size, sim: mean cosine over pairs)."""
+    k = ", ".join([*keys, "day"])
+    block(f"{name}_text", f"""
+SELECT * FROM (SELECT *, date_trunc('day', ts) AS day, count(*) OVER (PARTITION BY {", ".join([*keys, "date_trunc('day', ts)"])}) AS n_rows
+  FROM reviews_v WHERE review_content IS NOT NULL) WHERE n_rows >= {min_size}""", "reviews_v")
+    block(f"{name}_tf", f"""
+SELECT {k}, review_id, term, count(*) AS tf FROM (
+  SELECT {k}, review_id, unnest(string_split_regex(lower(review_content), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+')) AS term FROM {name}_text)
+WHERE length(term) >= 2 GROUP BY ALL""", f"{name}_text")
+    block(f"{name}_vocab", f"""
+SELECT {k}, term, ln((n_docs + 1) / (df + 1)) + 1 AS idf FROM (
+  SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY total DESC, term) AS no FROM (
+    SELECT {k}, term, sum(tf) AS total, count(*) AS df FROM {name}_tf GROUP BY ALL))
+JOIN (SELECT {k}, count(DISTINCT review_id) AS n_docs FROM {name}_tf GROUP BY ALL) USING ({k}) WHERE no <= {max_terms}""", f"{name}_tf")
+    block(f"{name}_vec", f"""
+SELECT {k}, review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY {k}, review_id)) AS u FROM (
+  SELECT {k}, review_id, term, tf * idf AS w FROM {name}_tf JOIN {name}_vocab USING ({k}, term))""", f"{name}_tf", f"{name}_vocab")
+    block(f"{name}_link", f"""
+SELECT a.review_id AS a, b.review_id AS b FROM {name}_vec a JOIN {name}_vec b USING ({k}, term)
+GROUP BY {k}, a.review_id, b.review_id HAVING a.review_id = b.review_id OR sum(a.u * b.u) >= {threshold} - 1e-9""", f"{name}_vec")
+    block(f"{name}_reach", f"""
+WITH RECURSIVE step(a, b) AS (SELECT a, b FROM {name}_link UNION SELECT s.a, l.b FROM step s JOIN {name}_link l ON l.a = s.b)
+SELECT a AS review_id, min(b) AS first FROM step GROUP BY a""", f"{name}_link")
+    block(f"{name}_member", f"""
+SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY first) AS size FROM {name}_reach JOIN {name}_text USING (review_id))
+JOIN (SELECT first, sum(s * s) AS square FROM (SELECT first, term, sum(u) AS s FROM {name}_vec JOIN {name}_reach USING (review_id) GROUP BY ALL) GROUP BY first)
+USING (first) WHERE size >= {min_size}""", f"{name}_reach", f"{name}_text", f"{name}_vec")
+    return f"{name}_member"
