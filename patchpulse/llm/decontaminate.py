@@ -160,3 +160,20 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
     ship_package(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The digest columns in DuckDB SQL: windows of items joined with runs of as many words in the documents."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = "SELECT {0}, {1} AS n, unnest(range(1, len(w) - {1} + 2)) AS pos, w FROM {2}"
+    return f"""WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+    item AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    sized AS (SELECT item_id, w, least(len(w), {window}) AS size FROM item WHERE len(w) > 0),
+    wanted AS (SELECT DISTINCT item_id, n, array_to_string(w[pos:pos + n - 1], ' ') AS run FROM ({runs.format("item_id", "size", "sized")})),
+    lengths AS (SELECT DISTINCT n AS size FROM wanted),
+    held AS (SELECT r, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS run FROM ({runs.format("r", "size", "doc JOIN lengths ON len(w) >= size")})),
+    hit AS (SELECT r, n, pos, item_id FROM held JOIN wanted USING (n, run)),
+    hit_words AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS i FROM hit) GROUP BY r),
+    hit_items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+      n_hit IS NOT NULL AS contaminated FROM doc LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)"""

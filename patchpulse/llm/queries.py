@@ -53,6 +53,9 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.drop("items", "spans")
 
 
+SQL["op5_benchmark_decontamination"] = decontaminate.oracle()
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
@@ -77,6 +80,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+SQL["op9_substring_dedup"] = substrings.oracle()
+
+
 @query
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of near-equal bytes."""
@@ -90,6 +96,9 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+SQL["op11_suffix_dedup"] = suffixes.oracle()
+
+
 @query
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of each language by their weakest cut."""

@@ -350,3 +350,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, bucket_bytes: int =
         return work
 
     return scan(docs.join(marks, "doc_id", "left"), ["doc_id", "text", "starts"], RESULT + (", kept: string" if with_text else ""), start)
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The digest columns in DuckDB SQL, with all windows compared as they are; ids must be unique and not null."""
+    return rf"""WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + {window} - 1], ' ')) AS run FROM (
+      SELECT doc_id, w, unnest(range(1, len(w) - {window} + 2)) AS pos FROM doc)),
+    later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY run) AS holder FROM windows) WHERE doc_id > holder),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {window})) AS i FROM later),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (
+      SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+    counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM doc LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)"""

@@ -544,3 +544,20 @@ def remove_repeated_bytes(docs: DataFrame, with_text: bool = False, bucket_bytes
         whole = docs.select(short(F.sha2(text, 256)).alias("key"), text.cast("binary").alias("whole")).groupBy("key").agg(F.min("whole").alias("whole"))
         out = out.join(whole, "key").withColumn("kept", F.coalesce("kept", "whole")).drop("key", "whole")
     return out
+
+
+def oracle(length: int = LENGTH, chunk: int = 256) -> str:
+    """The result in DuckDB SQL, with every string of ``length`` bytes compared by its MD5; bytes are pairs of hexadecimal digits, and texts
+    are cut into overlapping chunks so that a string is short to cut out."""
+    return f"""WITH doc AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    chunks AS (SELECT r, c, least({chunk}, CAST(length(h) // 2 AS BIGINT) - {length} + 1 - c * {chunk}) AS n, h[2 * {chunk} * c + 1 : 2 * ({chunk} * c + {chunk + length - 1})] AS part
+      FROM (SELECT r, h, unnest(range(0, CAST(ceil((length(h) // 2 - {length} + 1) / {chunk}) AS BIGINT))) AS c FROM doc)),
+    starts AS (SELECT r, c * {chunk} + s AS s, md5(part[2 * s + 1 : 2 * (s + {length})]) AS k FROM (SELECT r, c, part, unnest(range(0, n)) AS s FROM chunks)),
+    twice AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS n FROM starts) WHERE n > 1),
+    marked AS (SELECT r, s, CAST(coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + {length}, true) AS INT) AS fresh FROM twice),
+    spans AS (SELECT r, min(s) AS a, max(s) + {length} AS b FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS no FROM marked) GROUP BY r, no),
+    gaps AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS kept_from, b FROM spans),
+    cut AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(h[2 * kept_from + 1 : 2 * a], '' ORDER BY a) AS kept, max(b) AS rest
+      FROM gaps JOIN doc USING (r) GROUP BY r)
+    SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(concat(kept, h[2 * coalesce(rest, 0) + 1 :]))) AS kept_sha256 FROM doc LEFT JOIN cut USING (r)"""
