@@ -163,6 +163,14 @@ def sentiment_scores_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("review_id", "compound", "pos", "neu", "neg", "sentiment_label")
 
 
+@query("X2", S.with_blocks("SELECT review_id, compound, pos, neu, neg, sentiment_label FROM loud_s", "loud_s"))
+def cased_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import phrases
+
+    rows = V.reviews(spark, sf_dir).select("review_id", F.expr(S.LOUD).alias("content"))
+    return phrases.add_cased_sentiment(rows, "content").drop("content")
+
+
 _RAW = "coalesce(review_content, '')"
 _SENT = f"len(regexp_extract_all({_RAW}, '[^.!?]*[^.!?\\s][^.!?]*'))"
 

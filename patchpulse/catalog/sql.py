@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import config
-from ..functions import sentiment
+from ..functions import phrases, sentiment
 
 BLOCKS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -124,12 +124,13 @@ def strip(x: str) -> str:
     return STRIP.format(x)
 
 
-def clean_text(x: str) -> str:
+def clean_text(x: str, lower: bool = True) -> str:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     x = f"regexp_replace({x}, 'https?://[^\\s]+|www\\.[^\\s]+', ' ', 'g')"
     x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
-    return f"lower({strip(f'''regexp_replace({x}, '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g')''')})"
+    x = strip(f"regexp_replace({x}, '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g')")
+    return f"lower({x})" if lower else x
 
 
 # Exclusion reasons. Repeated characters need no back-reference: a run is a maximal stretch of equal characters.
@@ -186,6 +187,11 @@ SELECT t.{key}, t.i, t.word, l.v,
        min(CASE WHEN t.word = 'but' THEN t.i END) OVER (PARTITION BY t.{key}) AS but_at
 FROM {prefix}_t t LEFT JOIN lexicon l ON l.word = t.word
 WINDOW w AS (PARTITION BY t.{key} ORDER BY t.i)""", f"{prefix}_t", "lexicon")
+    scores(prefix, key)
+
+
+def scores(prefix: str, key: str) -> None:
+    """Blocks from {prefix}_w (words with their entries and those of the three before) to {prefix}_s."""
     block(f"{prefix}_x", f"""
 SELECT {key}, CASE WHEN but_at IS NULL OR i = but_at THEN 1.0 WHEN i < but_at THEN 0.5 ELSE 1.5 END::DOUBLE
        * (v2 + CASE WHEN v2 < 0 THEN -b3 ELSE b3 END * 0.9::DOUBLE) * n3 AS val FROM (
@@ -217,8 +223,56 @@ SELECT *, CASE WHEN compound >= 0.2 THEN 'positive' WHEN compound <= -0.2 THEN '
        AS sentiment_label FROM {prefix}_c""", f"{prefix}_c")
 
 
+def cased_scoring(prefix: str, source: str, key: str, content: str) -> None:
+    """As ``scoring`` for texts in their own case: phrases by joins of word runs with the list, the first and longest of overlapping ones
+    by following each to the next, and the weight of capitals."""
+    listed = ", ".join(f"('{p}', {'NULL' if v is None else v}::DOUBLE, {b}::DOUBLE, 1.0::DOUBLE)" for p, (v, b) in phrases.PHRASES.items())
+    bare = "regexp_replace({0}, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')"
+    longest = max(len(p.split()) for p in phrases.PHRASES)
+    cleaned = clean_text(f"coalesce({content}, '')", lower=False)
+    block(f"{prefix}_p", f"SELECT *, {cleaned} AS processed FROM {source}", source)
+    block("phrase_list", f"SELECT * FROM (VALUES {listed}) AS t(word, v, b, n)")
+    block("cased_lexicon", "SELECT * FROM lexicon UNION ALL SELECT * FROM phrase_list", "lexicon", "phrase_list")
+    block(f"{prefix}_ws", f"SELECT {key}, list_filter(string_split(processed, ' '), lambda x: x <> '') AS ws FROM {prefix}_p", f"{prefix}_p")
+    block(f"{prefix}_found", f"""
+SELECT r.{key}, r.i, max(r.i + k) AS e FROM (
+  SELECT {key}, i, k, lower({bare.format("array_to_string(ws[i:i + k - 1], ' ')")}) AS run FROM (
+    SELECT {key}, ws, generate_subscripts(ws, 1) AS i FROM {prefix}_ws), range(2, {longest + 1}) AS t(k) WHERE i + k - 1 <= len(ws)) r
+JOIN phrase_list l ON l.word = r.run GROUP BY r.{key}, r.i""", f"{prefix}_ws", "phrase_list")
+    block(f"{prefix}_next", f"""
+SELECT f.{key}, f.i, f.e, min(g.i) AS next FROM {prefix}_found f LEFT JOIN {prefix}_found g ON g.{key} = f.{key} AND g.i >= f.e GROUP BY ALL""",
+          f"{prefix}_found")
+    block(f"{prefix}_taken", f"""
+WITH RECURSIVE step AS (
+  SELECT {key}, i, e, next FROM {prefix}_next JOIN (SELECT {key}, min(i) AS i FROM {prefix}_next GROUP BY {key}) USING ({key}, i)
+  UNION ALL SELECT n.{key}, n.i, n.e, n.next FROM step s JOIN {prefix}_next n ON n.{key} = s.{key} AND n.i = s.next)
+SELECT {key}, i, e FROM step""", f"{prefix}_next")
+    block(f"{prefix}_t", f"""
+SELECT {key}, i, CASE WHEN length({bare.format("w")}) <= 2 THEN w ELSE {bare.format("w")} END AS word FROM (
+  SELECT u.{key}, u.i, coalesce(array_to_string(ws[u.i:t.e - 1], ' '), ws[u.i]) AS w
+  FROM (SELECT {key}, ws, generate_subscripts(ws, 1) AS i FROM {prefix}_ws) u LEFT JOIN {prefix}_taken t ON t.{key} = u.{key} AND t.i = u.i
+  WHERE NOT EXISTS (SELECT 1 FROM {prefix}_taken c WHERE c.{key} = u.{key} AND c.i < u.i AND u.i < c.e))""", f"{prefix}_ws", f"{prefix}_taken")
+    block(f"{prefix}_l", f"""
+SELECT t.{key}, t.i, lower(t.word) AS word, l.v + sign(l.v) * loud AS v, l.b + CASE WHEN l.b <> 0 THEN loud ELSE 0 END AS b, l.n FROM (
+  SELECT *, CASE WHEN caps AND NOT bool_and(caps) OVER (PARTITION BY {key}) THEN {phrases.CAPITALS} ELSE 0 END::DOUBLE AS loud FROM (
+    SELECT *, word = upper(word) AND word <> lower(word) AS caps FROM {prefix}_t)) t LEFT JOIN cased_lexicon l ON l.word = lower(t.word)""",
+          f"{prefix}_t", "cased_lexicon")
+    before = ", ".join(f"coalesce(lag({c}, {k}) OVER w, {d}) AS {c}{k}" for k in (1, 2, 3) for c, d in (("b", 0), ("n", 1)))
+    block(f"{prefix}_w", f"""
+SELECT {key}, i, v, {before}, min(CASE WHEN word = 'but' THEN i END) OVER (PARTITION BY {key}) AS but_at
+FROM {prefix}_l WINDOW w AS (PARTITION BY {key} ORDER BY i)""", f"{prefix}_l")
+    scores(prefix, key)
+
+
 scoring("rev", "flagged", "doc_id", "review_content")
 
+LOUD = """CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN concat('This update is the BOMB, NOT bad at all! ', coalesce(review_content, ''))
+     WHEN 1 THEN replace(replace(replace(review_content, 'great', 'GREAT'), 'crash', 'CRASH'), 'really', 'REALLY')
+     WHEN 2 THEN concat('Yeah right! The lag is a kiss of death, the maps are kind of good. ', coalesce(review_content, ''))
+     WHEN 3 THEN upper(review_content) ELSE review_content END"""
+block("loud_v", f"SELECT review_id, doc_id, {LOUD} AS content FROM reviews_v", "reviews_v")
+cased_scoring("loud", "loud_v", "doc_id", "content")
+
 # Scored reviews in their update window; after the update only usable rows, before it every row.
 block("scored", """
 SELECT r.*, u.update_id, u.update_ts, CASE WHEN r.ts < u.update_ts THEN 'pre' ELSE 'post' END AS "window"

@@ -70,8 +70,8 @@ def _index_of(lexicon: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def _default_index(buckets: int) -> Column:
-    """The shipped lexicon as a constant: no job, no subquery."""
+def _default_index(buckets: int, phrases: dict[str, tuple[float | None, float]] | None = None) -> Column:
+    """The shipped lexicon, and phrases with valence and degree, as a constant: no job, no subquery."""
     slots: list[dict] = [{} for _ in range(buckets)]
 
     def put(word: str, v: float | None, b: float, n: float) -> None:
@@ -83,6 +83,8 @@ def _default_index(buckets: int) -> Column:
         put(w, None, b, 1.0)
     for w in config.NEGATOR_WORDS:
         put(w, None, 0.0, NEGATION_FACTOR)
+    for p, (v, b) in (phrases or {}).items():
+        put(p, v, b, 1.0)
     return F.from_json(F.lit(json.dumps(slots)), f"array<map<string,{ENTRY}>>")
 
 
@@ -93,7 +95,10 @@ def tokens(processed: Column | str) -> Column:
     """
 
     c = F.col(processed) if isinstance(processed, str) else processed
-    kept = F.filter(F.split(c, " "), lambda w: w != "")
+    return trimmed(F.filter(F.split(c, " "), lambda w: w != ""))
+
+
+def trimmed(kept: Column) -> Column:
     marks = F.lit(text.PUNCTUATION)
     return F.transform(kept, lambda w: F.when(F.length(F.btrim(w, marks)) <= 2, w).otherwise(F.btrim(w, marks)))
 
@@ -150,12 +155,17 @@ def add_sentiment(df: DataFrame, processed: str = "review_content_processed",
         "_hit": F.expr(f"transform(_tok, w -> try_element_at({slot}, w))"),
         "_but": F.expr("nullif(CAST(array_position(_tok, 'but') AS INT), 0) - 1"),
     })
+    out = add_sums(out, "size(_tok)").drop("_lex", "_tok", "_hit", "_but", "_val")
+    return finish_scores(out, processed)
+
+
+def add_sums(df: DataFrame, n_words: str) -> DataFrame:
+    """Values of the words and their sums, from the entries ``_hit`` by position and the position ``_but``."""
     places = "filter(transform(_hit, (h, i) -> if(h.v IS NOT NULL, i, NULL)), i -> i IS NOT NULL)"
-    out = out.withColumn(
+    out = df.withColumn(
         "_val", F.expr(f"transform({places}, i -> {_word_value('get(_hit, {})', 'i')} * {_but_factor('i')})")
     )
-    out = out.withColumns(_sums("size(_tok)")).drop("_lex", "_tok", "_hit", "_but", "_val")
-    return finish_scores(out, processed)
+    return out.withColumns(_sums(n_words))
 
 
 def finish_scores(df: DataFrame, processed: str) -> DataFrame:

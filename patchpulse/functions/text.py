@@ -74,12 +74,13 @@ def unescape(c: Column | str, every_entity: bool = False) -> Column:
     return out
 
 
-def clean_text(c: Column | str, every_entity: bool = False) -> Column:
-    """Entities decoded, links and tags dropped, white space collapsed, lower-cased."""
+def clean_text(c: Column | str, every_entity: bool = False, lower: bool = True) -> Column:
+    """Entities decoded, links and tags dropped, white space collapsed, lower-cased unless told otherwise."""
     out = unescape(c, every_entity)
     out = F.regexp_replace(out, LINK_PATTERN, " ")
     out = F.when(F.contains(out, F.lit("<")), F.regexp_replace(out, TAG_PATTERN, " ")).otherwise(out)
-    return F.lower(strip_blank(F.regexp_replace(out, WHITESPACE_RUN, " ")))
+    out = strip_blank(F.regexp_replace(out, WHITESPACE_RUN, " "))
+    return F.lower(out) if lower else out
 
 
 def words(c: Column | str) -> Column:

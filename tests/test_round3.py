@@ -1,14 +1,16 @@
-"""Change points, robust covariance, stateful stream trends."""
+"""Change points, robust covariance, stateful stream trends, phrases and capitals in sentiment."""
 
 import datetime as dt
 import itertools
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from patchpulse.functions import sentiment, text
 from patchpulse.operators import anomaly, changes, robust
 from patchpulse.session import fresh_path, spread
 from patchpulse.streaming import jobs, trends
@@ -156,3 +158,43 @@ def test_spread_leaves_rows_and_wide_scans_alone(spark):
     assert Counter(spread(one, "id").collect()) == Counter(df.collect())
     wide = df.repartition(spark.sparkContext.defaultParallelism)
     assert spread(wide, "id") is wide
+
+
+def test_sentiment_of_published_sentences(spark):
+    from patchpulse.functions import phrases
+
+    words = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "sux": -1.5}
+    lexicon = spark.createDataFrame([(w, v, 0.0, 1.0) for w, v in words.items()], "word string, valence double, boost double, negation double")
+    lexicon = lexicon.unionByName(sentiment.default_lexicon(spark).where("valence IS NULL"))
+    expected = {
+        "VADER is smart, handsome, and funny.": 0.8316, "VADER is smart, handsome, and funny!": 0.8439,
+        "VADER is very smart, handsome, and funny.": 0.8545, "VADER is VERY SMART, handsome, and FUNNY.": 0.9227,
+        "VADER is VERY SMART, handsome, and FUNNY!!!": 0.9342, "VADER is not smart, handsome, nor funny.": -0.7424,
+        "The book was good.": 0.4404, "The book was only kind of good.": 0.3832, "Today SUX!": -0.5461, "THE BOOK WAS GOOD": 0.4404, "": 0.0,
+    }
+    df = spark.createDataFrame([(t,) for t in expected] + [(None,)], "t string")
+    got = {r.t: r.compound for r in phrases.add_cased_sentiment(df, "t", lexicon).collect()}
+    assert got == expected | {None: 0.0}
+
+
+def test_phrases_are_longest_first_and_not_read_twice(spark):
+    from patchpulse.functions import phrases
+
+    listed = {"a b": (1.0, 0.0), "a b c": (2.0, 0.0), "b c d": (3.0, 0.0), "c d": (4.0, 0.0), "d.e f": (5.0, 0.0)}
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "A", "(b", "c!", "d.e", "f", "dxe", "..."]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+
+    def brute(t):
+        ws, out, i = t.split(), [], 0
+        while i < len(ws):
+            n = next((k for k in (3, 2) if i + k <= len(ws) and " ".join(ws[i : i + k]).strip(text.PUNCTUATION).lower() in listed), 1)
+            w = " ".join(ws[i : i + n])
+            bare = w.strip(text.PUNCTUATION)
+            out.append(w if len(bare) <= 2 else bare)
+            i += n
+        return out
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", phrases.phrase_tokens("t", listed).alias("w"), phrases.phrase_tokens("t", {}).alias("p"))
+    for r in df.collect():
+        assert r.w == brute(r.t)
+        assert len(r.p) == len(r.t.split())
