@@ -56,6 +56,21 @@ def tfidf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "tfidf_nonzero_count")
 
 
+S.block("grams", """
+SELECT review_id, array_to_string(ws[i:i + k - 1], ' ') AS term FROM (
+  SELECT review_id, ws, generate_subscripts(ws, 1) AS i FROM (
+    SELECT review_id, list_filter(string_split_regex(processed, '[^\\p{L}\\p{N}\\p{M}_]+'), lambda w: length(w) >= 2) AS ws FROM rev_p)),
+  range(1, 4) AS t(k) WHERE i + k - 1 <= len(ws)""", "rev_p")
+
+
+@query("M5", S.with_blocks("""
+SELECT term, CAST(total AS BIGINT) AS total, df, CAST(row_number() OVER (ORDER BY total DESC, term) AS INT) AS rank FROM (
+  SELECT term, sum(n) AS total, count(*) AS df FROM (SELECT review_id, term, count(*) AS n FROM grams GROUP BY ALL) GROUP BY term)
+WHERE df >= 3 AND df <= 0.9::DOUBLE * (SELECT count(*) FROM rev_p) ORDER BY total DESC, term LIMIT 10000""", "grams", "rev_p"))
+def joint_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.joint_vocabulary(_processed(spark, sf_dir), "p")
+
+
 @query("M2, M3")
 def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(_processed(spark, sf_dir))
@@ -167,6 +182,13 @@ def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.feature_importance(model, rows).withColumn("importance", r6("importance"))
 
 
+@query("M5, M9")
+def boosted_text_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = save_table(_training_rows(spark, sf_dir), "training")
+    model = models.train_boosted(rows, NUMERIC + SENTIMENT, "risk_label_weak", content="review_content_processed")
+    return models.feature_importance(model, rows).withColumn("importance", r6("importance"))
+
+
 @query("M6, M8")
 def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ablation_of(spark, sf_dir)

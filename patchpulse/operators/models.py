@@ -9,9 +9,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, CountVectorizerModel, NGram, RegexTokenizer, SQLTransformer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -27,22 +27,38 @@ LEAK_COLUMNS = tuple(c for role in ("target", "id", "time", "text") for c in sch
 # --------------------------------------------------------------------------------------------- text vectors
 
 
-def tfidf_model(df: DataFrame, content: str, max_features: int = 1000, ngrams: int = 1, min_df: float = 1.0) -> PipelineModel:
-    """Tokens, n-grams up to ``ngrams``, counts over the most frequent terms, inverse document frequency."""
-    stages = [RegexTokenizer(inputCol=content, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2)]
-    parts = []
-    per_size = max(1, max_features // ngrams)
-    for n in range(1, ngrams + 1):
-        source = "_words"
-        if n > 1:
-            source = f"_gram{n}"
-            stages.append(NGram(n=n, inputCol="_words", outputCol=source))
-        stages += [
-            CountVectorizer(inputCol=source, outputCol=f"_count{n}", vocabSize=per_size, minDF=min_df),
-            IDF(inputCol=f"_count{n}", outputCol=f"_idf{n}"),
-        ]
-        parts.append(f"_idf{n}")
-    stages.append(VectorAssembler(inputCols=parts, outputCol="tfidf"))
+def joint_vocabulary(df: DataFrame, content: str, max_features: int = 10_000, ngrams: int = 3, min_df: int = 3, max_df: float = 0.9) -> DataFrame:
+    """term, total, df and rank of the most frequent terms of all sizes up to ``ngrams`` words together.
+
+    Terms of fewer than ``min_df`` rows, or of more than the share ``max_df`` of all rows, are left out before the cut. A row's terms are sorted, so
+    that the first of equal ones counts the row: one aggregate, combined before its shuffle, gives both counts.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"(?U)\W+"), lambda w: F.length(w) >= 2)
+    runs = ", ".join(["_w"] + [
+        f"if(size(_w) >= {n}, transform(sequence(0, greatest(size(_w) - {n}, 0)), i -> array_join(slice(_w, i + 1, {n}), ' ')), array())"
+        for n in range(2, ngrams + 1)])
+    sorted_terms = df.select(words.alias("_w")).select(F.expr(f"array_sort(concat({runs}))").alias("_t"))
+    each = sorted_terms.select(F.inline(F.expr("transform(_t, (t, i) -> struct(t AS term, i = 0 OR get(_t, i - 1) <> t AS _first))")))
+    counted = each.groupBy("term").agg(F.count("*").alias("total"), F.count_if("_first").alias("df"))
+    allowed = counted.where((F.col("df") >= min_df) & (F.col("df") <= max_df * df.agg(F.count("*")).scalar()))
+    best = allowed.orderBy(F.desc("total"), "term").limit(max_features)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "term")))  # at most max_features rows
+
+
+def tfidf_model(df: DataFrame, content: str, max_features: int = 1000, ngrams: int = 1, min_df: int = 1, max_df: float = 1.0) -> PipelineModel:
+    """Tokens, their runs of up to ``ngrams`` words, counts over one joint vocabulary, inverse document frequency."""
+    best = joint_vocabulary(df, content, max_features, ngrams, min_df, max_df)
+    vocabulary = [r.term for r in best.orderBy("rank").select("term").collect()]  # at most max_features terms
+    if not vocabulary:
+        raise ValueError(f"no term is in at least {min_df} rows and at most a share of {max_df} of them")
+    sizes = range(2, ngrams + 1)
+    stages = [
+        RegexTokenizer(inputCol=content, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2),
+        *[NGram(n=n, inputCol="_words", outputCol=f"_gram{n}") for n in sizes],
+        SQLTransformer(statement=f"SELECT *, concat(_words{''.join(f', _gram{n}' for n in sizes)}) AS _terms FROM __THIS__"),
+        CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_count"),
+        IDF(inputCol="_count", outputCol="tfidf"),
+    ]
     return Pipeline(stages=stages).fit(df)
 
 
@@ -159,29 +175,41 @@ def with_class_weight(df: DataFrame, target: str) -> DataFrame:
 
 
 def train_text_classifier(train: DataFrame, content: str, target: str, max_features: int = 10_000, ngrams: int = 3,
-                          iterations: int = 50) -> PipelineModel:
-    """TF-IDF n-grams and balanced logistic regression."""
-    vec = tfidf_model(train, content, max_features, ngrams)
+                          iterations: int = 50, min_df: int = 3, max_df: float = 0.9) -> PipelineModel:
+    """TF-IDF of one vocabulary over all n-gram sizes, and balanced logistic regression."""
+    vec = tfidf_model(train, content, max_features, ngrams, min_df, max_df)
     rows = with_class_weight(vec.transform(train), target)
     lr = LogisticRegression(featuresCol="tfidf", labelCol=target, weightCol="class_weight", maxIter=iterations, regParam=0.01)
     return PipelineModel(stages=[*vec.stages, lr.fit(rows)])
 
 
-def train_boosted(train: DataFrame, features: list[str], target: str, iterations: int = 20, seed: int = 7) -> PipelineModel:
-    """Gradient-boosted trees on numeric features; leaking columns are refused."""
+def train_boosted(train: DataFrame, features: list[str], target: str, iterations: int = 20, seed: int = 7,
+                  content: str | None = None, max_terms: int = 200) -> PipelineModel:
+    """Gradient-boosted trees on numeric features and, with ``content``, on the TF-IDF of its most frequent terms; leaking columns are refused."""
     leaking = sorted(set(features) & set(LEAK_COLUMNS))
     if leaking:
         raise ValueError(f"these columns give the target away: {leaking}")
+    inputs, stages = list(features), []
+    if content is not None:
+        stages = tfidf_model(train, content, max_terms, ngrams=3, min_df=3, max_df=0.9).stages
+        stages = [*stages, VectorSizeHint(inputCol="tfidf", size=len(_vocabulary(stages)), handleInvalid="optimistic")]
+        inputs.append("tfidf")
     stages = [
-        VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep"),
+        *stages,
+        VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep"),
         GBTClassifier(featuresCol="_features", labelCol=target, maxIter=iterations, seed=seed),
     ]
     return Pipeline(stages=stages).fit(train)
 
 
+def _vocabulary(stages) -> list[str]:
+    return next((s.vocabulary for s in stages if isinstance(s, CountVectorizerModel)), [])
+
+
 def feature_importance(model: PipelineModel, df: DataFrame, top: int = 20) -> DataFrame:
-    """The most important features of a boosted model."""
-    names = model.stages[0].getInputCols()
+    """The most important features of a boosted model; terms are named ``text: <term>``."""
+    names = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    names = [n for n in names if n != "tfidf"] + [f"text: {t}" for t in _vocabulary(model.stages)]
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(n, float(w)) for n, w in zip(names, weights)]  # one row per feature
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(

@@ -198,3 +198,37 @@ def test_phrases_are_longest_first_and_not_read_twice(spark):
     for r in df.collect():
         assert r.w == brute(r.t)
         assert len(r.p) == len(r.t.split())
+
+
+def test_joint_vocabulary_equals_brute_force(spark):
+    from patchpulse.operators import models
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("aa bb cc dd ee x ff".split()) for _ in range(rng.randint(0, 9))) for _ in range(80)] + [None, "aa aa aa", "BB-cc"]
+    total, rows = Counter(), Counter()
+    for t in texts:
+        ws = [w for w in (t or "").lower().replace("-", " ").split() if len(w) >= 2]
+        terms = [" ".join(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)]
+        total.update(terms)
+        rows.update(set(terms))
+    allowed = [t for t in total if 3 <= rows[t] <= 0.6 * len(texts)]
+    best = sorted(allowed, key=lambda t: (-total[t], t))[:40]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = models.joint_vocabulary(df, "t", 40, 3, 3, 0.6).orderBy("rank").collect()
+    assert [(r.term, r.total, r.df) for r in got] == [(t, total[t], rows[t]) for t in best]
+    model = models.tfidf_model(df.fillna(""), "t", 40, 3, 3, 0.6)
+    assert model.stages[-2].vocabulary == best
+    with pytest.raises(ValueError):
+        models.tfidf_model(df.fillna(""), "t", 40, 3, 1000)
+
+
+def test_boosted_model_reads_text_beside_numbers(spark):
+    from patchpulse.operators import models
+
+    rows = [(float(i % 7), "bad crash here" if i % 2 else "good fun here", i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "n double, t string, y int")
+    model = models.train_boosted(df, ["n"], "y", iterations=3, content="t")
+    top = models.feature_importance(model, df).collect()
+    assert len(top) == 1 + 4 + 4 + 2  # the number, words without "here", pairs, triples
+    assert sum(r.importance for r in top if r.feature.startswith("text: ")) > 0.9
+    assert model.transform(df).where("prediction <> y").count() == 0
