@@ -8,11 +8,7 @@ No group is collected and no pairs are emitted, only links:
 1. Equal vectors are folded into one node with a number of copies.
 2. Every node is compared with one leader, the first node with the same rarest word; linked nodes become components.
    A crowd of near-copies is settled here, with one comparison per node.
-3. Two vectors can only reach the threshold if they share a word of their prefixes (the rarest words, up to the point
-   where the rest of the vector is too short to reach it alone); this is exact. Nodes are cut into chunks of bounded
-   size, chunks that share a prefix word between different components are joined on (block, chunk, chunk), and each such
-   group is one small matrix product that returns the links between components. Nodes of the largest component
-   under a word are not used as a left side, so a crowd never meets itself.
+3. What is still divided is joined by ``simjoin``: lists of shared words under a residual bound, split where they are long.
 """
 
 from __future__ import annotations
@@ -24,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..session import materialise
+from .simjoin import similarity_links
 from .windows import top_per_group
 
 EPS = 1e-9
-CHUNK_NODES = 256
 
 
 def vectors(rows: DataFrame, block: list[str], row_id: str, content: str, max_terms: int = 500) -> DataFrame:
@@ -51,11 +47,16 @@ def vectors(rows: DataFrame, block: list[str], row_id: str, content: str, max_te
 
 @F.pandas_udf(DoubleType())
 def _cosine(ao: pd.Series, au: pd.Series, bo: pd.Series, bu: pd.Series) -> pd.Series:
-    out = np.empty(len(ao))
-    for i, (x, p, y, q) in enumerate(zip(ao, au, bo, bu)):
-        _, left, right = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        out[i] = float(np.dot(p[left], q[right]))
-    return pd.Series(out)
+    if ao.empty:
+        return pd.Series([], dtype=float)
+
+    def flat(ords, us):
+        row = np.repeat(np.arange(len(ords)), [len(o) for o in ords])
+        return row << 32 | np.concatenate(list(ords)).astype(np.int64), np.concatenate(list(us))
+
+    (left, p), (right, q) = flat(ao, au), flat(bo, bu)
+    shared, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+    return pd.Series(np.bincount(shared >> 32, weights=p[i] * q[j], minlength=len(ao)))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -92,29 +93,6 @@ def _similar(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("cosine") >= threshold - EPS).select("a", "b")
 
 
-def _dense(ords: pd.Series, us: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(ords), width))
-    for i, (o, u) in enumerate(zip(ords, us)):
-        out[i, np.asarray(o)] = u
-    return out
-
-
-def _links_between(left: DataFrame, right: DataFrame, threshold: float, max_terms: int) -> DataFrame:
-    """Links between the nodes of two chunks that carry different labels (columns pair, node, label, ord, u)."""
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["is_left"]], pdf[~pdf["is_left"]]
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype=str)
-        cos = _dense(a["ord"], a["u"], max_terms + 1) @ _dense(b["ord"], b["u"], max_terms + 1).T
-        i, j = np.nonzero(cos >= threshold - EPS)
-        keep = a["label"].to_numpy()[i] != b["label"].to_numpy()[j]
-        return pd.DataFrame({"a": a["node"].to_numpy()[i[keep]], "b": b["node"].to_numpy()[j[keep]]})
-
-    both = left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False)))
-    return both.groupBy("pair").applyInPandas(links, schema="a string, b string")
-
-
 def detect_coordinated(rows: DataFrame, row_id: str, content: str, ts: str = "ts", keys: tuple[str, ...] = ("appid",),
                        hours: int = 24, threshold: float = 0.85, min_size: int = 10,
                        max_terms: int = 500) -> tuple[DataFrame, DataFrame]:
@@ -135,38 +113,14 @@ def detect_coordinated(rows: DataFrame, row_id: str, content: str, ts: str = "ts
         F.count("*").alias("copies"), *[F.first(k).alias(k) for k in block], F.first("ord").alias("ord"),
         F.first("u").alias("u")))
 
-    # Entry i belongs to the prefix while the vector from i on is still long enough to reach the threshold alone.
-    limit = threshold * threshold - EPS
-    length = F.expr(
-        f"aggregate(u, named_struct('cum', 0D, 'n', 0), (s, x) -> named_struct('cum', s.cum + x * x, "
-        f"'n', s.n + if(1 - s.cum >= {limit}D, 1, 0))).n")
-    prefix = F.slice("ord", F.lit(1), F.col("_len"))
-    in_block = nodes.groupBy(*block).agg(F.ceil(F.count("*") / CHUNK_NODES).alias("_chunks"))
-    nodes = nodes.withColumn("_len", length).join(in_block, block)
-    chunk = F.concat_ws("|", *[F.col(k).cast("string") for k in block], F.pmod(F.xxhash64("node"), F.col("_chunks")))
-    nodes = materialise(nodes.withColumns({"chunk": chunk, "prefix": prefix}).drop("_len", "_chunks"))
-
-    rarest = nodes.select(*block, "node", F.get("prefix", F.lit(0)).alias("word"))
+    rarest = nodes.select(*block, "node", F.get("ord", F.lit(0)).alias("word"))
     leaders = rarest.groupBy(*block, "word").agg(F.min("node").alias("a"))
     star = rarest.join(leaders, [*block, "word"]).where("node <> a").select("a", F.col("node").alias("b"))
     first = materialise(_similar(star, nodes, threshold))
     label_1 = connected_components(nodes, first)
 
-    labelled = materialise(nodes.join(label_1, "node"))
-    place = [*block, "word"]
-    postings = labelled.select(*block, "node", "label", "chunk", F.explode("prefix").alias("word"))
-    sizes = postings.groupBy(*place, "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy(*place).agg(F.max_by("label", F.struct("n", "label")).alias("_big"), F.count("*").alias("_k"))
-    mixed = postings.join(largest.where("_k > 1"), place)
-    left_at = mixed.where("label <> _big").select(*place, F.col("chunk").alias("ca")).distinct()
-    right_at = mixed.select(*place, F.col("chunk").alias("cb")).distinct()
-    pairs = left_at.join(right_at, place).select("ca", "cb").distinct()
-    pairs = materialise(pairs.withColumn("pair", F.concat_ws("~", "ca", "cb")))
-    minor = mixed.where("label <> _big").select("node").distinct()
-    side = labelled.select("node", "label", "chunk", "ord", "u")
-    left = side.join(minor, "node", "left_semi").join(pairs.select("pair", F.col("ca").alias("chunk")), "chunk").drop("chunk")
-    right = side.join(pairs.select("pair", F.col("cb").alias("chunk")), "chunk").drop("chunk")
-    links = first.unionByName(_links_between(left, right, threshold, max_terms))
+    labelled = materialise(nodes.select(*block, "node", "ord", "u").join(label_1, "node"))
+    links = first.unionByName(similarity_links(labelled, block, threshold, max_terms + 1))
     labels = connected_components(nodes, links)
 
     members = nodes.join(labels, "node")
@@ -185,5 +139,3 @@ def detect_coordinated(rows: DataFrame, row_id: str, content: str, ts: str = "ts
         groups.select(F.col("group_id").alias("label")), "label", "left_semi").select(row_id, F.col("label").alias("group_id"))
     flagged = rows.join(marks, row_id, "left").withColumn("is_coordinated", F.col("group_id").isNotNull().cast("int"))
     return flagged, groups
-
-
