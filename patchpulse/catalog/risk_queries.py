@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, changes, coordinated, risk, timeline, windows
+from ..operators import anomaly, changes, coordinated, risk, summaries, timeline, windows
 from ..plans import backtest as bt
 from ..plans import monitor
 from ..session import fresh_path, save_table
@@ -50,6 +50,15 @@ def risk_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("appid", "method", *[r6(c).alias(c) for c in ("critical", "high", "medium")])
 
 
+@query("G15, R11")
+def summary_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level cuts of every app and week from stored hourly summaries, within the stated rank error."""
+    rows = risk_rows(spark, sf_dir)
+    stored = save_table(summaries.hourly_summaries(rows, "risk_score", "author_id"), "hourly-summaries")
+    weekly = stored.withColumn("week", iso(F.date_trunc("week", "hour")))
+    return summaries.window_thresholds(weekly, ["appid", "week"])
+
+
 @query("R12", S.with_blocks(f"""
 SELECT level_a, level_b, count(*) AS n_rows, level_a = 'Critical' AND level_b = 'High' AS is_boundary FROM (
   SELECT risk_level AS level_a, {S.level('risk_score', 3.0, 2.0, 1.0)} AS level_b FROM levelled) GROUP BY ALL""", "levelled"))

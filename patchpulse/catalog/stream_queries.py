@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.sentiment import label
 from ..operators.quantiles import exact_quantiles
 from ..session import fresh_path, save_table
-from ..streaming import jobs, trends
+from ..operators import windows
+from ..streaming import jobs, news, trends
 from . import sql as S
 from . import views as V
 from .registry import iso, query, r6
+from .trend_queries import NEWS_WINDOWS, WIDTHS
 
 
 BATCHES, FILES = 4, 4
@@ -125,3 +127,18 @@ def stream_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.scored_events(spark, sf_dir).select("appid", "ts", "score")
     out = jobs.run_to_parquet(trends.hourly_trends(_landed(rows, "events", _late(rows))), "trends")
     return out.withColumns({"hour": iso("hour"), **{c: r6(c) for c in ("mean_rolling", "negative_rolling", "baseline")}})
+
+
+# An item is final once both watermarks have passed its longest window.
+@query("J6, T-3", S.with_blocks(f"""
+SELECT n.appid, n.gid, {', '.join(NEWS_WINDOWS)} FROM notes_v n
+LEFT JOIN events_v e ON e.appid = n.appid AND e.ts >= n.published_at AND e.ts <= n.published_at + INTERVAL 72 HOUR
+WHERE n.published_at + INTERVAL 72 HOUR < least((SELECT max(ts) FROM events_v), (SELECT max(published_at) FROM notes_v)) - INTERVAL 1 HOUR
+GROUP BY n.appid, n.gid""", "events_v", "notes_v"))
+def stream_news_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = windows.patch_notes(V.news(spark, sf_dir)).select("appid", "gid", F.col("published_at").alias("ts"))
+    items = _landed(notes, "notes").withColumnRenamed("ts", "published_at")
+    rows = _landed(V.scored_events(spark, sf_dir).select("appid", "ts", "score"), "events")
+    out = jobs.run_to_parquet(news.news_windows_stream(items, rows), "news-windows")
+    ratios = [f"{p}_in_{w}h" for w in WIDTHS for p in ("avg_sent", "neg_ratio", "pos_ratio")]
+    return out.withColumns({c: r6(c) for c in ratios}).drop("published_at")

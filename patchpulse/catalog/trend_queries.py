@@ -124,10 +124,10 @@ def latest_patch_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                       r6("hours_since_latest_news").alias("hours_since_latest_news"))
 
 
-_nw = []
+NEWS_WINDOWS = []
 for _w in WIDTHS:
     _in = f"e.ts <= n.published_at + INTERVAL {_w} HOUR"
-    _nw += [
+    NEWS_WINDOWS += [
         f"count(*) FILTER ({_in}) AS count_in_{_w}h",
         f"{S.s6(f'avg(score) FILTER ({_in})')} AS avg_sent_in_{_w}h",
         f"{S.s6(f'avg(CASE WHEN score <= -0.05 THEN 1.0::DOUBLE ELSE 0 END) FILTER ({_in})')} AS neg_ratio_in_{_w}h",
@@ -136,7 +136,7 @@ for _w in WIDTHS:
 
 
 @query("J6", S.with_blocks(f"""
-SELECT n.appid, n.gid, {', '.join(_nw)} FROM notes_v n
+SELECT n.appid, n.gid, {', '.join(NEWS_WINDOWS)} FROM notes_v n
 LEFT JOIN events_v e ON e.appid = n.appid AND e.ts >= n.published_at AND e.ts <= n.published_at + INTERVAL 72 HOUR
 GROUP BY n.appid, n.gid""", "events_v", "notes_v"))
 def news_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

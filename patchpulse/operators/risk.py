@@ -162,7 +162,11 @@ def derive_thresholds(scored: DataFrame, keys: list[str]) -> DataFrame:
     s2 = F.sum(F.col("risk_score") * F.col("risk_score") * F.col("_f"))
     base = counted.groupBy(*keys).agg(n.alias("n"), q.alias("q"), (s1 / n).alias("mu"), s2.alias("s2"))
     var = (F.col("s2") - F.col("n") * F.col("mu") * F.col("mu")) / F.nullif(F.col("n") - 1, F.lit(0))
-    base = base.withColumn("sd", F.coalesce(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0)))
+    return threshold_methods(base.withColumn("sd", F.coalesce(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0))), keys)
+
+
+def threshold_methods(base: DataFrame, keys: list[str]) -> DataFrame:
+    """The four methods from q (the percentiles 75, 95 and 99), mu and sd of every group."""
 
     def half(x: Column) -> Column:
         return F.floor(x * 2 + F.lit(1e-9)) / 2
