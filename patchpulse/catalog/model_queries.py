@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import aggregates, comments as comment_ops, coordinated, joins, models, windows
+from ..operators import aggregates, comments as comment_ops, coordinated, joins, models, topic_drift as drift, windows
 from ..plans import evidence, monitor
 from ..session import fresh_path, materialise, save_table
 from ..sources import sinks
@@ -80,6 +80,13 @@ def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.transform("topic_pca", lambda x: F.round(x, 4)).alias("topic_pca"))
 
 
+@query("M2")
+def topic_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of every week of reviews under ids that last."""
+    out = drift.topics_over_time(_processed(spark, sf_dir), "p", iso(F.date_trunc("week", "ts")))
+    return out.withColumn("similarity", r6("similarity"))
+
+
 @query("M4", f"""
 SELECT vec_id, {S.s6('sqrt(q)')} AS embedding_norm, {S.s6('m')} AS embedding_mean,
        {S.s6('sqrt(greatest(q / n - m * m, 0))')} AS embedding_std
