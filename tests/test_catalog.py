@@ -12,7 +12,7 @@ QUICK = (
     "impact_report", "review_windows", "exclusion_reasons", "comment_prefilter", "nearest_comment_source", "store_summary",
     "latest_patch_alignment", "news_window_stats", "rolling_sentiment", "trend_changes", "hourly_monitor", "backtest",
     "detected_updates", "new_reviews", "ingested_comments", "evaluation", "coordinated_groups", "joint_vocabulary",
-    "cased_sentiment",
+    "cased_sentiment", "stream_news_windows",
 )
 ITEMS = (
     [f"S{i}" for i in range(1, 17)] + [f"F{i}" for i in range(1, 11)] + [f"C{i}" for i in range(1, 9)]
