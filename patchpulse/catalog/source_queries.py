@@ -78,7 +78,7 @@ def ingested_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S8", S.with_blocks(f"""
 SELECT appid, review_id, md5(review_content) AS content_md5, voted_up, {S.iso('ts')} AS ts,
-       round_even(CASE WHEN doc_id % 4 = 0 THEN doc_id % 500 ELSE playtime_at_review END / 60, 1) AS playtime_hours,
+       round_even(CASE WHEN doc_id % 4 = 0 OR playtime_at_review = 0 THEN doc_id % 500 ELSE playtime_at_review END / 60, 1) AS playtime_hours,
        votes_up, CASE WHEN num_games_owned > 0 THEN num_games_owned ELSE -1 END AS num_games_owned, num_reviews,
        CAST(1 AS INT) AS steam_purchase, CAST(0 AS INT) AS received_for_free FROM reviews_v""", "reviews_v"))
 def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
