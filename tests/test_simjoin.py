@@ -91,3 +91,32 @@ def test_twice_the_texts_of_a_day_about_double_the_compared_pairs(spark, monkeyp
         compared.append(pairs)
     assert compared[1] <= 2.4 * compared[0]
     assert compared[1] < 3000 * 2999 / 2
+
+
+@pytest.mark.parametrize("list_nodes", [256, 12])
+def test_forest_joins_what_all_links_join_with_links_below_the_texts_compared(spark, monkeypatch, list_nodes):
+    monkeypatch.setattr(simjoin, "LIST_NODES", list_nodes)
+    rng = np.random.default_rng(5)
+    middle = rng.random((2, WIDTH))
+    crowd = [v / np.linalg.norm(v) for i in range(120) for v in [middle[i % 2] + rng.random(WIDTH) * 0.2]]
+    blocks = {"x": crowd + vectors(rng, 30, 4)}
+
+    def components(links):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in list(root)}
+
+    got = simjoin.similarity_links(frame(spark, blocks), ["day"], 0.85, WIDTH, forest=True)
+    got = {(r.a, r.b) for r in got.collect()}
+    want = brute(blocks, 0.85)
+    assert got <= want and components(got) == components(want)
+    chunks = -(-150 // (simjoin.CHUNK * list_nodes))
+    assert len(got) < 150 * chunks * (chunks + 1) / 2 < len(want)
