@@ -120,3 +120,12 @@ def test_forest_joins_what_all_links_join_with_links_below_the_texts_compared(sp
     assert got <= want and components(got) == components(want)
     chunks = -(-150 // (simjoin.CHUNK * list_nodes))
     assert len(got) < 150 * chunks * (chunks + 1) / 2 < len(want)
+
+
+def test_forest_of_a_crowd_is_a_star_over_all_calls():
+    i, j = np.nonzero(np.triu(np.ones((50, 50)), 1))
+    forest = simjoin.Forest(50)
+    half = len(i) // 2
+    few = np.concatenate([forest.joining(i[:half], j[:half]), half + forest.joining(i[half:], j[half:])])
+    assert sorted(j[few]) == list(range(1, 50)) and set(i[few]) == {0}
+    assert len(forest.joining(i, j)) == 0
