@@ -73,3 +73,33 @@ def test_comments_after_news_on_two_streams(spark):
     assert got["g3"].count_in_72h == 0 and got["g3"].avg_sent_in_72h is None
     again, n_again = run()  # from the checkpoint: nothing new, nothing twice
     assert n_again == n and set(again) == set(got)
+
+
+def test_busy_app_is_answered_without_pairing_items_and_comments(spark):
+    base = 1709510400  # 2024-03-04
+    n = 3_000
+    items = spark.range(n).select(F.lit("a").alias("appid"), F.col("id").cast("string").alias("gid"), F.timestamp_seconds(base + F.col("id") * 37 % 86_400).alias("published_at"))
+    comments = spark.range(n).select(F.lit("a").alias("appid"), F.timestamp_seconds(base + F.col("id") * 91 % 300_000).alias("ts"),
+                                     F.when(F.col("id") % 7 > 0, (F.col("id") % 5 - 2) / 2).alias("score"))
+    end = dt.datetime(2024, 4, 1)
+    items = items.unionByName(spark.createDataFrame([("z", "end", end)], items.schema))
+    comments = comments.unionByName(spark.createDataFrame([("z", end, 0.0)], comments.schema))
+    n_path, c_path = fresh_path(spark, "n"), fresh_path(spark, "c")
+    items.coalesce(1).write.parquet(n_path)
+    comments.coalesce(1).write.parquet(c_path)
+    out = news.news_windows_stream(jobs.read_stream(spark, n_path, items.schema), jobs.read_stream(spark, c_path, comments.schema))
+    q = out.writeStream.format("parquet").option("path", f"{c_path}-out").option("checkpointLocation", f"{c_path}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.gid: r for r in spark.read.schema(out.schema).parquet(f"{c_path}-out").collect()}
+    rows = sorted(((c.ts, c.score) for c in comments.where("appid = 'a'").collect()), key=lambda x: x[0])
+    at, score = np.array([r[0].timestamp() for r in rows]), np.array([np.nan if r[1] is None else r[1] for r in rows])
+    assert len(got) == n
+    for i in items.where("appid = 'a' AND gid % 100 = 0").collect():
+        p = i.published_at.timestamp()
+        for w in (24, 48, 72):
+            inside = (at >= p) & (at <= p + w * 3600)
+            assert got[i.gid][f"count_in_{w}h"] == inside.sum()
+            assert got[i.gid][f"avg_sent_in_{w}h"] == pytest.approx(np.nanmean(score[inside]), abs=1e-9)
+            assert got[i.gid][f"neg_ratio_in_{w}h"] == pytest.approx((score[inside] < 0).sum() / (~np.isnan(score[inside])).sum())
+    states = [s for p in q.recentProgress for s in p.stateOperators]
+    assert not any("Join" in s.operatorName for s in states)
