@@ -64,6 +64,7 @@ def topics_over_time(df: DataFrame, content: str, period: Column, n_topics: int
     spark = df.sparkSession
     rows = df.select(period.alias("period"), F.col(content).alias("_text")).where("period IS NOT NULL AND _text IS NOT NULL")
     words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2).transform(rows)
+    words = save_table(words.drop("_text"), "topic-words")
     schema = f"period {words.schema['period'].dataType.simpleString()}, topic int, n_rows bigint, similarity double, words array<string>"
     if words.where(F.size("_words") > 0).isEmpty():
         return spark.createDataFrame([], schema)
@@ -72,7 +73,7 @@ def topics_over_time(df: DataFrame, content: str, period: Column, n_topics: int
     counted = save_table(counted, "topic-counts")
     out, before = [], None
     for (at,) in counted.select("period").distinct().orderBy("period").collect():  # one row a period
-        mine = counted.where(F.col("period") == F.lit(at))
+        mine = save_table(counted.where(F.col("period") == F.lit(at)), "period-counts")  # every iteration reads this period alone
         model = LDA(k=n_topics, maxIter=iterations, seed=seed, featuresCol="_counts", topicDistributionCol="_dist", optimizer="online",
                     subsamplingRate=1.0).fit(mine)
         topics = model.topicsMatrix().toArray().T
