@@ -19,8 +19,8 @@ from .trend_queries import NEWS_WINDOWS, WIDTHS
 BATCHES, FILES = 4, 4
 
 
-def _landed(df: DataFrame, name: str, late: DataFrame | None = None) -> DataFrame:
-    """The rows as a stream, a quarter of the time (of FILES files) a trigger; ``late`` rows arrive in a last trigger of their own."""
+def _landed(df: DataFrame, name: str, late: DataFrame | None = None, files: int = FILES) -> DataFrame:
+    """The rows as a stream, a quarter of the time (of ``files`` files) a trigger; ``late`` rows arrive in a last trigger of their own."""
     df = save_table(df, f"{name}-rows")
     path = fresh_path(df.sparkSession, name)
     cuts = exact_quantiles(df.withColumn("_us", F.unix_micros("ts")), "_us", tuple(i / BATCHES for i in range(1, BATCHES)))
@@ -30,10 +30,10 @@ def _landed(df: DataFrame, name: str, late: DataFrame | None = None) -> DataFram
         part = df
         part = part.where(at > bounds[i - 1]) if i else part
         part = part.where(at <= bounds[i]) if i < BATCHES - 1 else part
-        part.repartition(FILES).write.mode("append").parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
     if late is not None:
-        late.select(*df.columns).repartition(FILES).write.mode("append").parquet(path)
-    return jobs.read_stream(df.sparkSession, path, df.schema, files_per_batch=FILES)
+        late.select(*df.columns).repartition(files).write.mode("append").parquet(path)
+    return jobs.read_stream(df.sparkSession, path, df.schema, files_per_batch=files)
 
 
 def _late(events: DataFrame) -> DataFrame:
@@ -45,7 +45,9 @@ def _late(events: DataFrame) -> DataFrame:
 @query("T-1", S.with_blocks(
     "SELECT review_id, risk_score, risk_level FROM levelled WHERE risk_level IN ('Critical', 'High')", "levelled"))
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jobs.run_to_parquet(jobs.score_stream(_landed(V.reviews(spark, sf_dir), "reviews")), "scored")
+    cores = spark.sparkContext.defaultParallelism  # texts are scored file by file
+    rows = _landed(V.reviews(spark, sf_dir), "reviews", files=max(FILES, cores))
+    out = jobs.run_to_parquet(jobs.score_stream(rows), "scored")
     return out.select("review_id", "risk_score", "risk_level")
 
 
