@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -156,8 +157,7 @@ class Counting:
     def __init__(self, partitions: int, words: int):
         self.partitions, self.words, self.packer = partitions, words, Packer()
         self.ids, self.tries, self.entries = Numbers(), {}, 0
-        self.sorted: list[bytes] = []
-        self.hash_of: list[int] = []
+        self.forget()
         self.waiting: dict[str, list] = {}
         self.size = 0
 
@@ -180,9 +180,14 @@ class Counting:
         """Starts the numbering anew; returns the words of ``ids``."""
         back = list(self.ids)
         names = [back[i - 1] for i in ids]
-        self.ids, self.sorted, self.hash_of = Numbers(), [], []
+        self.ids = Numbers()
+        self.forget()
         return names
 
+    def forget(self) -> None:
+        """Nothing is sorted yet: words in order, their ids, and their hashes by id."""
+        self.sorted, self.at, self.hash_of = np.empty(0, object), np.empty(0, np.int64), np.empty(0, np.uint64)
+
     def count(self) -> Iterator[dict]:
         stop = np.uint64(1)
         for lang, parts in self.waiting.items():
@@ -205,17 +210,26 @@ class Counting:
                 yield from self.spill(HELD // 2)
         self.waiting, self.size = {}, 0
 
-    def ordered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words in order, the place of each id in that order (from 1), and a hash of each place. What was sorted before is merged with the new words."""
-        new = list(islice(self.ids, len(self.sorted), None))
-        for w in new:
-            self.hash_of.append((zlib.crc32(w) << 32) | zlib.adler32(w))
-        self.sorted = sorted(self.sorted + new)
-        at = np.fromiter(map(self.ids.__getitem__, self.sorted), np.int64, len(self.sorted))
-        rank = np.zeros(len(at) + 1, np.int64)
-        rank[at] = np.arange(1, len(at) + 1)
-        hashed = np.zeros(len(at) + 1, np.uint64)
-        hashed[1:] = mix64(np.array(self.hash_of, np.uint64)[at - 1])
+    def ordered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words in order, the place of each id in that order (from 1), and a hash of each place. New words are sorted and put where they belong among the others."""
+        known = len(self.sorted)
+        new = list(islice(self.ids, known, None))
+        if new:
+            hashes = np.fromiter(((zlib.crc32(w) << 32) | zlib.adler32(w) for w in new), np.uint64, len(new))
+            self.hash_of = np.concatenate((self.hash_of, hashes))
+            order = sorted(range(len(new)), key=new.__getitem__)
+            words = np.empty(len(new), object)
+            words[:] = [new[i] for i in order]
+            old, low, gaps = self.sorted.tolist(), 0, []
+            for w in words.tolist():
+                low = bisect_left(old, w, low)
+                gaps.append(low)
+            self.sorted = np.insert(self.sorted, gaps, words)
+            self.at = np.insert(self.at, gaps, np.array(order, np.int64) + known + 1)
+        rank = np.zeros(len(self.at) + 1, np.int64)
+        rank[self.at] = np.arange(1, len(self.at) + 1)
+        hashed = np.zeros(len(self.at) + 1, np.uint64)
+        hashed[1:] = mix64(self.hash_of[self.at - 1])
         return self.sorted, rank, hashed
 
     def spill(self, keep: int) -> Iterator[dict]:
@@ -245,7 +259,7 @@ class Counting:
                 cells = [number[k * len(at) : (k + 1) * len(at)] for k in range(WORDS)]
                 out["lang"].append(lang)
                 out["part"].append(int(part[at[0]]))
-                out["run"].append(self.packer.pack([words[i - 1] for i in used[1:].tolist()], cells, counts[at]))
+                out["run"].append(self.packer.pack(words[used[1:] - 1].tolist(), cells, counts[at]))
             yield out
 
 

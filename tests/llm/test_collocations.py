@@ -94,3 +94,26 @@ def test_containers_burst_between_words(monkeypatch):
 
 def test_empty_table(spark):
     assert collocations.collocations(empty(spark)).count() == 0
+
+
+def test_sorting_new_words_looks_no_old_word_up():
+    work = collocations.Counting(4, 3)
+    rng = np.random.default_rng(2)
+    looked_up = []
+
+    class Watched(collocations.Numbers):
+        def __getitem__(self, word):
+            looked_up.append(word)
+            return super().__getitem__(word)
+
+    work.ids = Watched()
+    for size in (500, 3, 0, 200):
+        for w in {b"w%d" % x for x in rng.integers(0, 5000, size)}:
+            work.ids[w]
+        looked_up.clear()
+        words, rank, hashed = work.ordered()
+        assert not looked_up
+        names = list(work.ids)
+        assert words.tolist() == sorted(names)
+        assert [int(rank[i + 1]) for i in range(len(names))] == [words.tolist().index(w) + 1 for w in names]
+        assert len(hashed) == len(names) + 1 and len(set(hashed.tolist())) == len(names) + 1
