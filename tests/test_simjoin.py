@@ -129,3 +129,77 @@ def test_forest_of_a_crowd_is_a_star_over_all_calls():
     few = np.concatenate([forest.joining(i[:half], j[:half]), half + forest.joining(i[half:], j[half:])])
     assert sorted(j[few]) == list(range(1, 50)) and set(i[few]) == {0}
     assert len(forest.joining(i, j)) == 0
+
+
+def prose(rng, n, words):
+    """Texts over few words with weights near to each other, so that the residual bound leaves most of their words open."""
+    out = []
+    for _ in range(n):
+        v = np.zeros(WIDTH)
+        v[rng.choice(WIDTH, words, replace=False)] = 1 + rng.random(words) * 0.1
+        out.append(v / np.linalg.norm(v))
+    return out
+
+
+def test_a_block_whose_texts_would_stand_in_many_lists_is_not_split(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "LIST_NODES", 4)
+    texts = prose(np.random.default_rng(8), 200, 50)  # 14 words may be skipped: with a split each text stands in 14 lists
+    short, flat = simjoin.candidate_lists(frame(spark, {"x": texts}), ["day"], 0.85)
+    rows = sum(lists.count() for lists in short + flat)
+    assert rows == 200
+
+
+@pytest.mark.parametrize("way", [{}, {"forest": True}, {"stars": True}])
+def test_chunks_equal_brute_force_also_near_the_threshold(spark, monkeypatch, way):
+    monkeypatch.setattr(simjoin, "LIST_NODES", 20)
+    monkeypatch.setattr(simjoin, "CHUNK", 2)
+    monkeypatch.setattr(simjoin, "TILE", 16)
+    monkeypatch.setattr(simjoin, "FIRST", 4)
+    monkeypatch.setattr(simjoin, "COPIES", 0)
+    rng = np.random.default_rng(12)
+
+    def beside(v, cosine):  # a unit vector at this cosine, in words that v has not
+        out = v * cosine
+        free = np.flatnonzero(v == 0)
+        out[rng.choice(free)] = np.sqrt(1 - cosine * cosine)
+        return out
+
+    texts = prose(rng, 60, 12)
+    texts += [beside(v, c) for v in texts[:20] for c in (0.85 + 1e-7, 0.85 - 1e-7, 0.85)]
+    blocks = {"x": texts, "y": prose(rng, 9, 5)}
+    got = {(r.a, r.b) for r in simjoin.similarity_links(frame(spark, blocks), ["day"], 0.85, WIDTH, **way).collect()}
+    want = brute(blocks, 0.85)
+    if not way:
+        assert got == want
+    if "forest" in way:
+        assert got <= want
+    assert joined(got) == joined(want)
+
+
+def joined(links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+def test_vectors_of_a_block_are_sent_once_for_each_chunk(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "COPIES", 0)
+    texts = prose(np.random.default_rng(4), 300, 12)
+    nodes = frame(spark, {"x": texts})
+
+    def sent(list_nodes):
+        monkeypatch.setattr(simjoin, "LIST_NODES", list_nodes)
+        monkeypatch.setattr(simjoin, "CHUNK", 10)
+        _, flat = simjoin.candidate_lists(nodes, ["day"], 0.85)
+        return simjoin.chunked(flat[0]).count()
+
+    assert sent(30) == 300  # one chunk
+    assert sent(10) == 900  # three chunks
